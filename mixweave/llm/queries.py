@@ -5,9 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mixweave.llm import packing
-from mixweave.llm.shared import read_table
+from mixweave.llm import decontam, oracles, packing, quality_rules, token_counts, url_filters, warc
+from mixweave.llm.shared import read_table, scratch
+
+#: Dated events of the url lists that op6 applies: list, kind, key, action, day (fixed values).
+URL_EVENTS = (
+    ("spam", "domain", "spam-farm.example.com", "add", "2024-01-10"),
+    ("spam", "domain", "spam-farm.example.com", "remove", "2024-05-01"),
+    ("spam", "domain", "spam-farm.example.com", "add", "2024-08-15"),
+    ("spam", "domain", "cheap-pills.example.com", "add", "2023-11-01"),
+    ("gambling", "domain", "casino-win.example.com", "add", "2024-02-01"),
+    ("gambling", "domain", "free-bets.example.com", "add", "2023-06-01"),
+    ("gambling", "domain", "free-bets.example.com", "remove", "2024-10-01"),
+    ("tracking", "domain", "ads-track.example.com", "add", "2023-01-01"),
+    ("tracking", "domain", "ads-track.example.com", "remove", "2024-03-01"),
+    ("tracking", "domain", "ads-track.example.com", "add", "2024-03-20"),
+    ("adult", "domain", "adult-x.example.net", "add", "2024-04-01"),
+    ("review", "prefix", "blog.tionsh.example.com/es", "add", "2024-06-01"),
+    ("review", "prefix", "www.spam-farm.example.com/en", "add", "2024-03-01"),
+)
+#: Pages carry no fetch time: page p counts as fetched p mod FETCH_DAYS days after FETCH_START.
+FETCH_START, FETCH_DAYS = "2024-01-01", 366
 
 
 def vocabulary(name: str) -> str:
@@ -20,9 +40,34 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archive(read_table(spark, sf_dir, "pages"), path)
+    return warc.index(spark, path)
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.createDataFrame([(*e[:4], e[4]) for e in URL_EVENTS], "list_name string, kind string, key string, action string, day string").withColumn("at", F.to_timestamp("day"))
+    captures = read_table(spark, sf_dir, "pages").select("page_id", "url", F.timestamp_add("DAY", F.pmod("page_id", F.lit(FETCH_DAYS)).cast("int"), F.to_timestamp(F.lit(FETCH_START))).alias("fetch_time"))
+    return url_filters.evaluate(captures, events).select("page_id", "blocked", "n_entries", "lists")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing}
+    made = (op1_packing, op2_token_counts, op4_warc, op6_url_filters, op9_quality_rules, op10_decontamination)
+    return {q.__name__: q for q in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": oracles.OP4, "op6_url_filters": oracles.op6(URL_EVENTS, FETCH_START, FETCH_DAYS), "op9_quality_rules": oracles.OP9}
