@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixweave.llm import decontam, oracles, packing, quality_rules, token_counts, url_filters, warc
+from mixweave.llm import decontam, near_dedup, oracles, packing, quality_rules, token_counts, url_filters, warc
 from mixweave.llm.shared import read_table, scratch
 
 #: Dated events of the url lists that op6 applies: list, kind, key, action, day (fixed values).
@@ -44,6 +44,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archive(read_table(spark, sf_dir, "pages"), path)
@@ -65,7 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_packing, op2_token_counts, op4_warc, op6_url_filters, op9_quality_rules, op10_decontamination)
+    made = (op1_packing, op2_token_counts, op3_near_dedup, op4_warc, op6_url_filters, op9_quality_rules, op10_decontamination)
     return {q.__name__: q for q in made}
 
 
