@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixweave.llm import decontam, near_dedup, oracles, packing, quality_rules, token_counts, url_filters, warc
+from mixweave.llm import decontam, near_dedup, oracles, packing, quality_rules, suffix_dedup, token_counts, url_filters, warc
 from mixweave.llm.shared import read_table, scratch
 
 #: Dated events of the url lists that op6 applies: list, kind, key, action, day (fixed values).
@@ -54,6 +54,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.index(spark, path)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.find_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.createDataFrame([(*e[:4], e[4]) for e in URL_EVENTS], "list_name string, kind string, key string, action string, day string").withColumn("at", F.to_timestamp("day"))
     captures = read_table(spark, sf_dir, "pages").select("page_id", "url", F.timestamp_add("DAY", F.pmod("page_id", F.lit(FETCH_DAYS)).cast("int"), F.to_timestamp(F.lit(FETCH_START))).alias("fetch_time"))
@@ -69,7 +74,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_packing, op2_token_counts, op3_near_dedup, op4_warc, op6_url_filters, op9_quality_rules, op10_decontamination)
+    made = (op1_packing, op2_token_counts, op3_near_dedup, op4_warc, op5_suffix_dedup, op6_url_filters, op9_quality_rules, op10_decontamination)
     return {q.__name__: q for q in made}
 
 
