@@ -23,7 +23,7 @@ arise. Empty tables give empty results. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,22 +55,34 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53
 
 
-def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, shingle hash) of all shingles in order; a text of fewer words has one shingle of all its words."""
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1 ... of all runs, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def word_hashes(texts: pa.Array, normal: Callable[[str], str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The number of words of each text, and the hashes of all words in order. Each distinct word is normalised and hashed once."""
     texts = pc.ascii_trim_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     lists = pc.ascii_split_whitespace(texts)
     at = np.asarray(lists.offsets)
     coded = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
-    words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    words = coded.dictionary.to_pylist()
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(normal(w) if normal else w) for w in words), np.uint64, len(words))
     counts = np.where(pc.binary_length(texts).to_numpy() > 0, np.diff(at), 0)
     codes = coded.indices.to_numpy()
     if (empty := np.diff(at) != counts).any():  # an empty text is split into one empty word
         codes = codes[np.repeat(~empty, np.diff(at))]
-    hashes = words[codes] if len(codes) else np.zeros(0, np.uint64)
+    return counts, hashes[codes] if len(codes) else np.zeros(0, np.uint64)
+
+
+def shingles(texts: pa.Array, size: int = SHINGLE, normal: Callable[[str], str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, shingle hash) of all shingles in order; a text of fewer words has one shingle of all its words."""
+    counts, hashes = word_hashes(texts, normal)
     starts = np.cumsum(counts) - counts
     n = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     doc = np.repeat(np.arange(len(counts)), n)
-    place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + starts[doc]
+    place = ragged(starts, n)
     left = np.minimum(counts, size)[doc]
     made = np.zeros(len(doc), np.uint64)
     for i in range(size):

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixweave.llm import decontam, near_dedup, oracles, packing, quality_rules, suffix_dedup, token_counts, url_filters, warc
+from mixweave.llm import decontam, language_id, license_scan, near_dedup, oracles, packing, quality_rules, suffix_dedup, token_counts, url_filters, warc
+from mixweave.llm.license_texts import TEMPLATES
 from mixweave.llm.shared import read_table, scratch
 
 #: Dated events of the url lists that op6 applies: list, kind, key, action, day (fixed values).
@@ -65,6 +66,14 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.evaluate(captures, events).select("page_id", "blocked", "n_entries", "lists")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"), TEMPLATES)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
@@ -74,7 +83,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_packing, op2_token_counts, op3_near_dedup, op4_warc, op5_suffix_dedup, op6_url_filters, op9_quality_rules, op10_decontamination)
+    made = (op1_packing, op2_token_counts, op3_near_dedup, op4_warc, op5_suffix_dedup, op6_url_filters, op7_language_id, op8_license_scan, op9_quality_rules, op10_decontamination)
     return {q.__name__: q for q in made}
 
 

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixweave.llm.near_dedup import GOLDEN, mixed
+from mixweave.llm.near_dedup import GOLDEN, mixed, ragged
 
 WINDOW, GRAM = 50, 20
 BLOCK_BYTES = 2 << 20  # of text that a block holds on average
@@ -91,12 +91,6 @@ def anchors(flat: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tup
     return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, k) for i, k in enumerate(kinds))
 
 
-def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The places start, start + 1 ... of all runs, one after another."""
-    ends = np.cumsum(lengths)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 def distinct_contexts(flat: np.ndarray, start: np.ndarray, length: np.ndarray, label: np.ndarray) -> np.ndarray:
     """For each context the number of its distinct context, from 0. Equal labels are checked byte by byte; one that only collides gets a number of its own."""
     _, rep, number = np.unique(label, return_index=True, return_inverse=True)
