@@ -96,3 +96,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **columns: str) -> Data
     found = contamination(docs, benchmark, **columns).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min(F.struct(-F.col("overlap"), F.col("item_id"))).alias("best"))
     ids = docs.select(F.col(columns.get("id_col", "doc_id")).cast("long").alias("doc_id"))
     return ids.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id"), "left").select("d.doc_id", F.col("f.n_items").isNotNull().alias("contaminated"), F.coalesce("f.n_items", F.lit(0)).alias("n_items"), F.col("f.best.item_id").alias("best_item"), F.coalesce(-F.col("f.best.col1"), F.lit(0.0)).alias("best_overlap"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
+    """The documents with all their columns that no benchmark item contaminates. The ids to drop are counted, and broadcast only within BROADCAST_HITS."""
+    bad = materialize(contamination(docs, benchmark, **columns).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
+    if bad.count() <= BROADCAST_HITS:
+        bad = F.broadcast(bad)
+    return docs.join(bad, F.col(columns.get("id_col", "doc_id")).cast("long").eqNullSafe(F.col("bad_id")), "left_anti")

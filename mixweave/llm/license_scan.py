@@ -6,7 +6,8 @@ them. A window's MinHash values are the minima of its halves', so each size is m
 MinHash value: a window that contains 80 per cent of a template of a quarter to a half of its length shares a band with a
 probability above 1 - (1 - 0.19)^44, all but 1e-4. Windows that share no band with any template of their size are
 dropped in place (the bank of templates is a parameter of at most MAX_TEMPLATES); the others are joined to the template
-bands, and each distinct (window, template) is verified by exact containment of shingles.
+bands, and each distinct (window, template) is verified by exact containment of shingles. Where a window holds several
+templates (versions of one notice), those of the highest containment count.
 
 Defined cases. Null or blank text: no match. Texts shorter than a template's shingles: no match unless they contain enough of
 them. A template without a shingle is an error. Repeated rows share the matches of their id. A null doc_id gets no match. Ties for the best
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixweave.llm.near_dedup import GOLDEN, mixed, ragged, shingles
@@ -46,7 +47,7 @@ def level_of(n_shingles: int) -> int:
 
 
 def permuted(hashes: np.ndarray, band: int) -> np.ndarray:
-    x = (hashes ^ (np.uint64(band + 1) * GOLDEN)) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (hashes ^ (np.full(1, band + 1, np.uint64) * GOLDEN)) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(29))
 
 
@@ -124,7 +125,10 @@ def matches(docs: DataFrame, templates: dict[str, str], id_col: str = "doc_id",
     # at most MAX_TEMPLATES x BANDS rows, checked in bank()
     pairs = met.join(F.broadcast(bands), ["level", "band", "value"]).dropDuplicates(["doc_id", "level", "start", "template"])
     share = F.size(F.array_intersect("shingles", "template_shingles")) / F.size("template_shingles")
-    good = pairs.select("doc_id", "template", share.alias("containment"), "start").where(F.col("containment") >= containment)
+    good = pairs.select("doc_id", "level", "start", "template", share.alias("containment")).where(F.col("containment") >= containment)
+    # of versions of one notice that a window holds, the closest
+    closest = F.max("containment").over(Window.partitionBy("doc_id", "level", "start"))
+    good = good.withColumn("closest", closest).where("containment = closest")
     best = good.groupBy("doc_id", "template").agg(F.max(F.struct("containment", -F.col("start"))).alias("m"))
     return best.select("doc_id", "template", F.col("m.containment").alias("containment"), (-F.col("m.col2")).alias("start"))
 

@@ -46,20 +46,23 @@ def repeated_words(words: Column) -> Column:
     return F.when(size < 4, F.lit(0)).otherwise(let(words, lambda w: let(windows(w), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))))).cast("long")
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of each document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep_rows: bool = False) -> DataFrame:
+    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of each document; with keep_rows, also the whole row as a struct."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_rows else []
+    carried = ["row"] if keep_rows else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
     found = rows.select(
         "doc_id",
         "host",
+        *carried,
         word_array(text).alias("words"),
         F.length(F.translate(text, SPACE_CHARS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
-    found = found.select("doc_id", "host", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("words")).alias("n_repeat_words"))
+    found = found.select("doc_id", "host", *carried, F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("words")).alias("n_repeat_words"))
     return found.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words")))
 
 
@@ -77,11 +80,21 @@ def host_rates(measured: DataFrame) -> DataFrame:
     return hosts.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", ((F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))).alias("host_rate"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The measures of each document with host_failed and kept: false if base_failed, else its host's verdict."""
-    measured = materialize(measures(docs, id_col, text_col, host_col), "quality")
+def verdicts(measured: DataFrame, max_host_rate: float) -> DataFrame:
+    """The rows of a materialised table of measures with host_failed and kept."""
     rejected = materialize(host_rates(measured).where(F.col("host_rate") > max_host_rate).select("host", F.lit(True).alias("host_failed")), "hosts")
     if rejected.count() <= BROADCAST_HOSTS:
         rejected = F.broadcast(rejected)
     joined = measured.alias("m").join(rejected.alias("r"), F.expr("m.host <=> r.host"), "left").select("m.*", F.coalesce("r.host_failed", F.lit(False)).alias("host_failed"))
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("host")
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The measures of each document with host_failed and kept: false if base_failed, else its host's verdict."""
+    return verdicts(materialize(measures(docs, id_col, text_col, host_col), "quality"), max_host_rate)
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of docs that are kept. They are written once beside their measures, so no text is shuffled and none is measured twice."""
+    measured = materialize(measures(docs, id_col, text_col, host_col, keep_rows=True), "quality")
+    return verdicts(measured, max_host_rate).where("kept").select("row.*")

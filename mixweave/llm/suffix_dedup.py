@@ -42,6 +42,7 @@ KEY_BYTES = 6  # of an anchor's hash that a block sends to a bucket
 PLACE = np.uint64((1 << 24) - 1)
 
 FOUND_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, span_starts array<long>, span_ends array<long>"
+NOT_FIRST = (0x80, 0xC0)  # a byte with these upper two bits continues a UTF-8 character
 
 
 class PrefixHashes:
@@ -118,9 +119,10 @@ class Block:
     """The texts of a block, in an order that doesn't depend on how they came, and their anchors."""
 
     def __init__(self, rows: pa.Table, window: int, gram: int):
-        rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("text", "ascending")])).combine_chunks()
         at, data = buffers(pc.fill_null(rows["text"].cast(pa.large_string()), "").cast(pa.large_binary()))
         self.flat, self.bounds, self.ids = data, at, rows["doc_id"]
+        self.rest = rows["rest"] if "rest" in rows.column_names else None
         self.first, self.last, self.hash, self.distance, self.context = anchors(self.flat, self.bounds, window, gram)
         self.doc = np.searchsorted(self.bounds, self.first, side="right") - 1
         null = rows["doc_id"].is_null().to_numpy()
@@ -219,12 +221,18 @@ def classes(flat: np.ndarray, start: np.ndarray, group: np.ndarray, window: int)
     raise ArithmeticError("hash collisions under every base")
 
 
-def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, the bytes kept, and starts and ends of the removed spans."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_rest: bool = False, whole_characters: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, the bytes kept, and starts and ends of the removed spans.
+
+    With keep_rest, the document's other columns follow as the struct rest. With whole_characters, a character goes only if all its bytes do.
+    """
+    others = [c for c in docs.columns if c != text_col] if keep_rest else []
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([rest] if others else []))
+    rest_type = rows.schema["rest"].dataType if others else None
     total = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n_blocks, buckets = max(1, math.ceil(total / BLOCK_BYTES)), max(1, math.ceil(total / BUCKET_BYTES))
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), "doc_id", "text")
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), "*")
 
     def send_keys(table: pa.Table) -> pa.Table:
         block = Block(table, window, gram)
@@ -303,7 +311,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
         return pa.table({"block": table["block"].take(pa.array(answer)), "number": table["number"].take(pa.array(answer)), "data": pa.array(data, pa.binary())})
 
     def remove(table: pa.Table, told: pa.Table) -> pa.Table:
-        if not table.num_rows:
+        if not table.num_rows:  # told rows follow from texts, so their block isn't empty
             return pa.table({n: pa.array([], t) for n, t in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64())))})
         block = Block(table, window, gram)
         elsewhere, replies = split_told(told)
@@ -325,6 +333,10 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
         gone = np.zeros(len(block.flat), bool)
         gone[:] = seen > 0
         gone[window:] = seen[window:] > seen[:-window]
+        if whole_characters:
+            lead = np.flatnonzero((block.flat & NOT_FIRST[1]) != NOT_FIRST[0])
+            if len(lead):
+                gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(gone))))
         bounds = block.bounds
         edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -337,14 +349,21 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
         kept_at = np.append(0, np.cumsum(n_bytes - removed)).astype(np.int64)
         kept = pa.Array.from_buffers(pa.large_binary(), len(n_bytes), [None, pa.py_buffer(kept_at), pa.py_buffer(block.flat[~gone])]).cast(pa.binary())
         lists = [pa.ListArray.from_arrays(pa.array(span_at), pa.array(x - bounds[of])) for x in (starts, ends)]
-        return pa.table({"doc_id": block.ids, "n_bytes": n_bytes, "n_removed": removed, "n_spans": spans.astype(np.int64), "kept": kept, "span_starts": lists[0], "span_ends": lists[1]})
+        made = pa.table({"doc_id": block.ids, "n_bytes": n_bytes, "n_removed": removed, "n_spans": spans.astype(np.int64), "kept": kept, "span_starts": lists[0], "span_ends": lists[1]})
+        return made if block.rest is None else made.append_column("rest", block.rest)
 
     told_schema = "block long, number long, data binary"
     keys = dealt.groupBy("block").applyInArrow(send_keys, "bucket long, block long, keys binary")
     told = keys.groupBy("bucket").applyInArrow(tell_shared, told_schema)
     contexts = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send_contexts, "bucket long, block long, number long, hash long, distance long, context binary, least long, most long")
     replies = contexts.groupBy("bucket").applyInArrow(sort_suffixes, told_schema)
-    return dealt.groupBy("block").cogroup(told.unionByName(replies).groupBy("block")).applyInArrow(remove, FOUND_SCHEMA)
+    return dealt.groupBy("block").cogroup(told.unionByName(replies).groupBy("block")).applyInArrow(remove, FOUND_SCHEMA + (f", rest {rest_type.simpleString()}" if others else ""))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents with all their columns in order; text_col loses the repeated passages, by whole characters. No row is dropped."""
+    found = find_repeats(docs, id_col=id_col, text_col=text_col, keep_rest=True, whole_characters=True, **options)
+    return found.select(*[F.col("kept").cast("string").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def split_at(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
