@@ -90,15 +90,18 @@ def label(logit: Column) -> Column:
     return (F.array_position(logit, F.array_max(logit)) - 1).cast("int")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once for each row even where a lambda refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def log_prob(logit: Column) -> Column:
     """The log-density: a log-sum-exp around the largest term."""
-    top = F.array_max(logit)
-    return top + F.log(F.aggregate(F.transform(logit, lambda x: F.exp(x - top)), F.lit(0.0), lambda s, x: s + x))
+    return let(F.array_max(logit), lambda top: top + F.log(F.aggregate(logit, F.lit(0.0), lambda s, x: s + F.exp(x - top))))
 
 
 def proba(logit: Column) -> Column:
-    total = log_prob(logit)
-    return F.transform(logit, lambda x: F.exp(x - total))
+    return let(log_prob(logit), lambda total: F.transform(logit, lambda x: F.exp(x - total)))
 
 
 def top_components(logit: Column, top_k: int) -> Column:

@@ -108,7 +108,7 @@ def fit(
         while len(history) < max_iter:
             mixture = clamped(mixture, reg_covar)
             found = st.soft(centred, mixture, by, em_mode, top_k, chosen)
-            history.append(sum(s.log_likelihood for s in found) / n)
+            history.append(float(sum(s.log_likelihood for s in found)) / n)
             after = finalize.update(mixture, found, reg_covar, xx)
             if verbose:
                 log.info("iteration %d: lower bound %.6f, mean shift %.3g", len(history), history[-1], float(np.abs(after.means - mixture.means).max()))

@@ -32,8 +32,9 @@ class Sql:
         self.ctes = [
             f"base AS (SELECT row_number() OVER (ORDER BY {self.keys}) AS rid, {self.keys}, {batch} AS b, {features} AS f FROM {table})",
             f"x AS (SELECT rid, b, unnest(range(1, {self.d + 1})) AS d, unnest(f) AS v FROM base)",
-            f"first AS (SELECT rid, b, row_number() OVER (PARTITION BY b ORDER BY {self.keys}) - 1 AS k FROM base)",
-            f"m0 AS (SELECT x.b, k, d, v AS m FROM x JOIN first USING (rid) WHERE k < {self.k})",
+            f"first AS (SELECT rid, row_number() OVER (PARTITION BY b ORDER BY {self.keys}) AS place FROM base)",
+            f"start AS (SELECT rid, place - 1 AS k FROM first WHERE place <= {self.k})",
+            f"m0 AS (SELECT x.b, k, d, v AS m FROM x JOIN start ON x.rid = start.rid)",
             f"w0 AS (SELECT DISTINCT b, k, CAST(1 AS DOUBLE) / {self.k} AS w FROM m0)",
         ]
         if kind == "spherical":
@@ -51,12 +52,14 @@ class Sql:
 
     def e_step(self, t: int = 0, mode: str = "soft", top: int | None = None) -> None:
         if self.flat:
-            self.add(f"""l{t} AS (SELECT x.rid, x.b, m.k, ln(any_value(w.w)) - 0.5 * (sum((x.v - m.m) * (x.v - m.m) / c.s + ln(c.s)) + {self.d} * ln(2 * pi())) AS l
-                FROM x JOIN m{t} m ON x.b = m.b AND x.d = m.d JOIN c{t} c ON c.b = m.b AND c.k = m.k AND c.d = m.d JOIN w{t} w ON w.b = m.b AND w.k = m.k GROUP BY x.rid, x.b, m.k)""")
+            self.add(f"e{t} AS (SELECT m.b, m.k, m.d, m.m, c.s, w.w FROM m{t} m JOIN c{t} c ON c.b = m.b AND c.k = m.k AND c.d = m.d JOIN w{t} w ON w.b = m.b AND w.k = m.k)")
+            self.add(f"""l{t} AS (SELECT x.rid, x.b, e.k, ln(any_value(e.w)) - 0.5 * (sum((x.v - e.m) * (x.v - e.m) / e.s + ln(e.s)) + {self.d} * ln(2 * pi())) AS l
+                FROM x JOIN e{t} e ON x.b = e.b AND x.d = e.d GROUP BY x.rid, x.b, e.k)""")
         else:
             self.add(f"mw{t} AS (SELECT b, k, max(m) FILTER (d = 1) AS m1, max(m) FILTER (d = 2) AS m2 FROM m{t} GROUP BY b, k)")
+            self.add(f"e{t} AS (SELECT m.b, m.k, m1, m2, w, s11, s12, s22 FROM mw{t} m JOIN c{t} c ON c.b = m.b AND c.k = m.k JOIN w{t} w ON w.b = m.b AND w.k = m.k)")
             self.add(f"""l{t} AS (SELECT rid, b, k, ln(w) - 0.5 * ((s22 * d1 * d1 - 2 * s12 * d1 * d2 + s11 * d2 * d2) / (s11 * s22 - s12 * s12) + 2 * ln(2 * pi()) + ln(s11 * s22 - s12 * s12)) AS l
-                FROM (SELECT rid, base.b, m.k, f[1] - m1 AS d1, f[2] - m2 AS d2, w, s11, s12, s22 FROM base JOIN mw{t} m ON base.b = m.b JOIN c{t} c ON c.b = m.b AND c.k = m.k JOIN w{t} w ON w.b = m.b AND w.k = m.k))""")
+                FROM (SELECT rid, base.b, e.k, f[1] - m1 AS d1, f[2] - m2 AS d2, w, s11, s12, s22 FROM base JOIN e{t} e ON base.b = e.b))""")
         order = f"row_number() OVER (PARTITION BY rid ORDER BY l DESC, k)"
         kept = f"(SELECT *, {order} AS place FROM l{t} QUALIFY {order} <= {top})" if top else f"(SELECT *, {order} AS place FROM l{t})"
         norm = f"top + ln(sum(exp(l - top)) OVER (PARTITION BY rid))"
@@ -100,7 +103,21 @@ class Sql:
     def select(self, body: str) -> str:
         return "WITH " + ",\n".join(c.replace(" AS (", " AS MATERIALIZED (", 1) for c in self.ctes) + "\n" + body
 
-    def cells(self, t: int, weights: bool = True, means: bool = True, shape_from: str = "") -> str:
+    def pair_cells(self, t: int, weights: bool, means: bool) -> str:
+        """The same for two features with tied or full covariance, each component unfolded from one row."""
+        cell = lambda part, k, i, j, v: f"{{'part': '{part}', 'k': {k}, 'i': {i}, 'j': {j}, 'v': {v}}}"
+        own = [cell("weight", "k", -1, -1, "w")] if weights else []
+        own += [cell("mean", "k", i, -1, f"m{i + 1}") for i in (0, 1)] if means else []
+        cov = [cell("cov", "-1" if self.kind == "tied" else "k", i, j, f"s{min(i, j) + 1}{max(i, j) + 1}") for i in (0, 1) for j in (0, 1)]
+        source = f"w{t} w JOIN c{t} c ON c.b = w.b AND c.k = w.k"
+        if means:
+            self.add(f"last AS (SELECT b, k, max(m) FILTER (d = 1) AS m1, max(m) FILTER (d = 2) AS m2 FROM m{t} GROUP BY b, k)")
+            source += " JOIN last ON last.b = w.b AND last.k = w.k"
+        columns = "w.b, CAST(w.k AS INT) AS k, w, s11, s12, s22" + (", m1, m2" if means else "")
+        every = f"list_concat([{', '.join(own)}], CASE WHEN k = 0 OR {self.kind == 'full'} THEN [{', '.join(cov)}] END)"
+        return self.select(f"SELECT nullif(b, '') AS batch_id, u.part AS part, CAST(u.k AS INT) AS k, CAST(u.i AS INT) AS i, CAST(u.j AS INT) AS j, {r6('u.v')} AS value FROM (SELECT b, unnest({every}) AS u FROM (SELECT {columns} FROM {source}))")
+
+    def cells(self, t: int, weights: bool = True, means: bool = True) -> str:
         """The parameters of step t as rows."""
         row = "SELECT nullif(b, '') AS batch_id, '{}' AS part, CAST({} AS INT) AS k, CAST({} AS INT) AS i, CAST({} AS INT) AS j, " + r6("{}") + " AS value FROM {}"
         parts = [row.format("weight", "k", "-1", "-1", "w", f"w{t}")] if weights else []
@@ -111,9 +128,7 @@ class Sql:
         elif self.kind == "diag":
             parts.append(row.format("cov", "k", "d - 1", "-1", "s", c))
         else:
-            who = "-1" if self.kind == "tied" else "k"
-            of = f"(SELECT * FROM {c} WHERE k = 0)" if self.kind == "tied" else c
-            parts += [row.format("cov", who, i, j, f"s{min(i, j) + 1}{max(i, j) + 1}", of) for i in (0, 1) for j in (0, 1)]
+            return self.pair_cells(t, weights, means)
         return self.select(" UNION ALL ".join(parts))
 
 
@@ -152,7 +167,7 @@ def hard_stats_sql(kind: str) -> str:
     every = ", ".join(["CAST(count(*) AS DOUBLE)", *[f"sum({c})" for c in cols], *second])
     s.add(f"v AS (SELECT label, [{every}] AS a FROM y GROUP BY label)")
     n = 1 + s.d + len(second)
-    return s.select(f"SELECT CAST(label AS INT) AS label, CAST(at AS INT) AS at, {r6('value')} AS value FROM (SELECT label, unnest(range(0, {n})) AS at, unnest(a) AS value FROM v)")
+    return s.select(f"SELECT CAST(label AS INT) AS label, CAST(pos AS INT) AS pos, {r6('value')} AS value FROM (SELECT label, unnest(range(0, {n})) AS pos, unnest(a) AS value FROM v)")
 
 
 def finalize_sql(kind: str) -> str:

@@ -89,8 +89,8 @@ def hard_stats(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     name = SMALL[kind]
     rows = data(spark, sf_dir, name)
     found = stats.hard(density.assign(rows, user_start(rows, name, kind)), FIXTURES[name].k, kind)
-    flat = found.select("label", F.posexplode(F.concat(F.array("nk"), "sum_x", "second")).alias("at", "v"))
-    return flat.select("label", "at", rounded("v").alias("value"))
+    flat = found.select("label", F.posexplode(F.concat(F.array("nk"), "sum_x", "second")).alias("pos", "v"))
+    return flat.select("label", "pos", rounded("v").alias("value"))
 
 
 def params_frame(spark: SparkSession, mixture) -> DataFrame:
