@@ -5,8 +5,11 @@ Sorting the suffixes of a whole corpus in one place is out of the question, so s
 each window has one anchor, the `gram` bytes in it that hash lowest, and equal windows have equal anchors. One in about
 sixteen positions is an anchor.
 
-1. Texts are dealt into blocks of a bounded size. A block sends the distinct hashes of its anchors, packed by bucket;
-   each bucket tells the blocks which of them occur elsewhere too. A passage of many documents costs a few bytes a block.
+1. Copies of a whole text are found by digest; all but the first go as a whole. Other texts are dealt into blocks of a
+   bounded size. A block sends the distinct hashes of its anchors, packed by bucket; each bucket tells the blocks which
+   of them occur elsewhere too. A passage of many documents costs a few bytes a block. Around anchors that do, a
+   second round asks the same of longer strings: those `window` - SLACK bytes that all windows have which start in one of a
+   few ranges before the anchor. So short strings that are merely common end here.
 2. A block sends the contexts of its shared anchors: the bytes of all windows that an anchor stands for, each distinct
    context once, with the least and largest id that holds it. A bucket sorts the suffixes that start in these contexts, among
    those with one anchor at one distance: mergesort, in rounds that merge all runs at once, compares two suffixes by a
@@ -24,6 +27,7 @@ than each other. A null doc_id removes nothing and loses nothing. Empty tables g
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixweave.llm.near_dedup import GOLDEN, mixed, ragged
+from mixweave.llm.shared import materialize
 
 WINDOW, GRAM = 50, 20
 BLOCK_BYTES = 2 << 20  # of text that a block holds on average
 BUCKET_BYTES = 2 << 20  # of text whose anchors a bucket holds on average
 CHUNK = 4 << 20  # window starts that are hashed at once
 BASES = tuple(np.uint64(b) for b in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63))
+SLACK = 10  # window starts that one longer string stands for
 KEY_BYTES = 6  # of an anchor's hash that a block sends to a bucket
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -115,10 +121,49 @@ def buffers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
 
 
+def in_several(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each entry, whether its key occurs with more than one document."""
+    order = np.lexsort((docs, keys))
+    k, d = keys[order], docs[order]
+    if not len(k):
+        return np.zeros(0, bool)
+    group = np.cumsum(np.append(True, k[1:] != k[:-1])) - 1
+    several = np.zeros(group[-1] + 1, bool)
+    several[group[1:][(k[1:] == k[:-1]) & (d[1:] != d[:-1])]] = True
+    out = np.empty(len(k), bool)
+    out[order] = several[group]
+    return out
+
+
+class Told:
+    """What a block is told, by kind of row: ANCHORS and STRINGS that occur elsewhere, COPIES that are to go whole, and replies."""
+
+    ANCHORS, STRINGS, COPIES = -1, -2, -3
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows
+        self.number = rows["number"].to_numpy() if rows.num_rows else np.zeros(0, np.int64)
+
+    def of(self, kind: int) -> pa.Table:
+        return self.rows.filter(pa.array(self.number == kind)) if self.rows.num_rows else self.rows
+
+    def keys(self, kind: int) -> np.ndarray:
+        parts = [unpacked(x.as_py()) for x in self.of(kind)["data"]] if self.rows.num_rows else []
+        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+    def copies(self) -> set[tuple[int, int]]:
+        own = self.of(self.COPIES)
+        return {pair for ids, prints in zip(own["ids"].to_pylist(), own["prints"].to_pylist(), strict=True) for pair in zip(ids, prints, strict=True)} if own.num_rows else set()
+
+    def replies(self) -> pa.Table:
+        return self.rows.filter(pa.array(self.number >= 0)) if self.rows.num_rows else self.rows
+
+
 class Block:
-    """The texts of a block, in an order that doesn't depend on how they came, and their anchors."""
+    """The texts of a block, in an order that doesn't depend on how they came, and their anchors; copies and null ids have none."""
 
-    def __init__(self, rows: pa.Table, window: int, gram: int):
+    def __init__(self, rows: pa.Table, told: Told, window: int, gram: int):
+        self.window, self.gram = window, gram
         rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("text", "ascending")])).combine_chunks()
         at, data = buffers(pc.fill_null(rows["text"].cast(pa.large_string()), "").cast(pa.large_binary()))
         self.flat, self.bounds, self.ids = data, at, rows["doc_id"]
@@ -127,21 +172,38 @@ class Block:
         self.doc = np.searchsorted(self.bounds, self.first, side="right") - 1
         null = rows["doc_id"].is_null().to_numpy()
         self.id = rows["doc_id"].fill_null(0).to_numpy()
-        if null.any():
-            keep = ~null[self.doc]
+        copies = told.copies()
+        self.copy = np.fromiter(((i, p) in copies for i, p in zip(rows["doc_id"].to_pylist(), rows["print"].to_pylist(), strict=True)), bool, rows.num_rows)
+        if (out := null | self.copy).any():
+            keep = ~out[self.doc]
             self.first, self.last, self.hash, self.distance, self.context, self.doc = (x[keep] for x in (self.first, self.last, self.hash, self.distance, self.context, self.doc))
-
-    def shared(self, elsewhere: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """The occurrences whose anchor is in other blocks or several documents here, and the number of each one's distinct context."""
-        order = np.lexsort((self.doc, self.hash))
-        h, d = self.hash[order], self.doc[order]
-        group = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1 if len(h) else np.zeros(0, int)
-        several = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
-        several[group[1:][(h[1:] == h[:-1]) & (d[1:] != d[:-1])]] = True
-        use = np.isin(short(self.hash), elsewhere)
-        use[order] |= several[group]
-        picked = np.flatnonzero(use)
-        length = self.last[picked] - self.first[picked] + window
+        self.told = told
+
+    def common(self) -> np.ndarray:
+        """The occurrences whose anchor is in other blocks or in several documents here."""
+        return np.flatnonzero(np.isin(short(self.hash), self.told.keys(Told.ANCHORS)) | in_several(self.hash, self.doc))
+
+    def strings(self, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in common, hash) of the longer strings around each anchor, for the ranges in which it has windows."""
+        hashes, reach = PrefixHashes(self.flat, BASES[2]), self.window - self.gram
+        most = self.distance[common]
+        least = most - (self.last[common] - self.first[common])
+        anchor = self.first[common] + most
+        rows, keys = [], []
+        for lo in range(0, reach + 1, SLACK + 1):
+            hi = min(lo + SLACK, reach)
+            here = np.flatnonzero((most >= lo) & (least <= hi))
+            rows.append(here)
+            keys.append(mixed(hashes.of(anchor[here] - lo, anchor[here] + self.window - hi) ^ mixed(np.full(1, lo + 1, np.uint64))))
+        return np.concatenate(rows), np.concatenate(keys)
+
+    def shared(self) -> tuple[np.ndarray, np.ndarray]:
+        """The occurrences around which a longer string is shared, and the number of each one's distinct context."""
+        common = self.common()
+        row, key = self.strings(common)
+        found = np.isin(short(key), self.told.keys(Told.STRINGS)) | in_several(key, self.doc[common][row])
+        picked = common[np.unique(row[found])]
+        length = self.last[picked] - self.first[picked] + self.window
         label = mixed(self.context[picked] ^ mixed(self.hash[picked] + (self.distance[picked].astype(np.uint64) << np.uint64(32)) + length.astype(np.uint64)))
         return picked, distinct_contexts(self.flat, self.first[picked], length, label)
 
@@ -228,22 +290,38 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
     """
     others = [c for c in docs.columns if c != text_col] if keep_rest else []
     rest = F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([rest] if others else []))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("print"), *([rest] if others else []))
     rest_type = rows.schema["rest"].dataType if others else None
-    total = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    digests = materialize(rows.select("doc_id", "print", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("digest")), "digests")
+    total = int(digests.agg(F.sum("size")).first()[0] or 0)
     n_blocks, buckets = max(1, math.ceil(total / BLOCK_BYTES)), max(1, math.ceil(total / BUCKET_BYTES))
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), "*")
-
-    def send_keys(table: pa.Table) -> pa.Table:
-        block = Block(table, window, gram)
-        keys = np.unique(block.hash)
+    block_of = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block")
+    dealt = rows.select(block_of, "*")
+    firsts = digests.where("doc_id is not null and size > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copies = digests.join(firsts, "digest").where("doc_id > first").select(block_of, "doc_id", "print")
+    # as many ids as a block has documents, which is bounded
+    copies = copies.groupBy("block").agg(F.lit(Told.COPIES).cast("long").alias("number"), F.collect_list("doc_id").alias("ids"), F.collect_list("print").alias("prints"))
+    copies = copies.select("block", "number", F.lit(None).cast("binary").alias("data"), "ids", "prints")
+
+    def packed_keys(block: int, keys: np.ndarray) -> pa.Table:
+        keys = np.unique(keys)
         bucket = bucket_of(keys, buckets)
         order = np.argsort(bucket, kind="stable")
         names, at = np.unique(bucket[order], return_index=True)
         parts = np.split(short(keys)[order], at[1:]) if len(names) else []
-        return pa.table({"bucket": pa.array(names, pa.int64()), "block": pa.array([table["block"][0].as_py()] * len(names), pa.int64()), "keys": pa.array([packed(p) for p in parts], pa.binary())})
+        return pa.table({"bucket": pa.array(names, pa.int64()), "block": pa.array([block] * len(names), pa.int64()), "keys": pa.array([packed(p) for p in parts], pa.binary())})
+
+    def send_anchors(table: pa.Table, told: pa.Table) -> pa.Table:
+        return packed_keys(table["block"][0].as_py(), Block(table, Told(told), window, gram).hash) if table.num_rows else packed_keys(0, np.zeros(0, np.uint64))
+
+    def send_strings(table: pa.Table, told: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return packed_keys(0, np.zeros(0, np.uint64))
+        block = Block(table, Told(told), window, gram)
+        return packed_keys(table["block"][0].as_py(), block.strings(block.common())[1])
 
-    def tell_shared(table: pa.Table) -> pa.Table:
+    def tell_shared(table: pa.Table, kind: int) -> pa.Table:
         parts = [unpacked(x.as_py()) for x in table["keys"]]
         keys = np.concatenate(parts)
         ordered = np.sort(keys)
@@ -251,18 +329,13 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
         here = np.isin(keys, twice)
         cuts = np.cumsum([len(p) for p in parts])[:-1]
         told = [packed(p[u]) for p, u in zip(parts, np.split(here, cuts), strict=True)]
-        return pa.table({"block": table["block"], "number": pa.array([-1] * len(told), pa.int64()), "data": pa.array(told, pa.binary())}).filter(pa.array([bool(t) for t in told]))
-
-    def split_told(told: pa.Table) -> tuple[np.ndarray, pa.Table]:
-        number = told["number"].to_numpy() if told.num_rows else np.zeros(0, np.int64)
-        shared = [unpacked(x.as_py()) for x in told.filter(pa.array(number < 0))["data"]] if told.num_rows else []
-        return np.unique(np.concatenate(shared)) if shared else np.zeros(0, np.uint64), told.filter(pa.array(number >= 0)) if told.num_rows else told
+        return pa.table({"block": table["block"], "number": pa.array([kind] * len(told), pa.int64()), "data": pa.array(told, pa.binary())}).filter(pa.array([bool(t) for t in told]))
 
     def send_contexts(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({n: pa.array([], t) for n, t in (("bucket", pa.int64()), ("block", pa.int64()), ("number", pa.int64()), ("hash", pa.int64()), ("distance", pa.int64()), ("context", pa.binary()), ("least", pa.int64()), ("most", pa.int64()))})
-        block = Block(table, window, gram)
-        picked, number = block.shared(split_told(told)[0], window)
+        block = Block(table, Told(told), window, gram)
+        picked, number = block.shared()
         _, rep = np.unique(number, return_index=True)
         least = np.full(len(rep), np.iinfo(np.int64).max)
         most = np.full(len(rep), np.iinfo(np.int64).min)
@@ -313,9 +386,9 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
     def remove(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:  # told rows follow from texts, so their block isn't empty
             return pa.table({n: pa.array([], t) for n, t in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64())))})
-        block = Block(table, window, gram)
-        elsewhere, replies = split_told(told)
-        picked, number = block.shared(elsewhere, window)
+        block = Block(table, Told(told), window, gram)
+        picked, number = block.shared()
+        replies = block.told.replies()
         begins = np.zeros(len(block.flat) + 1, np.int64)
         if replies.num_rows:
             where = np.full(int(number.max()) + 1 if len(number) else 0, -1)
@@ -333,6 +406,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
         gone = np.zeros(len(block.flat), bool)
         gone[:] = seen > 0
         gone[window:] = seen[window:] > seen[:-window]
+        gone |= np.repeat(block.copy & (np.diff(block.bounds) >= window), np.diff(block.bounds))
         if whole_characters:
             lead = np.flatnonzero((block.flat & NOT_FIRST[1]) != NOT_FIRST[0])
             if len(lead):
@@ -352,12 +426,24 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
         made = pa.table({"doc_id": block.ids, "n_bytes": n_bytes, "n_removed": removed, "n_spans": spans.astype(np.int64), "kept": kept, "span_starts": lists[0], "span_ends": lists[1]})
         return made if block.rest is None else made.append_column("rest", block.rest)
 
-    told_schema = "block long, number long, data binary"
-    keys = dealt.groupBy("block").applyInArrow(send_keys, "bucket long, block long, keys binary")
-    told = keys.groupBy("bucket").applyInArrow(tell_shared, told_schema)
-    contexts = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send_contexts, "bucket long, block long, number long, hash long, distance long, context binary, least long, most long")
+    key_schema, told_schema = "bucket long, block long, keys binary", "block long, number long, data binary"
+
+    # one plan, so that all rounds read the exchange of the texts by block that the first one made
+    def to_blocks(told: DataFrame, function, schema: str) -> DataFrame:
+        return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(function, schema)
+
+    def tell(keys: DataFrame, kind: int) -> DataFrame:
+        return keys.groupBy("bucket").applyInArrow(lambda table: tell_shared(table, kind), told_schema)
+
+    def joined(*parts: DataFrame) -> DataFrame:
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    anchors_told = tell(to_blocks(copies, send_anchors, key_schema), Told.ANCHORS)
+    strings_told = tell(to_blocks(joined(copies, anchors_told), send_strings, key_schema), Told.STRINGS)
+    told = joined(copies, anchors_told, strings_told)
+    contexts = to_blocks(told, send_contexts, "bucket long, block long, number long, hash long, distance long, context binary, least long, most long")
     replies = contexts.groupBy("bucket").applyInArrow(sort_suffixes, told_schema)
-    return dealt.groupBy("block").cogroup(told.unionByName(replies).groupBy("block")).applyInArrow(remove, FOUND_SCHEMA + (f", rest {rest_type.simpleString()}" if others else ""))
+    return to_blocks(joined(told, replies), remove, FOUND_SCHEMA + (f", rest {rest_type.simpleString()}" if others else ""))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
