@@ -136,9 +136,9 @@ def in_several(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 
 class Told:
-    """What a block is told, by kind of row: ANCHORS and STRINGS that occur elsewhere, COPIES that are to go whole, and replies."""
+    """What a block is told, by kind of row: ANCHORS and STRINGS that occur elsewhere, COPIES that are to go whole, and REPLIES to contexts."""
 
-    ANCHORS, STRINGS, COPIES = -1, -2, -3
+    ANCHORS, STRINGS, COPIES, REPLIES = -1, -2, -3, -4
 
     def __init__(self, rows: pa.Table):
         self.rows = rows
@@ -155,8 +155,10 @@ class Told:
         own = self.of(self.COPIES)
         return {pair for ids, prints in zip(own["ids"].to_pylist(), own["prints"].to_pylist(), strict=True) for pair in zip(ids, prints, strict=True)} if own.num_rows else set()
 
-    def replies(self) -> pa.Table:
-        return self.rows.filter(pa.array(self.number >= 0)) if self.rows.num_rows else self.rows
+    def replies(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the contexts that got a reply, how many windows each has, and the least id of every window's class."""
+        parts = [read_reply(x.as_py()) for x in self.of(self.REPLIES)["data"]] if self.rows.num_rows else []
+        return tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
 
 
 class Block:
@@ -222,6 +224,21 @@ def unpacked(data: bytes) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
+def replied(asked: np.ndarray, ids: np.ndarray, windows: np.ndarray) -> bytes:
+    """One message for a block: context numbers, windows of each, and the windows' ids as runs (neighbours mostly share one)."""
+    head = np.append(True, ids[1:] != ids[:-1])
+    at = np.flatnonzero(head)
+    counts = np.array([len(asked), len(at)], "<i8")
+    return b"".join(x.tobytes() for x in (counts, np.diff(asked, prepend=0).astype("<i4"), windows.astype("<i4"), np.diff(np.append(at, len(ids))).astype("<i4"), ids[at].astype("<i8")))
+
+
+def read_reply(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, runs = np.frombuffer(data, "<i8", 2)
+    small = np.frombuffer(data, "<i4", 2 * n + runs, 16)
+    ids = np.frombuffer(data, "<i8", runs, 16 + 4 * (2 * n + runs))
+    return np.cumsum(small[:n], dtype=np.int64), small[n : 2 * n].astype(np.int64), np.repeat(ids, small[2 * n :])
+
+
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(hashes ^ GOLDEN) % np.uint64(buckets)).astype(np.int64)
 
@@ -333,7 +350,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
 
     def send_contexts(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in (("bucket", pa.int64()), ("block", pa.int64()), ("number", pa.int64()), ("hash", pa.int64()), ("distance", pa.int64()), ("context", pa.binary()), ("least", pa.int64()), ("most", pa.int64()))})
+            return pa.table({n: pa.array([], t) for n, t in (("bucket", pa.int64()), ("block", pa.int64()), ("number", pa.int64()), ("distance", pa.int64()), ("context", pa.binary()), ("least", pa.int64()), ("most", pa.int64()))})
         block = Block(table, Told(told), window, gram)
         picked, number = block.shared()
         _, rep = np.unique(number, return_index=True)
@@ -345,12 +362,13 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
         length = block.last[one] - block.first[one] + window
         ends = np.append(0, np.cumsum(length))
         context = pa.Array.from_buffers(pa.large_binary(), len(one), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(block.flat[ragged(block.first[one], length)])])
-        return pa.table({"bucket": bucket_of(block.hash[one], buckets), "block": np.full(len(one), table["block"][0].as_py()), "number": np.arange(len(one)), "hash": block.hash[one].view(np.int64), "distance": block.distance[one], "context": context.cast(pa.binary()), "least": least, "most": most})
+        return pa.table({"bucket": bucket_of(block.hash[one], buckets), "block": np.full(len(one), table["block"][0].as_py()), "number": np.arange(len(one)), "distance": block.distance[one], "context": context.cast(pa.binary()), "least": least, "most": most})
 
     def sort_suffixes(table: pa.Table) -> pa.Table:
         at, flat = buffers(table["context"].cast(pa.large_binary()))
         begin, length = at[:-1], np.diff(at)
-        anchor, distance = table["hash"].to_numpy().view(np.uint64), table["distance"].to_numpy()
+        distance = table["distance"].to_numpy()
+        anchor = PrefixHashes(flat, BASES[0]).of(begin + distance, begin + distance + gram)
         least, most = table["least"].to_numpy(), table["most"].to_numpy()
         hashes = PrefixHashes(flat, BASES[1])
         label = mixed(hashes.of(begin, begin + length) ^ mixed(anchor + (distance.astype(np.uint64) << np.uint64(32)) + length.astype(np.uint64)))
@@ -380,23 +398,24 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
             best[element] = np.repeat(low, np.diff(np.append(heads, len(element))))
         lowest = np.minimum.reduceat(best, first_at)
         answer = np.flatnonzero(lowest[number] < most)
-        data = [best[first_at[n] : first_at[n] + windows[n]].astype("<i8").tobytes() for n in number[answer]]
-        return pa.table({"block": table["block"].take(pa.array(answer)), "number": table["number"].take(pa.array(answer)), "data": pa.array(data, pa.binary())})
+        block, asked = table["block"].to_numpy()[answer], table["number"].to_numpy()[answer]
+        order = np.lexsort((asked, block))
+        block, asked, of = block[order], asked[order], number[answer][order]
+        names, at = np.unique(block, return_index=True)
+        data = [replied(asked[lo:hi], best[ragged(first_at[of[lo:hi]], windows[of[lo:hi]])], windows[of[lo:hi]]) for lo, hi in zip(at, np.append(at[1:], len(block)), strict=True)]
+        return pa.table({"block": pa.array(names, pa.int64()), "number": pa.array([Told.REPLIES] * len(names), pa.int64()), "data": pa.array(data, pa.binary())})
 
     def remove(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:  # told rows follow from texts, so their block isn't empty
             return pa.table({n: pa.array([], t) for n, t in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64())))})
         block = Block(table, Told(told), window, gram)
         picked, number = block.shared()
-        replies = block.told.replies()
+        answered, sizes, flat_ids = block.told.replies()
         begins = np.zeros(len(block.flat) + 1, np.int64)
-        if replies.num_rows:
+        if len(answered):
             where = np.full(int(number.max()) + 1 if len(number) else 0, -1)
-            where[replies["number"].to_numpy()] = np.arange(replies.num_rows)
-            data = [np.frombuffer(x.as_py(), "<i8") for x in replies["data"]]
-            sizes = np.fromiter(map(len, data), np.int64, len(data))
+            where[answered] = np.arange(len(answered))
             begin = np.cumsum(sizes) - sizes
-            flat_ids = np.concatenate(data)
             hit = picked[where[number] >= 0]
             reply = where[number][where[number] >= 0]
             least = flat_ids[ragged(begin[reply], sizes[reply])]
@@ -441,7 +460,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
     anchors_told = tell(to_blocks(copies, send_anchors, key_schema), Told.ANCHORS)
     strings_told = tell(to_blocks(joined(copies, anchors_told), send_strings, key_schema), Told.STRINGS)
     told = joined(copies, anchors_told, strings_told)
-    contexts = to_blocks(told, send_contexts, "bucket long, block long, number long, hash long, distance long, context binary, least long, most long")
+    contexts = to_blocks(told, send_contexts, "bucket long, block long, number long, distance long, context binary, least long, most long")
     replies = contexts.groupBy("bucket").applyInArrow(sort_suffixes, told_schema)
     return to_blocks(joined(told, replies), remove, FOUND_SCHEMA + (f", rest {rest_type.simpleString()}" if others else ""))
 
