@@ -68,16 +68,15 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 def host_rates(measured: DataFrame) -> DataFrame:
     """One row per host: documents, failures, and the failure rate shrunk by the prior that all hosts give."""
-    hosts = measured.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
+    hosts = materialize(measured.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")), "rates")
     rate = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"), F.avg(1 / F.col("n_docs")).alias("inverse"))
     # the variance between hosts, less what drawing n_docs documents alone brings
     spread = F.col("mean") * (1 - F.col("mean"))
     between = F.col("var") - spread * F.col("inverse")
     weight = F.when(between > 0, F.least(F.greatest(spread / between - 1, F.lit(0.0)), F.lit(MAX_PRIOR))).otherwise(F.lit(MAX_PRIOR))
-    prior = prior.select(F.col("mean"), weight.alias("weight"))
-    # one row by construction: an aggregate without a key
-    return hosts.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", ((F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))).alias("host_rate"))
+    mean, weight = prior.select("mean", weight).first()  # two numbers: an aggregate without a key
+    return hosts.select("host", "n_docs", "n_failed", ((F.col("n_failed") + F.lit(mean) * F.lit(weight)) / (F.col("n_docs") + F.lit(weight))).alias("host_rate"))
 
 
 def verdicts(measured: DataFrame, max_host_rate: float) -> DataFrame:
