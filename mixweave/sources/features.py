@@ -36,7 +36,7 @@ def check(data: DataFrame, d: int | None = None, batch_col: str | None = None) -
 
 
 def standard_scaled(data: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns less their mean, over their population deviation (a constant column becomes 0). One aggregate, one row to join."""
-    moments = data.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("dev", F.stddev_pop))])
-    joined = data.crossJoin(F.broadcast(moments))  # one row by construction
-    return joined.select(*[c for c in data.columns if c not in columns], *[F.coalesce(F.try_divide(F.col(c) - F.col(f"mean_{c}"), F.col(f"dev_{c}")), F.lit(0.0)).alias(c) for c in columns])
+    """The columns less their mean, over their population deviation (a constant column becomes 0). One aggregate, two numbers per column."""
+    moments = data.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("dev", F.stddev_pop))]).first()
+    scaled = lambda c: F.coalesce(F.try_divide(F.col(c) - F.lit(moments[f"mean_{c}"]), F.lit(moments[f"dev_{c}"])), F.lit(0.0))
+    return data.select(*[c for c in data.columns if c not in columns], *[scaled(c).alias(c) for c in columns])
