@@ -61,7 +61,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.createDataFrame([(*e[:4], e[4]) for e in URL_EVENTS], "list_name string, kind string, key string, action string, day string").withColumn("at", F.to_timestamp("day"))
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("list_name", "kind", "key", "action", "day"), e, strict=True)]) for e in URL_EVENTS]
+    events = spark.range(1).select(F.inline(F.array(*rows))).withColumn("at", F.to_timestamp("day"))
     captures = read_table(spark, sf_dir, "pages").select("page_id", "url", F.timestamp_add("DAY", F.pmod("page_id", F.lit(FETCH_DAYS)).cast("int"), F.to_timestamp(F.lit(FETCH_START))).alias("fetch_time"))
     return url_filters.evaluate(captures, events).select("page_id", "blocked", "n_entries", "lists")
 
