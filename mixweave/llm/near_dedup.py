@@ -12,7 +12,9 @@ Copies of a text are first collapsed to one representative. Equal bands of ROWS
 buckets. A bucket never makes its pairs: its members are compared to one leader, the member that shares most
 buckets overall, which is the centre of a family of copies. Candidates are then verified on whole texts. In further
 rounds, a bucket whose members are still in several components compares one member of each to one of another, drawn
-anew in each round; so work stays in proportion to bucket rows. Links make components by label propagation over tables. A pair
+anew in each round. What is left then is exact: a bucket that still has several components compares all pairs of
+members of different ones on their whole shingle sets, block by block inside a task, so that no table of pairs is
+made; every pair that shares a bucket is in one component or was compared. Links make components by label propagation over tables. A pair
 at the threshold shares a band with probability 1 - (1 - 0.8^4)^24, all but 3e-6.
 
 Defined cases. Null text counts as empty. Equal texts are one class, the empty ones too; otherwise documents without
@@ -39,6 +41,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 ROUNDS = 2  # further rounds of candidates between components of a bucket
 SLICE_BYTES = 4 << 20
+PART_ROWS, PART_BYTES = 1024, 4 << 20  # about the members of a block in the exact comparison
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -222,6 +225,85 @@ def between(shared: DataFrame, labels: DataFrame, number: int) -> DataFrame:
     return drawn.join(pivot, "key").where("a <> b").select("a", "b").distinct()
 
 
+def rest_blocks(shared: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, left, right, block, doc_id, label): members of buckets with several components, once for each two blocks to compare.
+
+    A large component of a bucket has blocks of its own, which are not compared with each other; the others are dealt
+    out by label. Of buckets with the same members one stays.
+    """
+    sizes = texts.select("doc_id", F.octet_length("text").alias("bytes"))
+    marked = shared.where("n > 2").select("key", "doc_id").join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    parts = marked.groupBy("key", "label").agg(F.count("*").alias("members"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("x"))
+    whole = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("members").alias("n"), F.sum("h").alias("h"), F.bit_xor("x").alias("x")).where("parts > 1")
+    kept = materialize(whole.groupBy("n", "h", "x").agg(F.min("key").alias("key")).select("key"), "rest")
+    marked = materialize(marked.join(kept, "key", "left_semi").join(sizes, "doc_id"), "rest")
+    cuts = lambda n, size: F.ceil(F.greatest(n / PART_ROWS, size / PART_BYTES)).cast("long")
+    parts = marked.groupBy("key", "label").agg(cuts(F.count("*"), F.sum("bytes")).alias("cuts"), F.count("*").alias("members"), F.sum("bytes").alias("size"))
+    large = (F.col("members") * 2 > PART_ROWS) | (F.col("size") * 2 > PART_BYTES)
+    small = parts.where(~large).groupBy("key").agg(cuts(F.sum("members"), F.sum("size")).alias("small_cuts"))
+    parts = parts.join(small, "key", "left").select("key", "label", F.when(large, F.col("label")).alias("pure"), F.when(large, F.col("cuts")).otherwise(F.col("small_cuts")).alias("cuts"))
+    dealt = F.when(F.col("pure").isNotNull(), F.xxhash64("pure", F.pmod(F.xxhash64("doc_id"), F.col("cuts")))).otherwise(F.pmod(F.xxhash64("label"), F.col("cuts")))
+    members = materialize(marked.join(parts, ["key", "label"]).select("key", "doc_id", "label", "pure", dealt.alias("block")), "members")
+    blocks = members.select("key", "pure", "block").distinct()
+    other = blocks.select("key", F.col("pure").alias("other"), F.col("block").alias("right"))
+    met = blocks.withColumnRenamed("block", "left").join(other, "key").where("left <= right and not coalesce(pure = other, false)").select("key", "left", "right")
+    sides = met.select("*", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
+    return members.drop("pure").join(sides, ["key", "block"])
+
+
+def linked(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, label: np.ndarray, side: np.ndarray | None, threshold: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join different labels: all pairs, or those across sides, whose similarity reaches the threshold. doc, element, weight are sorted by doc."""
+    n = len(label)
+    total, top = np.bincount(doc, weights=weight, minlength=n), {v: v for v in label.tolist()}
+
+    def root(v: int) -> int:
+        while top[v] != v:
+            top[v] = v = top[top[v]]
+        return v
+
+    if side is None:
+        names, counts = np.unique(label, return_counts=True)
+        probes, stored = np.flatnonzero(label != names[counts.argmax()]), np.ones(n, bool)
+    else:
+        stored = side != (0 if (side == 0).sum() <= (side == 1).sum() else 1)
+        probes = np.flatnonzero(~stored)
+    rank = np.unique(element, return_inverse=True)[1]
+    mine = np.flatnonzero(stored[doc])
+    mine = mine[np.argsort(rank[mine], kind="stable")]
+    begin = np.searchsorted(rank[mine], np.arange(rank.max() + 2 if len(rank) else 1))
+    owner, heft = doc[mine], weight[mine]
+    first = np.searchsorted(doc, np.arange(n + 1))
+    found = []
+    for i in probes:
+        own = slice(first[i], first[i + 1])
+        runs = np.diff(begin)[rank[own]] if own.stop - own.start > len(begin) else begin[rank[own] + 1] - begin[rank[own]]
+        place = ragged(begin[rank[own]], runs)
+        both = np.bincount(owner[place], weights=np.minimum(heft[place], np.repeat(weight[own], runs)), minlength=n)
+        union = total[i] + total - both
+        for j in np.flatnonzero((both > 0) & (both / np.maximum(union, 1) >= threshold) & (label != label[i])):
+            a, b = root(int(label[i])), root(int(label[j]))
+            if a != b:
+                top[max(a, b)] = min(a, b)
+                found.append((int(i), int(j)))
+    return found
+
+
+def rest(shared: DataFrame, labels: DataFrame, texts: DataFrame, weighting: str, threshold: float) -> DataFrame:
+    """Links (a, b) between the components of each bucket, from all pairs of members of different ones."""
+    rows = rest_blocks(shared, labels, texts).join(texts.select("doc_id", "text"), "doc_id").select("key", "left", "right", "block", "doc_id", "label", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, label, block = (table.column(c).to_numpy() for c in ("doc_id", "label", "block"))
+        doc, element, weight = weigh(*shingles(table.column("text").combine_chunks()))
+        if weighting != "count":
+            weight = np.ones(len(weight))
+        side = None if table.column("left")[0] == table.column("right")[0] else (block == table.column("right")[0].as_py()).astype(int)
+        found = np.array(linked(doc, element, weight, label, side, threshold), np.int64).reshape(-1, 2)
+        return pa.table({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
+
+    return rows.groupBy("key", "left", "right").applyInArrow(compare, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighting: str = "set", bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class) and kept (whether it is that document)."""
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -246,6 +328,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             continue
         links = links.union(more)
         labels = components(links)
+    more = materialize(rest(shared, labels, texts, weighting, threshold), "links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     named = copies.join(firsts, "digest").join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep"))
     named = named.select("doc_id", class_id.alias("class_id"))

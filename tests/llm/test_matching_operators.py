@@ -71,6 +71,27 @@ def test_family_around_one_centre(spark):
     assert {r.class_id for r in near_dedup.classes(frame(spark, rows)).collect()} == set(brute_classes(rows).values())
 
 
+def family_below_the_threshold():
+    """60 texts at 0.79 to each other, but for 12 pairs at 0.81."""
+    base = prose(11, 794)
+    return [(i, " ".join([base, *[f"twin{i // 2 if i < 24 else i}x{w}" for w in range(12)], *[f"own{i}x{w}" for w in range(93)]])) for i in range(60)]
+
+
+def test_links_of_a_family_below_the_threshold(spark):
+    rows = family_below_the_threshold()
+    want = brute_classes(rows)
+    assert len(set(want.values())) == 48
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, rows)).collect()} == want
+
+
+def test_rest_of_a_bucket_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART_ROWS", 6)
+    rows = family_below_the_threshold()
+    rows += [(100 + i, rows[0][1] + f" tail{i}") for i in range(15)]
+    want = brute_classes(rows)
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, rows), rounds=0).collect()} == want
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
