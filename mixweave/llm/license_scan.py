@@ -6,8 +6,11 @@ them. A window's MinHash values are the minima of its halves', so each size is m
 MinHash value: a window that contains 80 per cent of a template of a quarter to a half of its length shares a band with a
 probability above 1 - (1 - 0.19)^44, all but 1e-4. Windows that share no band with any template of their size are
 dropped in place (the bank of templates is a parameter of at most MAX_TEMPLATES); the others are joined to the template
-bands, and each distinct (window, template) is verified by exact containment of shingles. Where a window holds several
-templates (versions of one notice), those of the highest containment count.
+bands, and each distinct (window, template) is verified by exact containment of shingles. Every template that reaches the
+threshold is reported, whatever else its window holds. Only versions of one notice are told apart: templates of one level
+where the text of one alone brings the other to the threshold. A match that has less than half of the shingles by
+which its template differs from a version is dropped where that version matches too and has more of its own
+differing shingles, at the place of the match.
 
 Defined cases. Null or blank text: no match. Texts shorter than a template's shingles: no match unless they contain enough of
 them. A template without a shingle is an error. Repeated rows share the matches of their id. A null doc_id gets no match. Ties for the best
@@ -16,11 +19,12 @@ template go to the first name. Empty tables give no rows; extra columns are igno
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixweave.llm.near_dedup import GOLDEN, mixed, ragged, shingles
@@ -69,8 +73,38 @@ def band_table(spark: SparkSession, made: dict) -> DataFrame:
     return spark.createDataFrame(rows, "template string, level int, band int, value long, template_shingles array<long>")
 
 
+def version_table(spark: SparkSession, made: dict, containment: float) -> DataFrame:
+    """(template, rival, own, rival_own): for each template the versions whose text alone brings it to the threshold, and the shingles by which the two differ."""
+    holders: dict[tuple[int, int], list] = {}
+    for name, (level, found, _) in made.items():
+        for x in found.tolist():
+            holders.setdefault((level, x), []).append(name)
+    rows = []
+    for name, (level, found, _) in made.items():
+        met = Counter(other for x in found.tolist() for other in holders[level, x] if other != name)
+        for other, both in met.items():
+            theirs = made[other][1]
+            if containment * len(found) <= both < min(len(found), len(theirs)):
+                rows.append((name, other, np.setdiff1d(found, theirs).view(np.int64).tolist(), np.setdiff1d(theirs, found).view(np.int64).tolist()))
+    return spark.createDataFrame(rows, "template string, rival string, own array<long>, rival_own array<long>")
+
+
+def without_versions(good: DataFrame, versions: DataFrame) -> DataFrame:
+    """The matches (doc_id, level, start, template, containment, shingles, template_shingles) that no version at their place explains better."""
+    places = lambda wanted: F.filter(F.transform("shingles", lambda x, i: F.when(F.array_contains(wanted, x), F.col("start") + i)), lambda p: p.isNotNull())
+    share = lambda wanted: F.size(F.array_intersect("shingles", wanted)) / F.size(wanted)
+    named = ["doc_id", "level", "start", "template"]
+    at, missing = places(F.col("template_shingles")), F.round((1 - F.col("containment")) * F.size("template_shingles"))
+    weak = good.join(F.broadcast(versions), "template").withColumn("part", share(F.col("own"))).where("part < 0.5")
+    weak = weak.select(*named, "rival", "part", (F.array_min(at) - missing).alias("lo"), (F.array_max(at) + missing).alias("hi"))
+    sides = versions.select(F.col("rival").alias("template"), F.col("template").alias("other"), "rival_own")
+    strong = good.join(F.broadcast(sides), "template").select("doc_id", F.col("template").alias("rival"), F.col("other").alias("template"), share(F.col("rival_own")).alias("rival_part"), places(F.col("rival_own")).alias("rival_at"))
+    beaten = weak.join(strong, ["doc_id", "template", "rival"]).where((F.col("rival_part") > F.col("part")) & F.exists("rival_at", lambda p: p.between(F.col("lo"), F.col("hi"))))
+    return good.join(beaten.select(*named).distinct(), named, "left_anti")
+
+
 def candidate_windows(docs: DataFrame, made: dict) -> DataFrame:
-    """(doc_id, level, start, bands, shingles): windows that share a band value with a template of their level."""
+    """(doc_id, level, start, bands, shingles): windows that share a band value with a template of their level, and their shingles in order."""
     by_level = [[v for lv, _, v in made.values() if lv == level] for level in range(LEVELS)]
     wanted = [np.array([[v[b] for v in values] for b in range(BANDS)], np.uint64) for values in by_level]
 
@@ -108,7 +142,7 @@ def candidate_windows(docs: DataFrame, made: dict) -> DataFrame:
                 d = int(own[lo // BLOCK])
                 hi = min(lo + (2 * BLOCK << level), int(begin[d] + padded[d]))
                 inside = raw[lo:hi][real[lo:hi]]
-                rows.append((batch.column(0)[d].as_py(), level, lo - int(begin[d]), [{"band": b, "value": v} for b, v in bands], np.unique(inside).view(np.int64).tolist()))
+                rows.append((batch.column(0)[d].as_py(), level, lo - int(begin[d]), [{"band": b, "value": v} for b, v in bands], inside.view(np.int64).tolist()))
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.struct([("band", pa.int32()), ("value", pa.int64())])), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "level", "start", "bands", "shingles"])
@@ -125,10 +159,8 @@ def matches(docs: DataFrame, templates: dict[str, str], id_col: str = "doc_id",
     # at most MAX_TEMPLATES x BANDS rows, checked in bank()
     pairs = met.join(F.broadcast(bands), ["level", "band", "value"]).dropDuplicates(["doc_id", "level", "start", "template"])
     share = F.size(F.array_intersect("shingles", "template_shingles")) / F.size("template_shingles")
-    good = pairs.select("doc_id", "level", "start", "template", share.alias("containment")).where(F.col("containment") >= containment)
-    # of versions of one notice that a window holds, the closest
-    closest = F.max("containment").over(Window.partitionBy("doc_id", "level", "start"))
-    good = good.withColumn("closest", closest).where("containment = closest")
+    good = pairs.select("doc_id", "level", "start", "template", share.alias("containment"), "shingles", "template_shingles").where(F.col("containment") >= containment)
+    good = without_versions(materialize(good, "matches"), version_table(docs.sparkSession, made, containment))
     best = good.groupBy("doc_id", "template").agg(F.max(F.struct("containment", -F.col("start"))).alias("m"))
     return best.select("doc_id", "template", F.col("m.containment").alias("containment"), (-F.col("m.col2")).alias("start"))
 

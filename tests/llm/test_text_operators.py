@@ -150,6 +150,17 @@ def test_profiles_count_all_training_text(spark):
         assert want[r.place] == r.gram
 
 
+def test_license_scan_keeps_other_notices_of_a_window(spark):
+    changed = TEMPLATES["MIT-permission"].split()
+    for i in (5, 40):
+        changed[i] = "changed"
+    gpl = TEMPLATES["GPL-2.0-line"] + " ", TEMPLATES["GPL-3.0-line"] + " "
+    rows = [(1, " ".join(changed) + " " + TEMPLATES["Apache-2.0-header"]), (2, prose(4, 60) + " " + gpl[0]), (3, gpl[1] + prose(5, 40)), (4, gpl[0] + gpl[1]), (5, gpl[1] + prose(6, 30) + " " + gpl[0])]
+    got = {r.doc_id: set(r.licenses.split(",")) for r in license_scan.scan_licenses(frame(spark, rows), TEMPLATES).collect()}
+    assert {"MIT-permission", "Apache-2.0-header"} <= got[1]
+    assert got[2] == {"GPL-2.0-line"} and got[3] == {"GPL-3.0-line"} and got[4] == got[5] == {"GPL-2.0-line", "GPL-3.0-line"}
+
+
 def test_license_scan(spark):
     def inside(seed, name, before, after):
         return prose(seed, before) + "\n" + TEMPLATES[name] + "\n" + prose(seed + 1, after)
