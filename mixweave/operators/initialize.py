@@ -1,7 +1,7 @@
 """Starting parameters: given ones, random rows, or k-means from k-means++ centres.
 
 Samples that reach the driver have a fixed largest size, whatever the data. Draws come from the seed and from hashes of
-the features, not from partition or row order, so a repartitioned table starts the same.
+the features and the occurrence number, not from partition or row order, so a repartitioned table starts the same.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from mixweave.operators.finalize import floored
 
 SAMPLE_MIN, SAMPLE_PER_COMPONENT, SAMPLE_MAX = 4096, 64, 65_536
 PLUS_PLUS_MAX_COMPONENTS = 256
+OCCURRENCES = 4096
 
 
 def sample_size(n: int, k: int) -> int:
@@ -26,10 +27,23 @@ def sample_size(n: int, k: int) -> int:
 
 
 def sample(data: DataFrame, size: int, seed: int, batch: str | None = None, key=None) -> np.ndarray:
-    """At most size rows with the least hashes of seed and features: a top-k, which each task cuts down by itself."""
+    """At most size rows, drawn uniformly: each occurrence of a vector has a draw of its own, and the least draws count.
+
+    Vectors are counted by their 64-bit hashes; only hashes and counts are shuffled. Occurrences are numbered in runs
+    of OCCURRENCES, which are dealt out anew, and each task cuts its draws down to size.
+    """
     rows = data.where(F.col(batch).cast("string") == str(key)) if batch else data
-    drawn = rows.select("features", F.xxhash64(F.lit(seed), "features").alias("draw")).orderBy("draw", "features").limit(size)
-    return np.array([r[0] for r in drawn.collect()], float)
+    hashed = rows.select("features", F.xxhash64(F.lit(seed), "features").alias("h"))
+    runs = hashed.groupBy("h").agg(F.count("*").alias("n")).select("h", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / OCCURRENCES))).alias("run"))
+    number = F.explode(F.sequence(F.col("run") * OCCURRENCES, F.least(F.col("n"), (F.col("run") + 1) * OCCURRENCES) - 1))
+    draws = runs.repartition("h", "run").select("h", number.alias("i")).select(F.xxhash64(F.lit(seed), "h", "i").alias("draw"), "h", "i")
+    drawn = [r.h for r in draws.orderBy("draw", "h", "i").limit(size).collect()]
+    if not drawn:
+        return np.array([], float)
+    wanted = data.sparkSession.createDataFrame([(h,) for h in set(drawn)], "h long")  # at most size rows
+    found = hashed.join(F.broadcast(wanted), "h").groupBy("h").agg(F.array_min(F.collect_set("features")).alias("features"))
+    vectors = {r.h: r.features for r in found.collect()}
+    return np.array([vectors[h] for h in drawn], float)
 
 
 def random_means(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:

@@ -178,6 +178,17 @@ def test_edge_shapes(spark):
     assert em.fit(far, 2, "full", max_iter=3).mixture.covariances[0, 0, 0, 0] < 10
 
 
+def test_sample_draws_rows_not_vectors(spark):
+    hot = spark.range(12_000).select(F.array(F.when(F.col("id") % 3 == 0, -1.0).otherwise(F.col("id").cast("double"))).alias("features"))
+    rows = initialize.sample(hot, 1000, 5)
+    assert rows.shape == (1000, 1) and 250 < (rows == -1).sum() < 420
+    np.testing.assert_array_equal(rows, initialize.sample(hot.repartition(7), 1000, 5))
+    few = spark.range(20_000).select(F.array((F.col("id") % 4).cast("double")).alias("features"))
+    counts = np.unique(initialize.sample(few, 4096, 5), return_counts=True)[1]
+    assert len(counts) == 4 and counts.min() > 850
+    assert len(initialize.sample(few.limit(9), 4096, 5)) == 9
+
+
 def test_plus_plus_and_lloyd(spark):
     data = datasets.blobs(spark, 300, 2, 4, seed=2, spread=20.0)
     rows = initialize.sample(data, 300, 1)
