@@ -1,15 +1,19 @@
-"""Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
+"""Benchmark decontamination by rare item tokens, in DataFrame functions only.
 
-A text becomes an array of token hashes in its own row. A mask is a fixed set of token offsets; the tokens between
-them may differ. For each mask and each position the hash of the tokens that the mask looks at is a key. Keys of the
-documents meet keys of the benchmark items; a hit gives a document, an item and their shift. Distinct hits are written
-to the shared folder, joined back to the texts, and verified: along the shift, each item token is compared with the
-document's token at its place, so substituted tokens only cost their own places. A document is contaminated if an item
-overlaps it in MIN_OVERLAP of its tokens or in RUN_TOKENS tokens in a row.
+A text becomes an array of token hashes in its own row. An item and a document meet at a shift, the distance of their
+places. An item overlaps a document in the tokens of the longest common subsequence whose shifts are at most NEAR from
+one shift; so substituted tokens cost only their own places, and a few inserted or lost tokens not much more. A
+document is contaminated if an item overlaps it in MIN_OVERLAP of its tokens or in RUN_TOKENS tokens in a row.
 
-Items shorter than every mask have whole-length masks of their own, down to MIN_ITEM tokens; still shorter ones can't
-tell a leak from chance and match nothing. Benchmark keys are counted first and broadcast only within BROADCAST_KEYS;
-beyond it, the keys are joined by a shuffle. Hits are counted likewise before they are joined to the texts.
+Candidates are exact. Of n item tokens at most n - need may differ, so of any n - need + HITS places of the item at
+least HITS are equal; the rarest tokens are taken. Likewise, the HITS rarest places of every RUN_TOKENS tokens are
+taken. Document tokens meet these places, and a shift that has at least HITS of them within NEAR is written to the
+shared folder, joined back to the texts, and verified. How rare a token is, is estimated from a part of the documents;
+it changes the work, never the result.
+
+Items below MIN_ITEM tokens can't tell a leak from chance and match nothing. Item places are counted first and
+broadcast only within BROADCAST_KEYS; beyond it, they are joined by a shuffle. Hits are counted likewise before they are
+joined to the texts.
 
 Defined cases. Null or token-free text: not contaminated. Null or short items: no hits. Empty tables: no hits, and one row
 per document still. Repeated document rows: each gets the verdict of its id. A null doc_id is an id like any other.
@@ -23,14 +27,14 @@ from pyspark.sql import functions as F
 
 from mixweave.llm.shared import let, materialize
 
-#: Token offsets that each mask looks at (fixed values).
-MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 8, 9))
 MIN_ITEM = 5
 MIN_OVERLAP = 0.6
 RUN_TOKENS = 13
 BROADCAST_KEYS = 1_000_000
 BROADCAST_HITS = 500_000
-SPAN = max(max(m) for m in MASKS) + 1
+HITS = 3  # at most the equal tokens of an item of MIN_ITEM tokens
+NEAR = 2
+SAMPLED = 16  # one document in so many is counted for rarity
 
 
 def token_hashes(text: Column) -> Column:
@@ -39,43 +43,48 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seed_keys(tokens: Column, mask: tuple[int, ...], number: int) -> Column:
-    """An array of (mask key, position) for all positions at which the mask fits."""
-    fits = F.size(tokens) - max(mask)
-    keys = let(tokens, lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - 1 - max(mask)), lambda i: F.struct(F.xxhash64(F.lit(number), *[F.get(t, i + o) for o in mask]).alias("key"), i.alias("at"))))
-    return F.when(fits > 0, keys).otherwise(F.array().cast("array<struct<key:bigint,at:int>>"))
-
-
-def seeds(rows: DataFrame, masks: list[tuple[int, ...]], keep: list[str]) -> DataFrame:
-    """Columns keep and (key, at) of each row; rows has the array tokens."""
-    every = F.concat(*[seed_keys(F.col("tokens"), m, hash_name(m)) for m in masks])
-    return rows.select(*keep, F.explode(every).alias("seed")).select(*keep, "seed.key", "seed.at")
-
-
-def hash_name(mask: tuple[int, ...]) -> int:
-    return sum(1 << o for o in mask)
+def item_places(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(token, item_id, item_at): the places of each item by which it is found; docs has doc_id and tokens, items has item_id and tokens."""
+    places = items.where(F.size("tokens") >= MIN_ITEM).distinct().select("item_id", "tokens", F.posexplode("tokens").alias("at", "token"))
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select(F.explode("tokens").alias("token"))
+    common = part.join(places.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("often"))
+    ranked = places.join(common, "token", "left").groupBy("item_id", "tokens").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("often", F.lit(0)).alias("often")))).alias("p"))
+    ranked = ranked.withColumn("p", F.transform("p", lambda x: F.struct(x["often"].alias("often"), x["at"].alias("at"))))
+    n = F.size("tokens")
+    need = F.ceil(MIN_OVERLAP * n - 1e-9).cast("int")
+    rare = F.slice(F.array_sort("p"), F.lit(1), n - need + HITS)
+    runs = F.when(n >= RUN_TOKENS, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - RUN_TOKENS + 1, F.lit(1))), lambda i: F.slice(F.array_sort(F.slice("p", i, F.lit(RUN_TOKENS))), 1, HITS))))
+    chosen = F.array_distinct(F.concat(rare, F.coalesce(runs, F.slice("p", 1, 0))))
+    return ranked.select("tokens", "item_id", F.explode(chosen).alias("c")).select(F.get("tokens", F.col("c.at")).alias("token"), "item_id", F.col("c.at").alias("item_at"))
 
 
 def find_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct (doc_id, item_id, shift); docs has doc_id and tokens, items has item_id and tokens."""
-    lengths = [r[0] for r in items.where(F.size("tokens").between(MIN_ITEM, SPAN - 1)).select(F.size("tokens")).distinct().collect()]  # at most SPAN values
-    whole = {n: tuple(range(n)) for n in lengths}
-    item_seeds = seeds(items.where(F.size("tokens") >= MIN_ITEM), list(MASKS), ["item_id"])
-    for n, mask in whole.items():
-        item_seeds = item_seeds.union(seeds(items.where(F.size("tokens") == n), [mask], ["item_id"]))
-    item_seeds = materialize(item_seeds.select("key", "item_id", F.col("at").alias("item_at")), "seeds")
-    if item_seeds.count() <= BROADCAST_KEYS:
-        item_seeds = F.broadcast(item_seeds)
-    doc_seeds = seeds(docs, [*MASKS, *(m for m in whole.values() if m not in MASKS)], ["doc_id"])
-    return doc_seeds.join(item_seeds, "key").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    """Distinct (doc_id, item_id, shift) with at least HITS places of the item within NEAR of the shift."""
+    places = materialize(item_places(docs, items), "places")
+    if places.count() <= BROADCAST_KEYS:
+        places = F.broadcast(places)
+    found = docs.select("doc_id", F.posexplode("tokens").alias("at", "token")).join(places, "token").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("at"))
+    near = found.select("doc_id", "item_id", F.explode(F.sequence(F.col("at") - NEAR, F.col("at") + NEAR)).alias("shift"))
+    return near.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n")).where(F.col("n") >= HITS).drop("n")
 
 
 def verify(hits: DataFrame) -> DataFrame:
-    """Compares hit rows (with doc_tokens and item_tokens) token by token: n_match and the longest run of equal tokens."""
-    pairs = F.transform(F.col("item_tokens"), lambda t, q: F.coalesce(F.when(q + F.col("shift") >= 0, F.get(F.col("doc_tokens"), q + F.col("shift"))) == t, F.lit(False)))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-    step = lambda a, same: F.when(same, F.struct((a["n"] + 1).alias("n"), (a["run"] + 1).alias("run"), F.greatest(a["best"], a["run"] + 1).alias("best"))).otherwise(F.struct(a["n"].alias("n"), F.lit(0).alias("run"), a["best"].alias("best")))
-    return hits.select("doc_id", "item_id", F.size("item_tokens").alias("item_size"), F.aggregate(pairs, zero, step).alias("m")).select("doc_id", "item_id", (F.col("m.n") / F.col("item_size")).alias("overlap"), F.col("m.best").alias("run"))
+    """Compares hit rows (with doc_tokens and item_tokens) token by token: the overlap within NEAR of the shift and the longest run of equal tokens along it."""
+    names = [f"d{i}" for i in range(2 * NEAR + 1)]
+    same = lambda t, q, i: F.coalesce(F.when(q + F.col("shift") + (i - NEAR) >= 0, F.get(F.col("doc_tokens"), q + F.col("shift") + (i - NEAR))) == t, F.lit(False))
+    pairs = F.transform(F.col("item_tokens"), lambda t, q: F.struct(*[same(t, q, i).alias(n) for i, n in enumerate(names)]))
+    zero = F.struct(*[F.lit(0).alias(n) for n in names], F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(a: Column, eq: Column) -> Column:
+        # the longest common subsequence, kept for the shifts of the band: the same place, a lost token, an inserted one
+        made = []
+        for i, n in enumerate(names):
+            made.append(F.greatest(a[n] + eq[n].cast("int"), *([a[names[i + 1]]] if i < 2 * NEAR else []), *made[-1:], a[n]))
+        run = F.when(eq[names[NEAR]], a["run"] + 1).otherwise(0)
+        return F.struct(*[m.alias(n) for m, n in zip(made, names, strict=True)], run.alias("run"), F.greatest(a["best"], run).alias("best"))
+
+    done = hits.select("doc_id", "item_id", F.size("item_tokens").alias("item_size"), F.aggregate(pairs, zero, step).alias("m"))
+    return done.select("doc_id", "item_id", (F.col(f"m.{names[-1]}") / F.col("item_size")).alias("overlap"), F.col("m.best").alias("run"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

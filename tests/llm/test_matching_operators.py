@@ -199,6 +199,50 @@ def test_decontamination(spark):
     assert decontam.decontaminate(frame(spark, []), bench).count() == 0
 
 
+def brute_overlap(item, doc, near=2):
+    """The longest common subsequence in a band of shifts, and the longest run, over all shifts."""
+    best = run = 0
+    for c in range(-len(item), len(doc) + 1):
+        row = {}
+        for q in range(len(item)):
+            made = {}
+            for d in range(c - near, c + near + 1):
+                eq = 0 <= q + d < len(doc) and doc[q + d] == item[q]
+                made[d] = max(row.get(d, 0) + eq, row.get(d + 1, 0), made.get(d - 1, 0))
+            row = made
+        best = max([best, *row.values()])
+        length = 0
+        for q in range(len(item)):
+            length = length + 1 if 0 <= q + c < len(doc) and doc[q + c] == item[q] else 0
+            run = max(run, length)
+    return best / len(item), run
+
+
+def test_decontamination_finds_all_overlaps(spark):
+    rng, items, rows = random.Random(4), {}, []
+    for k, n in enumerate([5, 8, 12, 16, 20, 24, 30, 40, 59]):
+        items[k] = prose(600 + k, n).split()
+        for share in (0.5, 0.6, 0.7, 0.8):
+            for _ in range(3):  # random substitutions
+                gone = set(rng.sample(range(n), n - -(-int(share * n * 10) // 10)))
+                rows.append([f"new{rng.randrange(10**6)}" if i in gone else w for i, w in enumerate(items[k])])
+        for step in (2, 3, 4, 5):  # periodic ones
+            rows.append(["other" if i % step == step - 1 else w for i, w in enumerate(items[k])])
+        rows += [items[k][: n // 2] + ["put"] * m + items[k][n // 2 :] for m in (1, 2, 3)]
+        rows.append(items[k][: n // 3] + items[k][n // 3 + 1 :])
+    rows.append(items[8][20:33])  # a run alone
+    docs = [prose(i, 9).split() + r + prose(i + 1, 7).split() for i, r in enumerate(rows)]
+    want = {}
+    for d, doc in enumerate(docs):
+        for k, item in items.items():
+            overlap, run = brute_overlap(item, doc)
+            if overlap >= 0.6 or run >= 13:
+                want[d, k] = round(overlap, 9)
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id long, text string")
+    got = decontam.contamination(frame(spark, [(d, " ".join(t)) for d, t in enumerate(docs)]), bench).collect()
+    assert {(r.doc_id, r.item_id): round(r.overlap, 9) for r in got} == want and len(want) > 130
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_KEYS", 0)
     monkeypatch.setattr(decontam, "BROADCAST_HITS", 0)
