@@ -1,28 +1,41 @@
-"""Benchmark decontamination by rare item tokens, in DataFrame functions only.
-
-A text becomes an array of token hashes in its own row. An item and a document meet at a shift, the distance of their
-places. An item overlaps a document in the tokens of the longest common subsequence whose shifts are at most NEAR from
-one shift; so substituted tokens cost only their own places, and a few inserted or lost tokens not much more. A
-document is contaminated if an item overlaps it in MIN_OVERLAP of its tokens or in RUN_TOKENS tokens in a row.
-
-Candidates are exact. Of n item tokens at most n - need may differ, so of any n - need + HITS places of the item at
-least HITS are equal; the rarest tokens are taken. Likewise, the HITS rarest places of every RUN_TOKENS tokens are
-taken. Document tokens meet these places, and a shift that has at least HITS of them within NEAR is written to the
-shared folder, joined back to the texts, and verified. How rare a token is, is estimated from a part of the documents;
-it changes the work, never the result.
-
-Items below MIN_ITEM tokens can't tell a leak from chance and match nothing. Item places are counted first and
-broadcast only within BROADCAST_KEYS; beyond it, they are joined by a shuffle. Hits are counted likewise before they are
-joined to the texts.
-
-Defined cases. Null or token-free text: not contaminated. Null or short items: no hits. Empty tables: no hits, and one row
-per document still. Repeated document rows: each gets the verdict of its id. A null doc_id is an id like any other.
-Ties for the best item go to the smallest item_id. Extra columns are ignored.
+"""Benchmark decontamination by spaced seeds, in DataFrame functions only.
+
+A text becomes an array of token hashes in its own row. A mask is a fixed choice of places in a short stretch of tokens; the
+tokens between them are ignored, so that a substitution there costs nothing. MASKS are all choices of three of five tokens
+in a row, up to their start. RUN_MASK is nine tokens in a row. Test items and documents that have one hash in common
+under one mask meet at a shift, the distance of their places, and are compared there.
+
+An item overlaps a document in the tokens of the longest common subsequence whose shifts are at most NEAR from one
+shift; so substituted tokens cost only their own places, and a few inserted or lost tokens not much more. A document
+is contaminated if an item overlaps it in MIN_OVERLAP of its tokens or in RUN_TOKENS tokens in a row.
+
+The masks miss nothing of this kind. An item of n tokens is cut into q = n // 5 blocks and a rest of r tokens. If
+MIN_OVERLAP of the tokens are equal along one shift, at least t = ⌈(q - r + ⌈0.6 r⌉) / 3⌉ blocks have three equal ones, so
+some mask hits in each of these. The most common (t - 1) // 2 blocks need no hashes at all (this is how phrases that many
+items share are kept out of the join), and still t - (t - 1) // 2 distinct blocks are hit; an item whose hits are in fewer
+is not compared. That number is taken one less (at least one, at most MOST_NEEDED), so that a place where tokens were put in or
+lost may spoil a block. Items below SHORT tokens can't spare one: theirs are also hashed as they lie with one token more or
+less between two chosen ones. The last five tokens of an item are a block too. Only blocks with a hash that occurs more than RARE times among the items are left out. Any RUN_TOKENS equal tokens in a row hold the nine tokens from some block's start on, and one hit of RUN_MASK
+is enough.
+
+Hashes of items are counted first and broadcast only within BROADCAST_KEYS rows of three numbers; beyond that, documents'
+hashes are joined by a shuffle, whose large partitions adaptive execution splits. Hits are three numbers each, and are
+summed in each task before they are shuffled. They are broadcast to the documents within BROADCAST_HITS, where each takes the
+tokens around it along, so that no whole document is shuffled; beyond that, the documents that have hits are joined
+by a shuffle.
+
+Defined cases. Items below MIN_ITEM tokens can't tell a leak from chance and match nothing. Null or token-free text: not
+contaminated. Null items: no hits. Empty tables: no hits, and one row per document still. Repeated document rows: each gets
+the verdict of its id, which is that of all texts with the id together. A null doc_id is an id like any other. Items with
+equal ids count as one that overlaps in the best of them. Ties for the best item go to the smallest item_id. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixweave.llm.shared import let, materialize
@@ -32,9 +45,14 @@ MIN_OVERLAP = 0.6
 RUN_TOKENS = 13
 BROADCAST_KEYS = 1_000_000
 BROADCAST_HITS = 500_000
-HITS = 3  # at most the equal tokens of an item of MIN_ITEM tokens
+BROADCAST_TOKENS = 4_000_000
 NEAR = 2
-SAMPLED = 16  # one document in so many is counted for rarity
+BLOCK = 5
+RARE = 8
+SHORT = 20  # tokens, below which one block may have to do
+MOST_NEEDED = 5  # still sure when blocks are told apart modulo 64
+MASKS = ((0, 1, 2), (0, 1, 3), (0, 1, 4), (0, 2, 3), (0, 2, 4), (0, 3, 4))
+RUN_MASK = tuple(range(RUN_TOKENS - BLOCK + 1))
 
 
 def token_hashes(text: Column) -> Column:
@@ -43,60 +61,112 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def item_places(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(token, item_id, item_at): the places of each item by which it is found; docs has doc_id and tokens, items has item_id and tokens."""
-    places = items.where(F.size("tokens") >= MIN_ITEM).distinct().select("item_id", "tokens", F.posexplode("tokens").alias("at", "token"))
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select(F.explode("tokens").alias("token"))
-    common = part.join(places.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("often"))
-    ranked = places.join(common, "token", "left").groupBy("item_id", "tokens").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("often", F.lit(0)).alias("often")))).alias("p"))
-    ranked = ranked.withColumn("p", F.transform("p", lambda x: F.struct(x["often"].alias("often"), x["at"].alias("at"))))
+def masked(number: int, at: Column, places: tuple[int, ...]) -> Column:
+    """The hash of the tokens at these places after at as a mask's tokens; null where they reach beyond the tokens."""
+    return F.when(at + places[-1] < F.size("tokens"), F.xxhash64(F.lit(number), *[F.get("tokens", at + i) for i in places]))
+
+
+def seed(number: int, at: Column) -> Column:
+    """The hash of the tokens under a mask (the last number: RUN_MASK) from at on."""
+    return masked(number, at, (*MASKS, RUN_MASK)[number])
+
+
+def seed_places() -> list[tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]]]:
+    """(mask, mask in the document, places in the block) of all choices of three of a block's tokens: as they are, and as they lie where one token was lost or put in between two of them."""
+    found = []
+    for mask in MASKS:
+        a, b = mask[1], mask[2] - mask[1]
+        moves = {(a + x, b + y) for x, y in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))}
+        for start in range(BLOCK - mask[-1]):
+            found += [(mask, moved, tuple(start + i for i in mask)) for moved in sorted((0, x, x + y) for x, y in moves) if moved in MASKS]
+    return found
+
+
+def with_needs(items: DataFrame) -> DataFrame:
+    """Distinct items of at least MIN_ITEM tokens, numbered by item, with skipped (blocks that need no hashes) and needed (distinct blocks that must be hit)."""
     n = F.size("tokens")
-    need = F.ceil(MIN_OVERLAP * n - 1e-9).cast("int")
-    rare = F.slice(F.array_sort("p"), F.lit(1), n - need + HITS)
-    runs = F.when(n >= RUN_TOKENS, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - RUN_TOKENS + 1, F.lit(1))), lambda i: F.slice(F.array_sort(F.slice("p", i, F.lit(RUN_TOKENS))), 1, HITS))))
-    chosen = F.array_distinct(F.concat(rare, F.coalesce(runs, F.slice("p", 1, 0))))
-    return ranked.select("tokens", "item_id", F.explode(chosen).alias("c")).select(F.get("tokens", F.col("c.at")).alias("token"), "item_id", F.col("c.at").alias("item_at"))
+    q, r = F.floor(n / BLOCK), n % BLOCK
+    sure = F.ceil((q - r + F.ceil(MIN_OVERLAP * r - 1e-9)) / 3)
+    skipped = F.floor((sure - 1) / 2)
+    return items.where(n >= MIN_ITEM).distinct().withColumns({"item": F.xxhash64("item_id", "tokens"), "skipped": skipped.cast("int"), "needed": F.least(F.greatest(sure - skipped - 1, F.lit(1)), F.lit(MOST_NEEDED)).cast("int")})
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """(key, item, item_at, block): the hashes of the items' blocks; block is null under RUN_MASK."""
+    starts = lambda last: F.sequence(F.lit(0), last, F.lit(BLOCK))
+    last = F.size("tokens") - BLOCK
+    short = F.size("tokens") < SHORT
+    blocks = items.select("item", "skipped", "tokens", F.explode(F.array_distinct(F.concat(starts(last), F.array(last)))).alias("start"))
+    made = [F.struct(F.when(short | (moved == mask), masked(MASKS.index(moved), F.col("start"), places)).alias("key"), (F.col("start") + places[0]).alias("item_at")) for mask, moved, places in seed_places()]
+    spaced = blocks.select("item", "skipped", F.ceil(F.col("start") / BLOCK).cast("int").alias("block"), F.inline(F.array(*made))).where("key is not null")
+    spaced = spaced.join(spaced.groupBy("key").agg(F.count("*").alias("often")), "key")
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.col("often").desc(), "block"))
+    common = spaced.groupBy("item", "skipped", "block").agg(F.max("often").alias("often")).withColumn("rank", rank).where((F.col("rank") <= F.col("skipped")) & (F.col("often") > RARE))
+    kept = spaced.join(common.select("item", "block"), ["item", "block"], "left_anti").select("key", "item", "item_at", "block")
+    runs = blocks.where(F.col("start") % BLOCK == 0).select(seed(len(MASKS), F.col("start")).alias("key"), "item", F.col("start").alias("item_at"), F.lit(None).cast("int").alias("block"))
+    return kept.unionByName(runs.where("key is not null"))
 
 
 def find_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct (doc_id, item_id, shift) with at least HITS places of the item within NEAR of the shift."""
-    places = materialize(item_places(docs, items), "places")
-    if places.count() <= BROADCAST_KEYS:
-        places = F.broadcast(places)
-    found = docs.select("doc_id", F.posexplode("tokens").alias("at", "token")).join(places, "token").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("at"))
-    near = found.select("doc_id", "item_id", F.explode(F.sequence(F.col("at") - NEAR, F.col("at") + NEAR)).alias("shift"))
-    return near.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n")).where(F.col("n") >= HITS).drop("n")
+    """Distinct (doc_id, item, item_id, item_size, shift) at which enough blocks of an item are hit; docs has doc_id and tokens."""
+    seeds = materialize(item_seeds(items), "seeds")
+    if seeds.count() <= BROADCAST_KEYS:
+        seeds = F.broadcast(seeds)
+    # not a filter: it would be pushed below the tokens and compute them twice
+    placed = docs.select("doc_id", "tokens", F.explode(F.when(F.size("tokens") >= MIN_ITEM, F.sequence(F.lit(0), F.size("tokens") - 1))).alias("at"))
+    keyed = placed.select("doc_id", "at", F.explode(F.array(*[seed(m, F.col("at")) for m in range(len(MASKS) + 1)])).alias("key"))
+    met = keyed.join(seeds, "key").select("doc_id", "item", (F.col("at") - F.col("item_at")).alias("shift"), F.expr("shiftleft(1L, coalesce(block, 0) % 64)").alias("bit"), F.col("block").isNull().alias("run"))
+    met = met.groupBy("doc_id", "item", "shift").agg(F.bit_or("bit").alias("seen"), F.max("run").alias("run"))
+    near = met.select("doc_id", "item", "seen", "run", F.explode(F.sequence(F.col("shift") - NEAR, F.col("shift") + NEAR)).alias("shift"))
+    hit = near.groupBy("doc_id", "item", "shift").agg(F.bit_or("seen").alias("seen"), F.max("run").alias("run"))
+    found = hit.join(items.select("item", "item_id", "needed", F.size("tokens").alias("item_size")), "item")
+    return found.where(F.col("run") | (F.bit_count("seen") >= F.col("needed"))).select("doc_id", "item", "item_id", "item_size", "shift")
+
+
+def verify(pairs: DataFrame) -> DataFrame:
+    """Compares pairs token by token, item_tokens with window, the document's tokens from place low on: the overlap within NEAR of the shift and the longest run of equal tokens along it, if either reaches its threshold."""
+    names = [f"d{i}" for i in range(2 * NEAR + 1)]
 
+    def same(t: Column, q: Column, i: int) -> Column:
+        at = q + F.col("shift") + (i - NEAR) - F.col("low")
+        return F.coalesce(F.when(at >= 0, F.get("window", at)) == t, F.lit(False))
 
-def verify(hits: DataFrame) -> DataFrame:
-    """Compares hit rows (with doc_tokens and item_tokens) token by token: the overlap within NEAR of the shift and the longest run of equal tokens along it."""
-    names = [f"d{i}" for i in range(2 * NEAR + 1)]
-    same = lambda t, q, i: F.coalesce(F.when(q + F.col("shift") + (i - NEAR) >= 0, F.get(F.col("doc_tokens"), q + F.col("shift") + (i - NEAR))) == t, F.lit(False))
-    pairs = F.transform(F.col("item_tokens"), lambda t, q: F.struct(*[same(t, q, i).alias(n) for i, n in enumerate(names)]))
+    rows = F.transform(F.col("item_tokens"), lambda t, q: F.struct(*[same(t, q, i).alias(n) for i, n in enumerate(names)]))
     zero = F.struct(*[F.lit(0).alias(n) for n in names], F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(a: Column, eq: Column) -> Column:
         # the longest common subsequence, kept for the shifts of the band: the same place, a lost token, an inserted one
-        made = []
+        made: list[Column] = []
         for i, n in enumerate(names):
             made.append(F.greatest(a[n] + eq[n].cast("int"), *([a[names[i + 1]]] if i < 2 * NEAR else []), *made[-1:], a[n]))
         run = F.when(eq[names[NEAR]], a["run"] + 1).otherwise(0)
         return F.struct(*[m.alias(n) for m, n in zip(made, names, strict=True)], run.alias("run"), F.greatest(a["best"], run).alias("best"))
 
-    done = hits.select("doc_id", "item_id", F.size("item_tokens").alias("item_size"), F.aggregate(pairs, zero, step).alias("m"))
-    return done.select("doc_id", "item_id", (F.col(f"m.{names[-1]}") / F.col("item_size")).alias("overlap"), F.col("m.best").alias("run"))
+    made = lambda m: F.array(F.struct((m[names[-1]] / F.col("item_size")).alias("overlap"), m["best"].alias("run")))
+    compared = let(F.aggregate(rows, zero, step), lambda m: F.filter(made(m), lambda x: (x["overlap"] >= MIN_OVERLAP) | (x["run"] >= RUN_TOKENS)))
+    # a whole copy in the band needs no comparing by tokens
+    begins = [F.col("shift") + (i - NEAR) - F.col("low") + 1 for i in range(2 * NEAR + 1)]
+    whole = reduce(lambda a, b: a | b, [F.when(b > 0, F.slice("window", F.greatest(b, F.lit(1)), F.col("item_size")) == F.col("item_tokens")).otherwise(False) for b in begins])
+    copy = F.array(F.struct(F.lit(1.0).alias("overlap"), F.col("item_size").alias("run")))
+    good = F.when(whole, copy).otherwise(compared)
+    return pairs.select("doc_id", "item_id", F.inline(good))  # a generator, as a filter would compute all this twice
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, overlap, run) of each document and item that overlap beyond the thresholds."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), token_hashes(F.col(text_col)).alias("tokens"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), token_hashes(F.col(item_text_col)).alias("tokens"))
-    items = materialize(items, "items")
+    items = materialize(with_needs(benchmark.select(F.col(item_col).cast("long").alias("item_id"), token_hashes(F.col(item_text_col)).alias("tokens"))), "items")
     hits = materialize(find_hits(rows, items), "hits")
     few = hits.count() <= BROADCAST_HITS
-    with_items = hits.alias("h").join(items.alias("i"), F.expr("h.item_id <=> i.item_id")).select("h.*", F.col("i.tokens").alias("item_tokens"))
-    with_docs = rows.alias("d").join(F.broadcast(with_items.alias("x")) if few else with_items.alias("x"), F.expr("d.doc_id <=> x.doc_id")).select("x.*", F.col("d.tokens").alias("doc_tokens"))
-    verified = verify(with_docs).where((F.col("overlap") >= MIN_OVERLAP) | (F.col("run") >= RUN_TOKENS))
+    bounded = lambda df, ok: F.broadcast(df) if ok else df
+    wanted = hits.select(F.col("doc_id").alias("hit_id")).distinct()
+    picked = rows.join(bounded(wanted, few), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
+    low = F.greatest(F.col("shift") - NEAR, F.lit(0))
+    reach = F.greatest(F.col("shift") + F.col("item_size") + NEAR - low, F.lit(0))
+    met = picked.alias("d").join(bounded(hits.alias("h"), few), F.expr("d.doc_id <=> h.doc_id")).select("h.*", low.alias("low"), F.slice("d.tokens", low + 1, reach).alias("window"))
+    item_tokens = items.select("item", F.col("tokens").alias("item_tokens"))
+    small = (items.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= BROADCAST_TOKENS
+    verified = verify(met.join(bounded(item_tokens, small), "item"))
     return verified.groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"), F.max("run").alias("run"))
 
 
