@@ -29,19 +29,22 @@ tri AS (SELECT rid, i, w AS a, lead(w, 1) OVER q AS b, lead(w, 2) OVER q AS c FR
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM tri WHERE c IS NOT NULL) WHERE n >= 2),
 cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2)) AS o(k) GROUP BY rid),
 ln AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
-dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+dup AS (SELECT rid, count(*) AS lines, count(*) - count(DISTINCT line) AS n FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 m AS (SELECT ws.rid, doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-        CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+        CAST(coalesce(dup.lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
       FROM ws LEFT JOIN cov ON ws.rid = cov.rid LEFT JOIN dup ON ws.rid = dup.rid),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS bad FROM f GROUP BY source),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+f AS (SELECT *, base_failed OR 100 * n_symbols > 25 * word_chars OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 3 * n_words OR word_chars > 10 * n_words AS rule_failed FROM b),
+h AS (SELECT source, count(*) AS n, sum(CASE WHEN rule_failed THEN 1 ELSE 0 END) AS bad FROM f GROUP BY source),
 p AS (SELECT avg(bad / n) AS mean, var_pop(bad / n) - avg(bad / n) * (1 - avg(bad / n)) * avg(1.0 / n) AS between_hosts FROM h),
 s AS (SELECT mean, CASE WHEN between_hosts > 0 THEN least(greatest(mean * (1 - mean) / between_hosts - 1, 0), 1000) ELSE 1000 END AS weight FROM p),
-r AS (SELECT source, (bad + mean * weight) / (n + weight) > 0.5 AS host_failed FROM h, s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed, NOT base_failed AND NOT host_failed AS kept
-FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
+r AS (SELECT source, (bad + mean * weight) / (n + weight) AS rate FROM h, s),
+v AS (SELECT *, CASE WHEN rate > 0.5 THEN 'rejected' WHEN rate <= 0.02 THEN 'trusted' ELSE 'normal' END AS host_verdict FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, rule_failed, round(rate, 6) AS host_rate, host_verdict,
+       NOT base_failed AND host_verdict <> 'rejected' AND (NOT rule_failed OR host_verdict = 'trusted') AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
 

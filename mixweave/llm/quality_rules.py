@@ -1,16 +1,21 @@
 """Quality rules with host verdicts, in DataFrame functions only.
 
 Each text is measured in its own row (no word leaves it): words, symbols, repeated lines, and words in 3-word windows
-that occur twice or more. The measures, a few numbers per document, are written once to the shared folder, since the
-host statistics and the result both need them. Rule failures are summed per domain before the shuffle. The failure
-rates of all domains give a beta prior by the method of moments, which shrinks the rate of a domain with few
-documents towards the common rate. A domain whose shrunk rate exceeds max_host_rate is rejected with all its
-documents. The table of rejected domains is broadcast only if its counted rows are within BROADCAST_HOSTS;
+that occur twice or more. A document fails the base rules if it is short or mostly repeats itself; it fails the doubtful
+ones if symbols make up much of its words, many of its lines repeat, or its words are unusually short or long. The measures,
+a few numbers per document, are written once to the shared folder, since the host statistics and the result both need
+them. Documents that fail any rule are summed per domain before the shuffle. The failure rates of all domains give a
+beta prior by the method of moments, which shrinks the rate of a domain with few documents towards the common rate.
+
+The shrunk rate decides the verdict on a domain, which goes back to its documents. "rejected", above max_host_rate: all
+its documents go. "trusted", up to trusted_host_rate: documents that fail doubtful rules only are excused. "normal": they go too.
+Nothing excuses a failed base rule. The table of rates is broadcast only if its counted rows are within BROADCAST_HOSTS;
 beyond it, an ordinary join is used, whose large partitions adaptive execution splits.
 
 Defined cases. Null or blank text: no words, so the document fails. Documents with a null domain form one domain of
 their own. Repeated rows each count. No documents: no rows. All domains at one rate, or a single one: no variance is
-left to fit, and the prior is the common rate with a weight of MAX_PRIOR documents. Extra columns are ignored.
+left to fit, and the prior is the common rate with a weight of MAX_PRIOR documents. A rate at a threshold is not above it. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +27,10 @@ from mixweave.llm.shared import SPACE_CHARS, let, materialize, word_array
 
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 50  # per cent of words in repeated windows
-MAX_HOST_RATE = 0.5
+MAX_SYMBOL_SHARE = 25  # per cent of the characters of words
+MAX_DUP_LINES = 30  # per cent of the lines with a word
+MIN_MEAN_WORD, MAX_MEAN_WORD = 3, 10  # characters
+MAX_HOST_RATE, TRUSTED_HOST_RATE = 0.5, 0.02
 MAX_PRIOR = 1000.0
 SYMBOLS = "#*$%&|<>"  # fixed values
 BROADCAST_HOSTS = 100_000
@@ -47,7 +55,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep_rows: bool = False) -> DataFrame:
-    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of each document; with keep_rows, also the whole row as a struct."""
+    """doc_id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed and rule_failed (any rule, base or doubtful) of each document; with keep_rows, also the whole row as a struct."""
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_rows else []
     carried = ["row"] if keep_rows else []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
@@ -60,15 +68,18 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
         word_array(text).alias("words"),
         F.length(F.translate(text, SPACE_CHARS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("all"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
     )
-    found = found.select("doc_id", "host", *carried, F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("words")).alias("n_repeat_words"))
-    return found.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words")))
+    found = found.select("doc_id", "host", *carried, F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", F.col("lines.all").alias("n_lines"), F.col("lines.dup").alias("n_dup_lines"), repeated_words(F.col("words")).alias("n_repeat_words"))
+    found = found.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words")))
+    doubtful = (100 * F.col("n_symbols") > MAX_SYMBOL_SHARE * F.col("word_chars")) | (100 * F.col("n_dup_lines") > MAX_DUP_LINES * F.col("n_lines"))
+    doubtful = doubtful | (F.col("word_chars") < MIN_MEAN_WORD * F.col("n_words")) | (F.col("word_chars") > MAX_MEAN_WORD * F.col("n_words"))
+    return found.withColumn("rule_failed", F.col("base_failed") | doubtful)
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
     """One row per host: documents, failures, and the failure rate shrunk by the prior that all hosts give."""
-    hosts = materialize(measured.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")), "rates")
+    hosts = materialize(measured.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("rule_failed").cast("long")).alias("n_failed")), "rates")
     rate = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"), F.avg(1 / F.col("n_docs")).alias("inverse"))
     # the variance between hosts, less what drawing n_docs documents alone brings
@@ -79,21 +90,24 @@ def host_rates(measured: DataFrame) -> DataFrame:
     return hosts.select("host", "n_docs", "n_failed", ((F.col("n_failed") + F.lit(mean) * F.lit(weight)) / (F.col("n_docs") + F.lit(weight))).alias("host_rate"))
 
 
-def verdicts(measured: DataFrame, max_host_rate: float) -> DataFrame:
-    """The rows of a materialised table of measures with host_failed and kept."""
-    rejected = materialize(host_rates(measured).where(F.col("host_rate") > max_host_rate).select("host", F.lit(True).alias("host_failed")), "hosts")
-    if rejected.count() <= BROADCAST_HOSTS:
-        rejected = F.broadcast(rejected)
-    joined = measured.alias("m").join(rejected.alias("r"), F.expr("m.host <=> r.host"), "left").select("m.*", F.coalesce("r.host_failed", F.lit(False)).alias("host_failed"))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("host")
+def verdicts(measured: DataFrame, max_host_rate: float, trusted_host_rate: float) -> DataFrame:
+    """The rows of a materialised table of measures with host_rate, host_verdict and kept."""
+    rates = materialize(host_rates(measured).select("host", "host_rate"), "hosts")
+    if rates.count() <= BROADCAST_HOSTS:
+        rates = F.broadcast(rates)
+    joined = measured.alias("m").join(rates.alias("r"), F.expr("m.host <=> r.host"), "left").select("m.*", "r.host_rate")
+    verdict = F.when(F.col("host_rate") > max_host_rate, "rejected").when(F.col("host_rate") <= trusted_host_rate, "trusted").otherwise("normal")
+    joined = joined.withColumn("host_verdict", verdict)
+    excused = ~F.col("rule_failed") | (F.col("host_verdict") == "trusted")
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_verdict") != "rejected") & excused).drop("host")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The measures of each document with host_failed and kept: false if base_failed, else its host's verdict."""
-    return verdicts(materialize(measures(docs, id_col, text_col, host_col), "quality"), max_host_rate)
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE, trusted_host_rate: float = TRUSTED_HOST_RATE) -> DataFrame:
+    """The measures of each document with the rate and verdict of its host, and kept: false if base_failed, else what the host's verdict leaves."""
+    return verdicts(materialize(measures(docs, id_col, text_col, host_col), "quality"), max_host_rate, trusted_host_rate)
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE, trusted_host_rate: float = TRUSTED_HOST_RATE) -> DataFrame:
     """The rows of docs that are kept. They are written once beside their measures, so no text is shuffled and none is measured twice."""
     measured = materialize(measures(docs, id_col, text_col, host_col, keep_rows=True), "quality")
-    return verdicts(measured, max_host_rate).where("kept").select("row.*")
+    return verdicts(measured, max_host_rate, trusted_host_rate).where("kept").select("row.*")
