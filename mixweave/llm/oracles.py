@@ -48,15 +48,18 @@ FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
 
-def op6(events: tuple[tuple[str, ...], ...], start: str, days: int) -> str:
+def op6(events: tuple[tuple[str, ...], ...], listed: int, start: str, days: int) -> str:
     rows = ", ".join("(" + ", ".join(f"'{x}'" for x in e) + ")" for e in events)
     return f"""
-WITH e AS (SELECT list_name, kind, key, action, CAST(day AS TIMESTAMP) AS ts FROM (VALUES {rows}) AS v(list_name, kind, key, action, day)),
+WITH e AS (SELECT list_name, kind, key, action, CAST(day AS TIMESTAMP) AS ts FROM (VALUES {rows}) AS v(list_name, kind, key, action, day)
+    UNION ALL SELECT 'generated', 'domain', 'listed-' || i || '.example.net', CASE WHEN j % 2 = 0 THEN 'add' ELSE 'remove' END, TIMESTAMP '2022-01-01' + to_days(CAST((i * 7 + j * 61) % 1000 AS INT))
+    FROM range({listed}) AS h(i), range(5) AS n(j) WHERE j <= i % 5),
 c AS (SELECT page_id, url, TIMESTAMP '{start}' + to_days(CAST(page_id % {days} AS INT)) AS t,
         lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS path FROM pages),
-last AS (SELECT page_id, list_name, kind, key, arg_max(action, ts) AS state FROM c JOIN e
-         ON ts <= t AND ((kind = 'domain' AND (host = key OR ends_with(host, '.' || key))) OR (kind = 'prefix' AND (host || path = key OR starts_with(host || path, key || '/'))))
-         GROUP BY ALL),
+s AS (SELECT *, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), lambda x: x <> '') AS steps FROM c),
+k AS (SELECT page_id, t, 'domain' AS kind, unnest([array_to_string(labels[i:], '.') for i in range(1, len(labels) + 1)]) AS key FROM s
+    UNION ALL SELECT page_id, t, 'prefix', unnest([host || '/' || array_to_string(steps[1:i], '/') for i in range(1, len(steps) + 1)]) FROM s),
+last AS (SELECT page_id, list_name, kind, key, arg_max(action, ts) AS state FROM k JOIN e USING (kind, key) WHERE ts <= t GROUP BY ALL),
 hit AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT list_name, ',' ORDER BY list_name) AS lists FROM last WHERE state = 'add' GROUP BY page_id)
 SELECT c.page_id, n IS NOT NULL AS blocked, coalesce(n, 0) AS n_entries, coalesce(lists, '') AS lists FROM c LEFT JOIN hit USING (page_id)
 """

@@ -251,9 +251,10 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     assert {r.doc_id: r.contaminated for r in decontam.decontaminate(frame(spark, rows), bench).collect()} == {1: True, 2: False}
 
 
-@pytest.mark.parametrize("most", [url_filters.BROADCAST_ENTRIES, 0])
+@pytest.mark.parametrize("most", [url_filters.BROADCAST_BYTES, 0])
 def test_url_lists_hold_in_their_time(spark, monkeypatch, most):
-    monkeypatch.setattr(url_filters, "BROADCAST_ENTRIES", most)
+    monkeypatch.setattr(url_filters, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(url_filters, "SALT_ROWS", url_filters.SALT_ROWS if most else 2)
     log = [("a", "domain", "bad.org", "add", 10), ("a", "domain", "bad.org", "add", 15), ("a", "domain", "bad.org", "remove", 20), ("a", "domain", "bad.org", "add", 30), ("b", "domain", "BAD.org", "add", 12), ("b", "prefix", "ok.org/x/y", "add", 5), ("c", "domain", "gone.org", "remove", 3), ("c", "domain", "tie.org", "remove", 4), ("c", "domain", "tie.org", "add", 4), ("c", None, None, "add", 1)]
     events = spark.createDataFrame(log, "list_name string, kind string, key string, action string, s long").withColumn("at", F.timestamp_seconds("s")).drop("s")
     rows = [("http://bad.org/", 9), ("http://bad.org/", 10), ("https://u:p@www.BAD.org:80/q", 11), ("http://bad.org", 19), ("http://bad.org", 20), ("http://notbad.org/", 15), ("http://bad.org.", 31), ("http://ok.org/x/y/z?q=/w", 6), ("http://ok.org/x/yy", 6), ("http://ok.org/x", 6), ("http://gone.org/", 9), ("http://tie.org/", 4), (None, 5), ("nonsense", 5), ("http://bad.org/", None), ("http://bad.org", 19)]
@@ -264,6 +265,26 @@ def test_url_lists_hold_in_their_time(spark, monkeypatch, most):
     assert url_filters.evaluate(captures.limit(0), events).count() == 0
 
 
+def test_long_url_lists_against_a_replay(spark, monkeypatch):
+    """100 000 entries, some with histories of hundreds of events, and a busy host; each capture against a replay of the log."""
+    monkeypatch.setattr(url_filters, "SALT_ROWS", 100)
+    rng = random.Random(8)
+    log = [(f"l{i % 3}", "domain", f"h{i}.org", "add", rng.randrange(1000)) for i in range(100_000)]
+    log += [(f"l{rng.randrange(3)}", "domain", f"h{rng.randrange(20)}.org", rng.choice(["add", "remove"]), rng.randrange(1000)) for _ in range(8000)]
+    captures = [(i, f"http://h{0 if i % 3 == 0 else rng.randrange(40)}.org/{i % 500}", rng.randrange(1000)) for i in range(1500)]
+    history = {}
+    for name, _, key, action, at in sorted(log, key=lambda e: (e[4], e[3] == "add")):  # of equal times, additions last
+        if int(key[1:-4]) < 40:
+            history.setdefault((key, name), []).append((at, action))
+    want = {}
+    for i, url, at in captures:
+        held = [name for (key, name), h in history.items() if key == url[7:].split("/")[0] and [a for t, a in h if t <= at][-1:] == ["add"]]
+        want[i] = (len(held), ",".join(sorted(held)))
+    events = spark.createDataFrame(log, "list_name string, kind string, key string, action string, s long").withColumn("at", F.timestamp_seconds("s")).drop("s")
+    rows = spark.createDataFrame(captures, "id long, url string, s long").select("id", "url", F.timestamp_seconds("s").alias("fetch_time"))
+    assert {r.id: (r.n_entries, r.lists) for r in url_filters.evaluate(rows, events).collect()} == want
+
+
 def test_archive_round_trip(spark, tmp_path):
     rows = [(1, "http://a/", "same"), (5, "http://b/", "same"), (3, "http://c/\r\nX: 1", "same"), (2, None, None), (4, "http://d/", ""), (7, "http://e/", "é😀" * 4000), (8, "http://f/", "ends\r\n\r\n"), (9, "http://g/", "twice"), (9, "http://g/", "twice"), (None, "http://h/", "same"), (None, "http://i/", "lone")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("clash")).repartition(3)
