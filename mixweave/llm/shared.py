@@ -17,9 +17,11 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (local tests)."""
+    """The folder that driver and executors share; a temporary one only where none is configured and all run on this machine (local tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("mixweave.shared.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="mixweave-")
         spark.conf.set("mixweave.shared.dir", path)
     return path.rstrip("/")
