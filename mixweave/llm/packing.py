@@ -28,6 +28,7 @@ from mixweave.llm.shared import text_slices
 WINDOW = 2048
 END_ID = 1
 GROUP_DOCS = 4096  # documents whose rests are packed together, on average
+EQUAL_RUN = 512  # pieces equal in all that may share a group
 CACHE_CHUNKS = 300_000  # distinct chunks whose ids a worker keeps between batches
 SLICE_BYTES = 8 << 20
 
@@ -60,6 +61,12 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         level = spec["pre_tokenizer"] or {}
+        # merges by rank need ids in the order of the merges
+        merged = ["".join(m if isinstance(m, list) else m.split(" ", 1)) for m in spec["model"].get("merges", [])]
+        order = [spec["model"]["vocab"].get(m, -1) for m in merged]
+        plain = all(not t.get("lstrip") and not t.get("rstrip") and not t.get("single_word") and " " not in t["content"] for t in spec["added_tokens"])
+        if order != sorted(order) or not plain:
+            raise ValueError(f"{path} has ids out of merge order, or special strings that take in their neighbours")
         if spec["model"]["type"] != "BPE" or spec["normalizer"] or level.get("type") != "ByteLevel" or level.get("add_prefix_space") or not level.get("use_regex", True):
             raise ValueError(f"{path} isn't a plain byte-level BPE vocabulary")
         alphabet = byte_alphabet()
@@ -202,5 +209,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         return rows.drop_columns(["group"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
 
     cut = pieces(docs, tokenizer_path, window, end_id, id_col, text_col)
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens", "ids_crc32"), F.lit(groups)))
+    # pieces that are equal in all are dealt out by runs, however many there are
+    own = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    runs = cut.groupBy(*own).agg(F.count("*").alias("n")).select(*own, "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / EQUAL_RUN))).alias("run"))
+    dealt = runs.select(*own, F.pmod(F.xxhash64(*own, "run"), F.lit(groups)).alias("group"), F.explode(F.sequence(F.col("run") * EQUAL_RUN, F.least(F.col("n"), (F.col("run") + 1) * EQUAL_RUN) - 1)).alias("copy")).drop("copy")
     return dealt.groupBy("group").applyInArrow(fill, PACKED_SCHEMA)
