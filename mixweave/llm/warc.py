@@ -2,12 +2,13 @@
 
 payloads: each distinct payload once, under its SHA-256, with its length and SHA-1. headers: the exact header block of
 every record, and the digests of its payload. Of the pages with equal payloads the one with the largest id is a
-response; the others are revisits that refer to it. Reading back verifies each stored payload against both digests
-once, and joins headers to payloads by digest; records() gives whole records, byte for byte.
+response; the others are revisits that refer to it. Reading back joins headers to payloads by digest, which rebuilds whole
+records, byte for byte, and verifies length and both digests of each rebuilt body. A revisit has no body; it takes its
+length from what was proven of its payload.
 
-Only digests and ids are shuffled to choose the responses; a payload moves once, to be stored. The join of headers to
-payload checks carries a few numbers per payload, and adaptive execution splits the partition of a digest that many
-records share.
+Only digests and ids are shuffled to choose the responses. A payload is stored where it was read unless the pages whose
+payloads another one has are more than BROADCAST_LOSERS, and moves once, to meet its header. The join of revisits to what was proven
+carries a few numbers per payload, and adaptive execution splits the partition of a digest that many records share.
 
 Defined cases. Null html: an empty payload, which takes part like any other. Empty table: empty archive. Rows with
 equal page ids: each has its own record; among rows with the largest id of a payload, all are responses (their bytes
@@ -20,8 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mixweave.llm.shared import materialize
+
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed values
 MIN_REVISIT = 0
+BROADCAST_LOSERS = 500_000  # rows of an id and a digest
 
 
 def base32(hex_digest: Column) -> Column:
@@ -61,13 +65,15 @@ def header_block(url: Column, page_id: Column, kind: Column, digest: Column, siz
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT, date: str = "1970-01-01T00:00:00Z") -> None:
     """Writes the tables path/payloads and path/headers. date is the records' WARC-Date, as pages carry none."""
     rows = with_digests(pages, id_col, url_col, html_col)
-    narrow = rows.drop("payload")
-    winners = narrow.groupBy("sha256").agg(F.max("page_id").alias("response_id"))
-    # payloads: the rows that win, by a join on the id, so that no digest gathers payloads
-    keys = winners.select(F.col("response_id"), F.col("sha256").alias("digest"))
-    stored = rows.alias("p").join(keys.alias("k"), F.expr("p.page_id <=> k.response_id and p.sha256 = k.digest"), "left_semi").select("sha256", "sha1", "payload_bytes", "payload")
+    narrow = materialize(rows.drop("payload"), "pages")
+    winners = narrow.groupBy("sha256").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n"))
+    # payloads: all but those of rows that lose, by a join on the id, so that no digest gathers payloads
+    losers = materialize(narrow.join(winners.where("n > 1"), "sha256").where("not page_id <=> response_id").select(F.col("page_id").alias("lost_id"), F.col("sha256").alias("digest")).distinct(), "losers")
+    if losers.count() <= BROADCAST_LOSERS:
+        losers = F.broadcast(losers)
+    stored = rows.join(losers, F.col("page_id").eqNullSafe(F.col("lost_id")) & (F.col("sha256") == F.col("digest")), "left_anti").select("sha256", "sha1", "payload_bytes", "payload")
     stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
-    records = narrow.join(winners, "sha256")
+    records = narrow.join(winners.drop("n"), "sha256")
     own = (F.col("payload_bytes") < min_revisit) | F.col("page_id").eqNullSafe(F.col("response_id"))
     kind = F.when(own, F.lit("response")).otherwise(F.lit("revisit"))
     records = records.withColumns({"kind": kind, "refers": F.when(~own, F.col("response_id"))})
@@ -89,21 +95,27 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def payload_checks(spark: SparkSession, path: str) -> DataFrame:
-    """For each stored digest, the length and SHA-1 of the bytes as read, and whether all that was noted of them holds. Copies of a payload agree, so one row per digest remains."""
-    read = spark.read.parquet(f"{path}/payloads").select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("read_sha1"), ((F.sha2("payload", 256) == F.col("sha256")) & (F.sha1("payload") == F.col("sha1")) & (F.octet_length("payload") == F.col("payload_bytes"))).alias("whole"))
-    return read.groupBy("sha256").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("read_sha1").alias("read_sha1"), F.min("whole").alias("whole"))
-
-
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record in full: page_id, record (header, payload of a response, and the closing empty lines) and payload (a revisit has that of its response)."""
+    """Every record in full: page_id, sha256, record_type, refers_to, header and record, which is the header, a response's payload and the closing empty lines; null if the payload is missing."""
     stored = spark.read.parquet(f"{path}/payloads").dropDuplicates(["sha256"]).select("sha256", "payload")
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return headers(spark, path).join(stored, "sha256", "left").select("page_id", F.concat(F.col("header").cast("binary"), body, F.lit(b"\r\n\r\n")).alias("record"), "payload", "record_type")
+    parsed = headers(spark, path)
+    whole = lambda body: F.concat(F.col("header").cast("binary"), body, F.lit(b"\r\n\r\n")).alias("record")
+    named = ["page_id", "sha256", "record_type", "refers_to", "payload_digest", "header"]
+    # only responses meet payloads, so a payload that many revisits share moves once
+    responses = parsed.where("record_type = 'response'").join(stored, "sha256", "left").select(*named, whole(F.col("payload")))
+    return responses.unionByName(parsed.where("record_type <> 'response'").select(*named, whole(F.lit(b""))))
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record with what was read back; a payload that is missing or fails its digests raises an error."""
-    checked = headers(spark, path).alias("h").join(payload_checks(spark, path).alias("c"), "sha256", "left")
-    sound = F.coalesce(F.col("whole") & (base32(F.col("read_sha1")) == F.col("payload_digest")), F.lit(False))
-    return checked.select("page_id", F.when(sound, F.col("payload_bytes")).otherwise(F.raise_error(F.concat(F.lit("payload fails its digest: "), F.col("sha256")))).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    """One row per record with what was read from the rebuilt records; a payload that is missing or fails its length or digests raises an error."""
+    head, size = F.octet_length("header"), F.regexp_extract("header", r"\r\nContent-Length: (\d+)\r\n", 1).cast("int")
+    body = F.substring(F.col("record"), head + 1, size)
+    sound = (F.octet_length("record") == head + size + 4) & (base32(F.sha1("body")) == F.col("payload_digest")) & ((F.col("record_type") == "revisit") | (F.sha2("body", 256) == F.col("sha256")))
+    rebuilt = records(spark, path).withColumn("body", body)
+    read = rebuilt.where("record_type = 'response'").select("page_id", "sha256", "record_type", "refers_to", "payload_digest", F.octet_length("body").cast("long").alias("bytes"), F.coalesce(sound, F.lit(False)).alias("whole"))
+    read = materialize(read, "responses")  # a few numbers for each payload
+    facts = read.groupBy("sha256").agg(F.max("bytes").alias("bytes"), F.min("whole").alias("whole"), F.max("payload_digest").alias("own_digest"))
+    revisits = rebuilt.where("record_type = 'revisit'").select("page_id", "sha256", "record_type", "refers_to", "payload_digest", (F.octet_length("record") == head + size + 4).alias("closed"))
+    again = revisits.alias("r").join(facts.alias("f"), "sha256", "left").select("r.page_id", "sha256", "r.record_type", "r.refers_to", "r.payload_digest", "f.bytes", F.coalesce(F.col("f.whole") & F.col("r.closed") & (F.col("f.own_digest") == F.col("r.payload_digest")), F.lit(False)).alias("whole"))
+    proven = F.when(F.col("whole"), F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("payload fails its digest: "), F.col("sha256"))))
+    return read.unionByName(again).select("page_id", proven.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
