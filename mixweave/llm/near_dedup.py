@@ -8,7 +8,8 @@ the probability. Only darts of small rank are made, about k ln k for each docume
 that leaves a coordinate empty throws further. With weighting="set" all weights are one, and the similarity is
 that of shingle sets; "count" weighs a shingle by its occurrences.
 
-Copies of a text are first collapsed to one representative. Equal bands of ROWS coordinates put representatives into
+Copies of a text have one representative (copies are signed too, as that costs less than moving all texts to find out which
+are; what they signed is dropped at once). Equal bands of ROWS coordinates put representatives into
 buckets. A bucket never makes its pairs: its members are compared to one leader, the member that shares most
 buckets overall, which is the centre of a family of copies. Candidates are then verified on whole texts. In further
 rounds, a bucket whose members are still in several components compares one member of each to one of another, drawn
@@ -18,9 +19,10 @@ made; every pair that shares a bucket is in one component or was compared. Links
 at the threshold shares a band with probability 1 - (1 - 0.8^4)^24, all but 3e-6.
 
 Defined cases. Null text counts as empty. Equal texts are one class, the empty ones too; otherwise documents without
-words link to nothing. Texts of one to four words have one shingle, all their words. Repeated rows: one row each, of one class. A null
-doc_id takes no part: its class is null, and it is kept. Class ids are the least doc_id of the class, so ties don't
-arise. Empty tables give empty results. Extra columns are ignored.
+words link to nothing. Texts of one to four words have one shingle, all their words. Repeated rows: one row each, of one class; any one of
+them is kept by deduplicate. Rows with one doc_id and different texts are documents of their own. A null
+doc_id takes no part: its class is null, and it is kept. Class ids are the least doc_id of the class; of its texts with that id,
+the one whose digest is least stays. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ from mixweave.llm.shared import materialize, text_slices
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
+BROADCAST_CLASHES = 1_000_000
 ROUNDS = 2  # further rounds of candidates between components of a bucket
 SLICE_BYTES = 4 << 20
 PART_ROWS, PART_BYTES = 1024, 4 << 20  # about the members of a block in the exact comparison
@@ -304,14 +307,21 @@ def rest(shared: DataFrame, labels: DataFrame, texts: DataFrame, weighting: str,
     return rows.groupBy("key", "left", "right").applyInArrow(compare, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighting: str = "set", bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id of its class) and kept (whether it is that document)."""
+def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, weighting: str, bands: int, rows: int, rounds: int) -> DataFrame:
+    """One row per document: doc_id, digest of the text, class_id and kept."""
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     copies = materialize(rows_in.select("doc_id", F.sha2("text", 256).alias("digest")), "digests")
-    firsts = materialize(copies.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "copies")
-    originals = rows_in.join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-
-    signed = materialize(band_keys(rows_in.where("doc_id is not null"), weighting, bands, rows), "bands")
+    firsts = copies.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
+    clashes = materialize(firsts.groupBy(F.col("least").alias("clash")).agg(F.count("*").alias("n")).where("n > 1").select("clash"), "clashes")
+    n_clashes = clashes.count()
+    # texts are told apart by their least id; those that share it, by a hash of id and digest
+    named = lambda df, of: df.join(F.broadcast(clashes) if n_clashes <= BROADCAST_CLASHES else clashes, F.col(of) == F.col("clash"), "left") if n_clashes else df.withColumn("clash", F.lit(None).cast("long"))
+    node = lambda of, digest: F.when(F.col("clash").isNull(), F.col(of)).otherwise(F.xxhash64(F.col(of), digest))
+    firsts = materialize(named(firsts, "least").select("digest", "least", node("least", F.col("digest")).alias("rep")), "copies")
+    marked = named(rows_in.where("doc_id is not null"), "doc_id").select(node("doc_id", F.sha2("text", 256)).alias("doc_id"), "text")
+    originals = marked.join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+
+    signed = materialize(band_keys(marked, weighting, bands, rows), "bands")
     signed = signed.join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").distinct()
     full = signed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(signed.join(full, "key"), "buckets")
@@ -331,14 +341,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     more = materialize(rest(shared, labels, texts, weighting, threshold), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
-    named = copies.join(firsts, "digest").join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep"))
-    named = named.select("doc_id", class_id.alias("class_id"))
-    alone = copies.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
-    return named.where("doc_id is not null").unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    named_texts = firsts.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("digest", "least", F.coalesce("label", "rep").alias("label"))
+    heads = named_texts.groupBy("label").agg(F.min(F.struct("least", "digest")).alias("head"))
+    found = copies.where("doc_id is not null").join(named_texts.join(heads, "label").select("digest", "head"), "digest")
+    found = found.select("doc_id", "digest", F.col("head.least").alias("class_id"), ((F.col("doc_id") == F.col("head.least")) & (F.col("digest") == F.col("head.digest"))).alias("kept"))
+    return found.unionByName(copies.where("doc_id is null").select("doc_id", "digest", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept")))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighting: str = "set", bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+    """One row per document: doc_id, class_id (the least doc_id of its class) and kept (whether it is the document that stays)."""
+    return classified(docs, id_col, text_col, threshold, weighting, bands, rows, rounds).drop("digest")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighting: str = "set", bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """The documents with all their columns, one of each class; documents with a null id are all kept."""
-    kept = classes(docs, id_col, text_col, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col))
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    kept = classified(docs, id_col, text_col, threshold, weighting, bands, rows, rounds).where("kept and doc_id is not null").select("doc_id", "digest").distinct()
+    own = docs.where(F.col(id_col).isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"))
+    own = own.join(kept, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    return own.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

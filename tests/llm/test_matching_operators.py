@@ -64,6 +64,23 @@ def test_near_duplicate_classes(spark):
     assert near_dedup.classes(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most", [near_dedup.BROADCAST_CLASHES, 0])
+def test_rows_with_one_id_and_different_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dedup, "BROADCAST_CLASHES", most)
+    base = prose(1, 200)
+    rows = [(5, base), (5, prose(2, 200)), (5, prose(2, 200)), (7, edited(base, 1, 3)), (8, prose(2, 200)), (9, prose(3, 50)), (9, edited(prose(3, 50), 1, 1)), (4, prose(4, 80)), (4, edited(prose(4, 80), 1, 1))]
+    kept = {(r.doc_id, r.text) for r in near_dedup.deduplicate(frame(spark, rows)).collect()}
+    assert {(5, base), (5, prose(2, 200))} <= kept and not {7, 8} & {d for d, _ in kept}
+    assert len([1 for d, _ in kept if d == 4]) == 1 + (near(prose(4, 80), edited(prose(4, 80), 1, 1)) < 0.8)
+    got = Counter((r.doc_id, r.class_id) for r in near_dedup.classes(frame(spark, rows)).collect())
+    assert got == Counter({(5, 5): 3, (7, 5): 1, (8, 5): 1, (9, 9): 2, (4, 4): 2})
+
+
+def near(a, b):
+    x, y = shingle_set(a), shingle_set(b)
+    return len(x & y) / len(x | y)
+
+
 def test_family_around_one_centre(spark):
     """Copies that are similar to the original but not to each other are all in its class."""
     base = prose(7, 400)
@@ -301,17 +318,29 @@ def test_archive_round_trip(spark, tmp_path):
         want[(i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if own else "revisit", None if own else best)] += 1
     assert got == want
     assert spark.read.parquet(f"{path}/payloads").select("sha256").distinct().count() == len({h or "" for _, _, h in rows})
+    bodies = Counter()
     for r in warc.records(spark, path).collect():
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-        assert fields["WARC-Type"] == r.record_type and len(rest) == int(fields["Content-Length"]) + 4 and rest.endswith(b"\r\n\r\n")
-        assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(r.payload).digest()).decode() and "X" not in fields
+        assert fields["WARC-Type"] == r.record_type and len(rest) == int(fields["Content-Length"]) + 4 and rest.endswith(b"\r\n\r\n") and "X" not in fields
+        if r.record_type == "response":
+            assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(rest[:-4]).digest()).decode()
+            bodies[(r.page_id, rest[:-4])] += 1
+    assert bodies == Counter((i, (h or "").encode()) for i, _, h in rows if (-(10**9) if i is None else i) == top[h or ""])
     warc.write_archive(pages.limit(0), str(tmp_path / "none"))
     assert warc.index(spark, str(tmp_path / "none")).count() == 0
     warc.write_archive(pages, str(tmp_path / "small"), min_revisit=5)
     assert {r.record_type for r in warc.index(spark, str(tmp_path / "small")).where("payload_bytes < 5").collect()} == {"response"}
 
 
+def test_archive_without_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_LOSERS", 0)
+    pages = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, "u", "own"), (None, "u", "same")], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "x"))
+    assert spark.read.parquet(str(tmp_path / "x/payloads")).count() == 2
+    assert {(r.page_id, r.record_type, r.refers_to) for r in warc.index(spark, str(tmp_path / "x")).collect()} == {(1, "revisit", 2), (2, "response", None), (3, "response", None), (None, "revisit", 2)}
+
+
 def test_archive_notices_damage(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "text")], "page_id long, url string, html string")
     warc.write_archive(pages, str(tmp_path / "x"))
