@@ -156,6 +156,36 @@ def test_language_profiles(spark):
     assert language_id.identify(frame(spark, [])).count() == 0
 
 
+def test_predictions_are_the_least_out_of_place_distance(spark):
+    text = {"aa": "abab baba abba cab", "bb": "xyxy yxyx xyyx cab", "cc": "mnop ponm abx"}
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice((text["aa"] + " " + text["bb"] + " " + text["cc"]).split(), int(rng.integers(1, 30)))), str(rng.choice(["aa", "bb", "cc"]))) for i in range(120)]
+    rows += [(200, "qq", None), (201, "ab 12 é", None), *awkward()]
+    top = 25
+
+    def ranked(texts):
+        n = Counter()
+        for t in texts:
+            for word in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split():
+                w = f" {word} "
+                n.update([*word, *[w[i : i + 2] for i in range(len(w) - 1)], *[w[i : i + 3] for i in range(len(w) - 2)]])
+        # equal counts: the smaller as code points of one, two or three characters, an edge before any letter
+        code = lambda g: sum((ord(c) + 1 if c != " " else 1) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+        return sorted(n, key=lambda g: (-n[g], code(g)))[:top]
+
+    train = [r for r in rows if r[0] is not None and r[1] is not None and len(r) > 2 and r[2] and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    train += [(d, t, "en") for d, t in awkward() if d is not None and t is not None and zlib.crc32(str(d).encode()) % 3 != 1]
+    profile = {lang: ranked([t for _, t, x in train if x == lang]) for lang in sorted({x for _, _, x in train})}
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language_id.identify(frame(spark, rows), top=top).collect())
+    want = Counter()
+    for d, t, *_ in rows:
+        mine = ranked([t])
+        far = {x: sum(abs(p.index(g) - i) if g in p else top for i, g in enumerate(mine)) for x, p in profile.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        want[(d, best, round(1 - far[best] / (top * len(mine)), 9)) if mine else (d, "und", 0.0)] += 1
+    assert got == want
+
+
 def test_profiles_count_all_training_text(spark):
     rows = [(i, prose(i, 50), "en" if i % 2 else "fr") for i in range(12)]
     table = language_id.letters()
@@ -178,6 +208,41 @@ def test_license_scan_keeps_other_notices_of_a_window(spark):
     assert got[2] == {"GPL-2.0-line"} and got[3] == {"GPL-3.0-line"} and got[4] == got[5] == {"GPL-2.0-line", "GPL-3.0-line"}
 
 
+def brute_containment(text, template):
+    """The largest share of the template's shingles in one of the windows of its size."""
+    words = [w for w in map(license_scan.normal, (text or "").split())]
+    gram = lambda w: [tuple(w[i : i + 3]) for i in range(len(w) - 2)] or ([tuple(w)] if w else [])
+    wanted = set(gram([license_scan.normal(w) for w in template.split()]))
+    half, own = license_scan.BLOCK << license_scan.level_of(len(wanted)), gram(words)
+    return max((len(wanted & set(own[i : i + 2 * half])) / len(wanted) for i in range(0, len(own), half)), default=0.0)
+
+
+def test_license_matches_are_all_windows_by_all_templates(spark):
+    bank = {f"t{i}": prose(500 + i, n) for i, n in enumerate([1, 2, 3, 4, 5, 9, 20, 60, 150, 400, 2500])}
+    rng = np.random.default_rng(3)
+    rows = list(awkward())
+    for i in range(40):
+        words = prose(i, int(rng.integers(0, 300))).split()
+        for name in rng.choice(sorted(bank), 3, replace=False):
+            part = bank[name].split()
+            for at in rng.choice(len(part), int(len(part) * rng.choice([0, 0, 0.02, 0.06, 0.1])), replace=False):
+                part[at] = f"new{i}"
+            words = words + part + prose(90 + i, int(rng.integers(0, 40))).split()
+        rows.append((100 + i, " ".join(words)))
+    rows += [(200, bank["t2"]), (200, bank["t2"]), (201, bank["t3"] + " " + bank["t5"])]
+    got = {(r.doc_id, r.template): round(r.containment, 9) for r in license_scan.matches(frame(spark, rows).withColumn("template", F.lit("clash")), bank).collect()}
+    found = {(d, name): round(brute_containment(text, t), 9) for d, text in rows if d is not None for name, t in bank.items()}
+    assert got == {k: v for k, v in found.items() if v >= license_scan.CONTAINMENT} and len(got) > 80
+    per_doc = Counter(r.doc_id for r in license_scan.scan_licenses(frame(spark, rows), bank).collect())
+    assert per_doc == Counter(d for d, _ in rows)
+
+
+def test_license_scan_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "BROADCAST_BYTES", 0)
+    rows = [(1, prose(1, 30) + " " + TEMPLATES["GPL-header"] + " " + TEMPLATES["MIT-line"]), (2, prose(2, 90))]
+    assert {r.doc_id: r.licenses for r in license_scan.scan_licenses(frame(spark, rows), TEMPLATES).collect()} == {1: "GPL-header,MIT-line", 2: ""}
+
+
 def test_license_scan(spark):
     def inside(seed, name, before, after):
         return prose(seed, before) + "\n" + TEMPLATES[name] + "\n" + prose(seed + 1, after)
