@@ -313,8 +313,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
     digests = materialize(rows.select("doc_id", "print", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("digest")), "digests")
     total = int(digests.agg(F.sum("size")).first()[0] or 0)
     n_blocks, buckets = max(1, math.ceil(total / BLOCK_BYTES)), max(1, math.ceil(total / BUCKET_BYTES))
-    block_of = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block")
-    dealt = rows.select(block_of, "*")
+    block_of = F.pmod(F.xxhash64("doc_id", "print"), F.lit(n_blocks)).alias("block")
+    dealt = rows.where("doc_id is not null").select(block_of, "*")
     firsts = digests.where("doc_id is not null and size > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = digests.join(firsts, "digest").where("doc_id > first").select(block_of, "doc_id", "print")
     # as many ids as a block has documents, which is bounded
@@ -462,7 +462,11 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
     told = joined(copies, anchors_told, strings_told)
     contexts = to_blocks(told, send_contexts, "bucket long, block long, number long, distance long, context binary, least long, most long")
     replies = contexts.groupBy("bucket").applyInArrow(sort_suffixes, told_schema)
-    return to_blocks(joined(told, replies), remove, FOUND_SCHEMA + (f", rest {rest_type.simpleString()}" if others else ""))
+    found = to_blocks(joined(told, replies), remove, FOUND_SCHEMA + (f", rest {rest_type.simpleString()}" if others else ""))
+    # documents without an id take no part, so none of them goes to a block
+    body, none = F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.array().cast("array<long>")
+    apart = [F.col("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), body.alias("kept"), none.alias("span_starts"), none.alias("span_ends")]
+    return found.unionByName(rows.where("doc_id is null").select(*apart, *(["rest"] if others else [])))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
