@@ -10,13 +10,15 @@ shift; so substituted tokens cost only their own places, and a few inserted or l
 is contaminated if an item overlaps it in MIN_OVERLAP of its tokens or in RUN_TOKENS tokens in a row.
 
 The masks miss nothing of this kind. An item of n tokens is cut into q = n // 5 blocks and a rest of r tokens. If
-MIN_OVERLAP of the tokens are equal along one shift, at least t = ⌈(q - r + ⌈0.6 r⌉) / 3⌉ blocks have three equal ones, so
-some mask hits in each of these. The most common (t - 1) // 2 blocks need no hashes at all (this is how phrases that many
-items share are kept out of the join), and still t - (t - 1) // 2 distinct blocks are hit; an item whose hits are in fewer
-is not compared. That number is taken one less (at least one, at most MOST_NEEDED), so that a place where tokens were put in or
-lost may spoil a block. Items below SHORT tokens can't spare one: theirs are also hashed as they lie with one token more or
-less between two chosen ones. The last five tokens of an item are a block too. Only blocks with a hash that occurs more than RARE times among the items are left out. Any RUN_TOKENS equal tokens in a row hold the nine tokens from some block's start on, and one hit of RUN_MASK
-is enough.
+MIN_OVERLAP of the tokens are equal along one shift, at least M = ⌈0.6 n⌉ - r of them lie in blocks; a block with m equal ones has
+m (m - 1) (m - 2) / 6 choices of three, so the number of hits is least where the equal ones are spread evenly, which gives the
+hits that an item needs to be compared (4 for 20 tokens, 8 for 40 tokens). It is
+taken one less from SHORT tokens on, as a place where tokens were put in or lost may spoil a block. Shorter items can't spare
+one: theirs are also hashed as they lie with one token more or less between two chosen ones. The last five tokens of an item
+are a block too, which is what makes one hit sure in items of up to nine. Phrases that many items share are kept out of
+the join: t = ⌈(q - r + ⌈0.6 r⌉) / 3⌉ blocks are hit at least, so up to (t - 1) // 2 blocks with a hash that occurs more than RARE
+times among the items need no hashes, and the hits that these might have are taken off. Any RUN_TOKENS equal tokens in a
+row hold the nine tokens from some block's start on, and one hit of RUN_MASK is enough.
 
 Hashes of items are counted first and broadcast only within BROADCAST_KEYS rows of three numbers; beyond that, documents'
 hashes are joined by a shuffle, whose large partitions adaptive execution splits. Hits are three numbers each, and are
@@ -50,7 +52,6 @@ NEAR = 2
 BLOCK = 5
 RARE = 8
 SHORT = 20  # tokens, below which one block may have to do
-MOST_NEEDED = 5  # still sure when blocks are told apart modulo 64
 MASKS = ((0, 1, 2), (0, 1, 3), (0, 1, 4), (0, 2, 3), (0, 2, 4), (0, 3, 4))
 RUN_MASK = tuple(range(RUN_TOKENS - BLOCK + 1))
 
@@ -82,28 +83,36 @@ def seed_places() -> list[tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...
     return found
 
 
-def with_needs(items: DataFrame) -> DataFrame:
-    """Distinct items of at least MIN_ITEM tokens, numbered by item, with skipped (blocks that need no hashes) and needed (distinct blocks that must be hit)."""
+def with_spare(items: DataFrame) -> DataFrame:
+    """Distinct items of at least MIN_ITEM tokens, numbered by item, with spare: how many common blocks may go without hashes."""
     n = F.size("tokens")
     q, r = F.floor(n / BLOCK), n % BLOCK
     sure = F.ceil((q - r + F.ceil(MIN_OVERLAP * r - 1e-9)) / 3)
-    skipped = F.floor((sure - 1) / 2)
-    return items.where(n >= MIN_ITEM).distinct().withColumns({"item": F.xxhash64("item_id", "tokens"), "skipped": skipped.cast("int"), "needed": F.least(F.greatest(sure - skipped - 1, F.lit(1)), F.lit(MOST_NEEDED)).cast("int")})
+    return items.where(n >= MIN_ITEM).distinct().withColumns({"item": F.xxhash64("item_id", "tokens"), "spare": F.greatest(F.floor((sure - 1) / 2), F.lit(0)).cast("int")})
+
+
+def needed(n: Column, left_out: Column) -> Column:
+    """The hits of an item of n tokens whose equal ones are spread evenly over its blocks, all of those left out being equal; one less from SHORT on; at least one."""
+    q = F.floor(n / BLOCK) - left_out
+    equal = F.greatest(F.ceil(MIN_OVERLAP * n - 1e-9) - n % BLOCK - BLOCK * left_out, F.lit(0))
+    each, more = F.floor(equal / F.greatest(q, F.lit(1))), equal % F.greatest(q, F.lit(1))
+    choices = lambda m: m * (m - 1) * (m - 2) / 6
+    return F.greatest((q - more) * choices(each) + more * choices(each + 1) - (n >= SHORT).cast("int"), F.lit(1)).cast("int")
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """(key, item, item_at, block): the hashes of the items' blocks; block is null under RUN_MASK."""
+    """(key, item, item_at, needed): the hashes of the items' blocks; needed is how many hits the item needs, and 0 under RUN_MASK, where one is enough."""
     starts = lambda last: F.sequence(F.lit(0), last, F.lit(BLOCK))
-    last = F.size("tokens") - BLOCK
-    short = F.size("tokens") < SHORT
-    blocks = items.select("item", "skipped", "tokens", F.explode(F.array_distinct(F.concat(starts(last), F.array(last)))).alias("start"))
-    made = [F.struct(F.when(short | (moved == mask), masked(MASKS.index(moved), F.col("start"), places)).alias("key"), (F.col("start") + places[0]).alias("item_at")) for mask, moved, places in seed_places()]
-    spaced = blocks.select("item", "skipped", F.ceil(F.col("start") / BLOCK).cast("int").alias("block"), F.inline(F.array(*made))).where("key is not null")
+    last, size = F.size("tokens") - BLOCK, F.size("tokens")
+    blocks = items.select("item", "spare", "tokens", size.alias("size"), F.explode(F.array_distinct(F.concat(starts(last), F.array(last)))).alias("start"))
+    made = [F.struct(F.when((F.col("size") < SHORT) | (moved == mask), masked(MASKS.index(moved), F.col("start"), places)).alias("key"), (F.col("start") + places[0]).alias("item_at")) for mask, moved, places in seed_places()]
+    spaced = blocks.select("item", "spare", "size", "start", F.inline(F.array(*made))).where("key is not null")
     spaced = spaced.join(spaced.groupBy("key").agg(F.count("*").alias("often")), "key")
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.col("often").desc(), "block"))
-    common = spaced.groupBy("item", "skipped", "block").agg(F.max("often").alias("often")).withColumn("rank", rank).where((F.col("rank") <= F.col("skipped")) & (F.col("often") > RARE))
-    kept = spaced.join(common.select("item", "block"), ["item", "block"], "left_anti").select("key", "item", "item_at", "block")
-    runs = blocks.where(F.col("start") % BLOCK == 0).select(seed(len(MASKS), F.col("start")).alias("key"), "item", F.col("start").alias("item_at"), F.lit(None).cast("int").alias("block"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.col("often").desc(), "start"))
+    common = spaced.groupBy("item", "spare", "start").agg(F.max("often").alias("often")).withColumn("rank", rank).where((F.col("rank") <= F.col("spare")) & (F.col("often") > RARE))
+    left_out = common.groupBy("item").agg(F.count("*").alias("left_out"))
+    kept = spaced.join(common.select("item", "start"), ["item", "start"], "left_anti").join(left_out, "item", "left").select("key", "item", "item_at", needed(F.col("size"), F.coalesce("left_out", F.lit(0))).alias("needed"))
+    runs = blocks.where(F.col("start") % BLOCK == 0).select(seed(len(MASKS), F.col("start")).alias("key"), "item", F.col("start").alias("item_at"), F.lit(0).alias("needed"))
     return kept.unionByName(runs.where("key is not null"))
 
 
@@ -115,12 +124,10 @@ def find_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     # not a filter: it would be pushed below the tokens and compute them twice
     placed = docs.select("doc_id", "tokens", F.explode(F.when(F.size("tokens") >= MIN_ITEM, F.sequence(F.lit(0), F.size("tokens") - 1))).alias("at"))
     keyed = placed.select("doc_id", "at", F.explode(F.array(*[seed(m, F.col("at")) for m in range(len(MASKS) + 1)])).alias("key"))
-    met = keyed.join(seeds, "key").select("doc_id", "item", (F.col("at") - F.col("item_at")).alias("shift"), F.expr("shiftleft(1L, coalesce(block, 0) % 64)").alias("bit"), F.col("block").isNull().alias("run"))
-    met = met.groupBy("doc_id", "item", "shift").agg(F.bit_or("bit").alias("seen"), F.max("run").alias("run"))
-    near = met.select("doc_id", "item", "seen", "run", F.explode(F.sequence(F.col("shift") - NEAR, F.col("shift") + NEAR)).alias("shift"))
-    hit = near.groupBy("doc_id", "item", "shift").agg(F.bit_or("seen").alias("seen"), F.max("run").alias("run"))
-    found = hit.join(items.select("item", "item_id", "needed", F.size("tokens").alias("item_size")), "item")
-    return found.where(F.col("run") | (F.bit_count("seen") >= F.col("needed"))).select("doc_id", "item", "item_id", "item_size", "shift")
+    met = keyed.join(seeds, "key").groupBy("doc_id", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("n"), F.min("needed").alias("needed"))
+    near = met.select("doc_id", "item", "n", "needed", F.explode(F.sequence(F.col("shift") - NEAR, F.col("shift") + NEAR)).alias("shift"))
+    hit = near.groupBy("doc_id", "item", "shift").agg(F.sum("n").alias("n"), F.min("needed").alias("needed")).where(F.col("n") >= F.col("needed"))
+    return hit.join(items.select("item", "item_id", F.size("tokens").alias("item_size")), "item").select("doc_id", "item", "item_id", "item_size", "shift")
 
 
 def verify(pairs: DataFrame) -> DataFrame:
@@ -155,7 +162,7 @@ def verify(pairs: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, overlap, run) of each document and item that overlap beyond the thresholds."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), token_hashes(F.col(text_col)).alias("tokens"))
-    items = materialize(with_needs(benchmark.select(F.col(item_col).cast("long").alias("item_id"), token_hashes(F.col(item_text_col)).alias("tokens"))), "items")
+    items = materialize(with_spare(benchmark.select(F.col(item_col).cast("long").alias("item_id"), token_hashes(F.col(item_text_col)).alias("tokens"))), "items")
     hits = materialize(find_hits(rows, items), "hits")
     few = hits.count() <= BROADCAST_HITS
     bounded = lambda df, ok: F.broadcast(df) if ok else df
