@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from mixweave.functions.params import Mixture, covariance_type
 from mixweave.operators import density, em
@@ -95,24 +96,31 @@ class GaussianMixture:
             raise ValueError(f"the model was trained by {self.batch_col}, which the data lack")
         return self.mixture_
 
+    def _fitting(self, data: DataFrame) -> DataFrame:
+        """data, whose vectors raise an error when they are read if they have another length than the model's; null ones stay null."""
+        self._model(data)
+        d, size = self.mixture_.shape[2], F.size("features")
+        told = F.raise_error(F.concat(F.lit(f"the model has {d} features, not "), size.cast("string")))
+        return data.withColumn("features", F.when(F.col("features").isNull() | (size == d), F.col("features")).otherwise(told))
+
     def predict(self, data: DataFrame) -> DataFrame:
         """data with a column label."""
-        return density.assign(data, self._model(data), self.batch_col, self.strategy)
+        return density.assign(self._fitting(data), self._model(data), self.batch_col, self.strategy)
 
     def predict_proba(self, data: DataFrame) -> DataFrame:
         """data with a column proba, an array of K."""
-        return density.predict_proba(data, self._model(data), self.batch_col, self.strategy)
+        return density.predict_proba(self._fitting(data), self._model(data), self.batch_col, self.strategy)
 
     def score_samples(self, data: DataFrame) -> DataFrame:
         """data with a column log_prob."""
-        return density.score_samples(data, self._model(data), self.batch_col, self.strategy)
+        return density.score_samples(self._fitting(data), self._model(data), self.batch_col, self.strategy)
 
     def fit_predict(self, data: DataFrame, y=None) -> DataFrame:
         self.fit(data)
         return self.labels_ if self.labels_ is not None else self.predict(data)
 
     def _total(self, data: DataFrame) -> tuple[float, int]:
-        return density.total_score(data, self._model(data), self.batch_col, self.strategy)
+        return density.total_score(self._fitting(data), self._model(data), self.batch_col, self.strategy)
 
     def score(self, data: DataFrame, y=None) -> float:
         total, n = self._total(data)

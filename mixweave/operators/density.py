@@ -9,10 +9,8 @@ A null feature vector, one of another length or with a value that isn't finite h
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,16 +69,18 @@ def logits(mixture: Mixture, features: Column | str = "features", batch: Column
 
     keys = {str(key): b for b, key in enumerate(mixture.keys)} if batch is not None else {}
 
-    @F.pandas_udf("array<double>")
-    def dense(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, key in parts:
-            out = np.empty(len(x), object)
-            at = key.map(keys).to_numpy(float) if keys else np.zeros(len(x))
-            known = x.notna().to_numpy() & ~np.isnan(at)
-            for b in np.unique(at[known]).astype(int):
-                rows = np.flatnonzero(known & (at == b))
-                out[rows] = list(terms[b].logits(np.stack(x.iloc[rows].to_numpy())))
-            yield pd.Series(out)
+    @F.arrow_udf("array<double>")
+    def dense(x: pa.Array, key: pa.Array) -> pa.Array:
+        at = np.array([keys.get(name, -1) for name in key.to_pylist()]) if keys else np.zeros(len(x), int)
+        known = x.is_valid().to_numpy(zero_copy_only=False) & (at >= 0)
+        rows = np.asarray(x.filter(pa.array(known)).flatten()).reshape(-1, d)
+        out = np.empty((len(rows), terms[0].constant.size))
+        for b in np.unique(at[known]):
+            mine = at[known] == b
+            out[mine] = terms[b].logits(rows[mine])
+        ends = np.cumsum(known) * out.shape[1]
+        begins = pa.array(np.append(ends - known * out.shape[1], ends[-1:] if len(ends) else 0), pa.int32(), mask=np.append(~known, False))
+        return pa.ListArray.from_arrays(begins, pa.array(out.ravel()))
 
     return dense(F.when(valid(features, d), features), F.lit("") if batch is None else batch.cast("string"))
 
@@ -106,6 +106,8 @@ def proba(logit: Column) -> Column:
 
 def top_components(logit: Column, top_k: int) -> Column:
     """The top_k components of a row, best first, as structs of component and logit; of equal ones, the lower first."""
+    if top_k < 1:
+        raise ValueError("top_k must be positive")
     ordered = F.array_sort(F.transform(logit, lambda x, i: F.struct((-x).alias("cost"), i.alias("k"))))
     return F.transform(F.slice(ordered, 1, top_k), lambda s: F.struct(s["k"].alias("k"), (-s["cost"]).alias("logit")))
 

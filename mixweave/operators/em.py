@@ -6,7 +6,7 @@ lower bound is the mean log-likelihood under the parameters before the iteration
 parameters that are returned. Iterations end when it changes by less than tol; the first never does.
 
 Parameters are numbers in the tasks' closures, not DataFrames, so lineage doesn't grow; a lost executor only recomputes
-the partitions of the cached rows that it held. Sums are centred on the global mean, which costs nothing and keeps digits.
+the partitions of the cached blocks that it held. Sums are centred on the global mean, which costs nothing and keeps digits.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from mixweave.functions.params import Mixture, covariance_type
 from mixweave.operators import density, finalize, initialize
 from mixweave.operators import stats as st
-from mixweave.sources.features import check
 
 MODES = ("soft", "hard")
 log = logging.getLogger("mixweave")
@@ -82,17 +81,22 @@ def fit(
         raise ValueError(f"em_mode must be one of {MODES}")
     if top_k is not None and top_k < 1:
         raise ValueError("approx_top_k must be positive")
-    rows = data.select("features", *([F.col(batch).cast("string").alias("batch")] if batch else [])).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = data.select("features", *([F.col(batch).cast("string").alias("batch")] if batch else []))
     by = "batch" if batch else None
+    packed = st.pack(rows, by)
     try:
-        n, d, sizes = check(rows, d, by)
+        n, d, sizes = st.checked(packed, d, by)
         keys = sorted(sizes) if batch else [None]
         chosen = "arrow" if strategy == "auto" else density.choose(strategy, 0)
-        moments = st.moments(rows, d, by)
+        moments = st.moments(packed, d, by)
         shift = sum(moments[key][0] * moments[key][1] for key in moments) / n
-        centred = rows.withColumn("features", F.transform("features", lambda x, i: x - F.get(F.lit(shift.tolist()), i)))
+        centred = packed.moved(shift)
+        if chosen == "columns":
+            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        source_of = centred if chosen == "arrow" else rows.withColumn("features", F.transform("features", lambda x, i: x - F.get(F.lit(shift.tolist()), i)))
         known = {key: (m[0], m[1] - shift, m[2]) for key, m in moments.items()}
         xx = {key: m[0] * (m[2] + np.outer(m[1], m[1])) for key, m in known.items()} if kind == "tied" else None
+        kept_top = top_k if top_k and top_k < k else None
         if init_means is not None:
             means = np.asarray(init_means, float)
             means = means[None] if means.ndim == 2 else means
@@ -103,11 +107,11 @@ def fit(
             mixture = initialize.given(kind, means - shift, [known[key] for key in keys], reg_covar, keys, lift(init_weights, 1), lift(init_covariances, flat))
             source = "user"
         else:
-            mixture, source = initialize.start(centred, kind, k, known, keys, init, seed, reg_covar, by, kmeans_iters, kmeans_tol)
+            mixture, source = initialize.start(rows, kind, k, known, keys, init, seed, reg_covar, by, kmeans_iters, kmeans_tol, centred)
         history: list[float] = []
         while len(history) < max_iter:
             mixture = clamped(mixture, reg_covar)
-            found = st.soft(centred, mixture, by, em_mode, top_k, chosen)
+            found = st.soft(source_of, mixture, by, em_mode, kept_top, chosen)
             history.append(float(sum(s.log_likelihood for s in found)) / n)
             after = finalize.update(mixture, found, reg_covar, xx)
             if verbose:
@@ -116,5 +120,6 @@ def fit(
             if len(history) > 1 and tol > 0 and abs(history[-1] - history[-2]) < tol:
                 break
     finally:
+        packed.frame.unpersist()
         rows.unpersist()
-    return FitReport(moved(mixture, shift), len(history), history[-1], history, source, chosen, top_k if top_k and top_k < k else None, em_mode, n, {chosen: len(history)})
+    return FitReport(moved(mixture, shift), len(history), history[-1], history, source, chosen, kept_top, em_mode, n, {chosen: len(history)})

@@ -2,7 +2,7 @@
 
 A component with no more than MIN_WEIGHT rows keeps its mean and covariance. Weights are floored at MIN_WEIGHT and sum to
 one again. Spherical and diag variances are clamped from below by reg_covar; tied and full covariances get it added to their diagonal.
-A full covariance that can't be factored keeps the old one.
+A tied or full covariance that can't be factored keeps the old one.
 """
 
 from __future__ import annotations
@@ -42,6 +42,10 @@ def component_update(kind: str, stats: Stats, means: np.ndarray, covariances: np
     else:
         within = xx - np.einsum("k,kd,ke->de", np.where(active, stats.nk, 0.0), new, new)
         cov = regularized(within / stats.n, reg_covar)
+        try:
+            precision(cov)
+        except ValueError:
+            cov = covariances
     return stats.nk / stats.n, new, cov
 
 

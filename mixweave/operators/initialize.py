@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixweave.functions.numeric import regularized
@@ -18,7 +18,6 @@ from mixweave.operators import stats as st
 from mixweave.operators.finalize import floored
 
 SAMPLE_MIN, SAMPLE_PER_COMPONENT, SAMPLE_MAX = 4096, 64, 65_536
-PLUS_PLUS_MAX_COMPONENTS = 256
 OCCURRENCES = 4096
 
 
@@ -26,24 +25,32 @@ def sample_size(n: int, k: int) -> int:
     return min(n, max(k, min(SAMPLE_MAX, max(SAMPLE_MIN, SAMPLE_PER_COMPONENT * k))))
 
 
-def sample(data: DataFrame, size: int, seed: int, batch: str | None = None, key=None) -> np.ndarray:
-    """At most size rows, drawn uniformly: each occurrence of a vector has a draw of its own, and the least draws count.
+def samples(data: DataFrame, sizes: dict, seed: int, batch: str | None = None) -> dict:
+    """For each batch key at most sizes[key] rows, drawn uniformly: each occurrence of a vector has a draw of its own, and the least draws count.
 
     Vectors are counted by their 64-bit hashes; only hashes and counts are shuffled. Occurrences are numbered in runs
-    of OCCURRENCES, which are dealt out anew, and each task cuts its draws down to size.
+    of OCCURRENCES, which are dealt out anew, and each task cuts its draws down to size. One job draws for all batches.
     """
-    rows = data.where(F.col(batch).cast("string") == str(key)) if batch else data
-    hashed = rows.select("features", F.xxhash64(F.lit(seed), "features").alias("h"))
-    runs = hashed.groupBy("h").agg(F.count("*").alias("n")).select("h", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / OCCURRENCES))).alias("run"))
+    key = F.col(batch).cast("string") if batch else F.lit("")
+    hashed = data.select("features", key.alias("key"), F.xxhash64(F.lit(seed), "features").alias("h"))
+    runs = hashed.groupBy("key", "h").agg(F.count("*").alias("n")).select("key", "h", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / OCCURRENCES))).alias("run"))
     number = F.explode(F.sequence(F.col("run") * OCCURRENCES, F.least(F.col("n"), (F.col("run") + 1) * OCCURRENCES) - 1))
-    draws = runs.repartition("h", "run").select("h", number.alias("i")).select(F.xxhash64(F.lit(seed), "h", "i").alias("draw"), "h", "i")
-    drawn = [r.h for r in draws.orderBy("draw", "h", "i").limit(size).collect()]
+    draws = runs.repartition("key", "h", "run").select("key", "h", number.alias("i")).select("key", F.xxhash64(F.lit(seed), "h", "i").alias("draw"), "h", "i")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("draw", "h", "i"))  # cut down to size in each task first
+    drawn = draws.withColumn("place", place).where(F.col("place") <= max(sizes.values())).orderBy("key", "place").collect()
+    wanted = {str(k) if batch else "": size for k, size in sizes.items()}
+    drawn = [r for r in drawn if r.place <= wanted.get(r.key, 0)]
     if not drawn:
-        return np.array([], float)
-    wanted = data.sparkSession.createDataFrame([(h,) for h in set(drawn)], "h long")  # at most size rows
-    found = hashed.join(F.broadcast(wanted), "h").groupBy("h").agg(F.array_min(F.collect_set("features")).alias("features"))
-    vectors = {r.h: r.features for r in found.collect()}
-    return np.array([vectors[h] for h in drawn], float)
+        return {k: np.array([], float) for k in sizes}
+    met = data.sparkSession.createDataFrame([*{(r.key, r.h) for r in drawn}], "key string, h long")  # at most the sum of sizes
+    found = hashed.join(F.broadcast(met), ["key", "h"]).groupBy("key", "h").agg(F.array_min(F.collect_set("features")).alias("features"))
+    vectors = {(r.key, r.h): r.features for r in found.collect()}
+    return {k: np.array([vectors[r.key, r.h] for r in drawn if r.key == (str(k) if batch else "")], float) for k in sizes}
+
+
+def sample(data: DataFrame, size: int, seed: int) -> np.ndarray:
+    """At most size rows of a table without batches."""
+    return samples(data, {None: size}, seed)[None]
 
 
 def random_means(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -52,40 +59,51 @@ def random_means(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarr
 
 
 def plus_plus(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray | None:
-    """Greedy k-means++: each centre is the best of 2 + ⌊ln k⌋ rows drawn by squared distance. None for too many components or too few rows."""
-    if k > PLUS_PLUS_MAX_COMPONENTS or k > len(rows):
+    """Greedy k-means++: each centre is the best of 2 + ⌊ln k⌋ rows drawn by squared distance. None for more components than rows."""
+    if k > len(rows):
         return None
+    rows_norm = (rows**2).sum(axis=1)
     centres = [rows[rng.integers(len(rows))]]
     nearest = ((rows - centres[0]) ** 2).sum(axis=1)
     for _ in range(1, k):
         total = nearest.cumsum()
         drawn = np.searchsorted(total, rng.random(2 + int(math.log(k))) * total[-1]).clip(max=len(rows) - 1) if total[-1] > 0 else np.array([0])
-        left = np.minimum(nearest[:, None], ((rows[:, None, :] - rows[drawn][None]) ** 2).sum(axis=2))
+        away = rows_norm[:, None] - 2.0 * rows @ rows[drawn].T + rows_norm[drawn]
+        left = np.minimum(nearest[:, None], np.maximum(away, 0.0))
         best = left.sum(axis=0).argmin()
         centres.append(rows[drawn[best]])
-        nearest = left[:, best]
+        nearest = np.minimum(nearest, ((rows - centres[-1]) ** 2).sum(axis=1))
     return np.array(centres)
 
 
-def nearest_stats(data: DataFrame, centres: dict, batch: str | None = None) -> dict:
-    """For each batch: (counts, sums, squared norm sums, inner products) of the rows nearest to each centre; of equal distances, the lower centre."""
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row; of equal distances, the lower one. Differences are squared, so ties are true ones."""
+    least, at = np.full(len(x), np.inf), np.zeros(len(x), int)
+    for k, c in enumerate(centres):
+        away = ((x - c) ** 2).sum(axis=1)
+        closer = away < least
+        at[closer] = k
+        least = np.where(closer, away, least)
+    return at
+
+
+def nearest_stats(data: DataFrame | st.Packed, centres: dict, batch: str | None = None, kind: str = "full") -> dict:
+    """For each batch: the statistics (second moments by kind) of the rows nearest to each centre."""
     k, d = next(iter(centres.values())).shape
 
     def measure(key, x, _):
-        c = centres[key]
-        at = (((x[:, None, :] - c[None]) ** 2).sum(axis=2) if len(x) * k * d < 4_000_000 else (x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)).argmin(axis=1)
         one = np.zeros((len(x), k))
-        one[np.arange(len(x)), at] = 1.0
-        return st.add_up(x, one, 0.0, "full")
+        one[np.arange(len(x)), nearest(x, centres[key])] = 1.0
+        return st.add_up(x, one, 0.0, kind)
 
-    found = st.map_stats(st._columns(data, batch), measure, st.Stats.width("full", k, d), batch)
-    return {key: st.Stats.unpack(v, "full", k, d) for key, v in found.items()}
+    found = st.map_stats(data, measure, st.Stats.width(kind, k, d), batch)
+    return {key: st.Stats.unpack(v, kind, k, d) for key, v in found.items()}
 
 
-def lloyd(data: DataFrame, centres: dict, iterations: int = 10, tol: float = 1e-4, batch: str | None = None) -> dict:
+def lloyd(data: DataFrame | st.Packed, centres: dict, iterations: int = 10, tol: float = 1e-4, batch: str | None = None) -> dict:
     """Lloyd's steps from given centres {batch key: (K, D)}. A centre without rows stays. Ends when no centre moves by tol or more."""
     for _ in range(iterations):
-        found = nearest_stats(data, centres, batch)
+        found = nearest_stats(data, centres, batch, "tied")  # counts and sums alone
         moved = {}
         for key, c in centres.items():
             s = found[key]
@@ -110,18 +128,17 @@ def global_covariance(kind: str, cov: np.ndarray, k: int, reg_covar: float) -> n
 def label_parameters(kind: str, s: st.Stats, means: np.ndarray, cov: np.ndarray, reg_covar: float) -> tuple[np.ndarray, np.ndarray]:
     """(weights, covariances) from the statistics of hard labels around given means; an empty component has the global covariance."""
     counts = np.maximum(s.nk, 1.0)
-    # sum of (x - m)(x - m)ᵀ from sums of x and x xᵀ
-    spread = s.second - s.sum_x[:, :, None] * means[:, None, :] - means[:, :, None] * s.sum_x[:, None, :] + s.nk[:, None, None] * means[:, :, None] * means[:, None, :]
     every = global_covariance(kind, cov, len(counts), reg_covar)
-    if kind == "tied":
-        return counts / counts.sum(), regularized(spread.sum(axis=0) / s.n, reg_covar)
-    mean_spread = spread / counts[:, None, None]
-    if kind == "spherical":
-        made = np.maximum(np.trace(mean_spread, axis1=1, axis2=2) / means.shape[1], reg_covar)
+    if kind == "spherical":  # sums of (x - m)² from those of x and x²
+        spread = s.second - 2.0 * (s.sum_x * means).sum(axis=1) + s.nk * (means**2).sum(axis=1)
+        made = np.maximum(spread / (counts * means.shape[1]), reg_covar)
     elif kind == "diag":
-        made = np.maximum(np.diagonal(mean_spread, axis1=1, axis2=2), reg_covar)
+        made = np.maximum((s.second - 2.0 * s.sum_x * means + s.nk[:, None] * means**2) / counts[:, None], reg_covar)
     else:
-        made = regularized(mean_spread, reg_covar)
+        spread = s.second - s.sum_x[:, :, None] * means[:, None, :] - means[:, :, None] * s.sum_x[:, None, :] + s.nk[:, None, None] * means[:, :, None] * means[:, None, :]
+        if kind == "tied":
+            return counts / counts.sum(), regularized(spread.sum(axis=0) / s.n, reg_covar)
+        made = regularized(spread / counts[:, None, None], reg_covar)
     return counts / counts.sum(), np.where((s.nk > 0).reshape(-1, *[1] * (made.ndim - 1)), made, every)
 
 
@@ -137,22 +154,29 @@ def given(kind: str, means: np.ndarray, moments: list, reg_covar: float, keys: l
     return Mixture(kind, floored(weights), means, covariances, keys)
 
 
-def start(data: DataFrame, kind: str, k: int, moments: dict, keys: list, how: str, seed: int, reg_covar: float, batch: str | None = None, iterations: int = 10, tol: float = 1e-4) -> tuple[Mixture, str]:
-    """Starting parameters without given ones, and their source: random, or kmeans; _sampled if the sample didn't hold all rows."""
+def start(data: DataFrame, kind: str, k: int, moments: dict, keys: list, how: str, seed: int, reg_covar: float, batch: str | None = None, iterations: int = 10, tol: float = 1e-4, packed: st.Packed | None = None) -> tuple[Mixture, str]:
+    """Starting parameters without given ones, and their source: random, or kmeans (kmeans_random if a batch has fewer rows than components, so that centres were drawn with replacement); _sampled if the sample didn't hold all rows.
+
+    packed holds the same rows in blocks; the start is moved by its shift.
+    """
     names = {key: None if key is None else str(key) for key in keys}
-    samples = {key: sample(data, sample_size(int(moments[names[key]][0]), k), seed, batch, key) for key in keys}
-    whole = all(len(samples[key]) == moments[names[key]][0] for key in keys)
+    drawn = samples(data, {key: sample_size(int(moments[names[key]][0]), k) for key in keys}, seed, batch)
+    whole = all(len(drawn[key]) == moments[names[key]][0] for key in keys)
+    if packed is not None and packed.shift is not None:
+        drawn = {key: rows - packed.shift for key, rows in drawn.items()}
     rngs = {key: np.random.default_rng((seed, i)) for i, key in enumerate(keys)}
     suffix = "" if whole else "_sampled"
     known = [moments[names[key]] for key in keys]
     if how == "kmeans":
-        centres = {names[key]: plus_plus(samples[key], k, rngs[key]) for key in keys}
-        for key in keys:
-            if centres[names[key]] is None:
-                centres[names[key]] = random_means(samples[key], k, rngs[key])
-        centres = lloyd(data, centres, iterations, tol, batch)
-        found = nearest_stats(data, centres, batch)
+        blocks = packed if packed is not None else st.pack(data, batch)
+        centres = {names[key]: plus_plus(drawn[key], k, rngs[key]) for key in keys}
+        few = any(c is None for c in centres.values())
+        centres = {names[key]: random_means(drawn[key], k, rngs[key]) if centres[names[key]] is None else centres[names[key]] for key in keys}
+        centres = lloyd(blocks, centres, iterations, tol, batch)
+        found = nearest_stats(blocks, centres, batch, "full" if kind == "tied" else kind)
+        if packed is None:
+            blocks.frame.unpersist()
         parts = [label_parameters(kind, found[names[key]], centres[names[key]], m[2], reg_covar) for key, m in zip(keys, known, strict=True)]
-        return Mixture(kind, floored(np.stack([p[0] for p in parts])), np.stack([centres[names[key]] for key in keys]), np.stack([p[1] for p in parts]), keys), "kmeans" + suffix
-    means = np.stack([random_means(samples[key], k, rngs[key]) for key in keys])
+        return Mixture(kind, floored(np.stack([p[0] for p in parts])), np.stack([centres[names[key]] for key in keys]), np.stack([p[1] for p in parts]), keys), ("kmeans_random" if few else "kmeans") + suffix
+    means = np.stack([random_means(drawn[key], k, rngs[key]) for key in keys])
     return given(kind, means, known, reg_covar, keys), "random" + suffix

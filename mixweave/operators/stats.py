@@ -1,6 +1,7 @@
 """Sufficient statistics of a mixture: one pass over the rows, one small result.
 
-Each task adds its rows up in numpy as record batches come in and sends one vector per batch key. With many
+Each task adds its rows up in numpy as record batches come in and sends one vector per batch key. Rows that are read often are
+packed first: a cached row then holds the matrix of a whole record batch, which goes to numpy as it is. With many
 partitions the vectors are first summed in FAN_IN groups, so the driver receives at most that many whatever the size
 of the data. Small models on small rows may use plain aggregates instead ("columns").
 
@@ -15,6 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +26,11 @@ from mixweave.functions.params import Mixture
 from mixweave.operators import density
 
 FAN_IN = 32
+PACK_ROWS = 4096  # at most, in a block
+MOST_SUMS = 1 << 26  # numbers for all batch keys together that a task and the driver may hold
+WIDEST_SUMS = 2000  # plain aggregates in one query
 PART_SCHEMA = "part int, batch string, stats array<double>"
+BLOCK_SCHEMA = "batch string, n long, lo int, hi int, bad long, block binary"
 
 
 @dataclass
@@ -64,14 +71,60 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
-def summed(parts: DataFrame) -> dict[str | None, np.ndarray]:
+@dataclass
+class Packed:
+    """Feature rows as blocks of doubles (BLOCK_SCHEMA); shift is subtracted from each row where it is used."""
+
+    frame: DataFrame
+    parts: int
+    shift: np.ndarray | None = None
+
+    def moved(self, shift: np.ndarray) -> Packed:
+        return Packed(self.frame, self.parts, shift)
+
+
+def pack(data: DataFrame, batch: str | None = None) -> Packed:
+    """The feature vectors of data in blocks, cached. A block with vectors that aren't finite arrays of one length counts them as bad and is empty."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for lo in range(0, rows.num_rows, PACK_ROWS):
+                part = rows.slice(lo, PACK_ROWS)
+                keys = part.column(1).to_numpy(zero_copy_only=False)
+                for key in dict.fromkeys(keys):
+                    mine = part.filter(pa.array(keys == key)).column(0)
+                    width = pc.list_value_length(mine)
+                    bounds = pc.min_max(width).as_py()
+                    x = np.asarray(mine.flatten(), float)  # a null element becomes NaN
+                    good = not mine.null_count and bounds["min"] == bounds["max"] and np.isfinite(x).all()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([v], t) for v, t in ((key, pa.string()), (len(mine), pa.int64()), (bounds["min"], pa.int32()), (bounds["max"], pa.int32()), (0 if good else len(mine), pa.int64()), (x.tobytes() if good else b"", pa.binary()))],
+                        names=["batch", "n", "lo", "hi", "bad", "block"],
+                    )
+
+    frame = _columns(data, batch).mapInArrow(task, BLOCK_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
+    return Packed(frame, frame.rdd.getNumPartitions())
+
+
+def checked(packed: Packed, d: int | None, batch: str | None) -> tuple[int, int, dict]:
+    """Rows, features and rows per batch; raises ValueError for empty data, other widths, and values that are null, NaN or infinite."""
+    rows = packed.frame.groupBy("batch").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("bad").alias("bad")).collect()
+    if not rows:
+        raise ValueError("no rows to fit")
+    widths = {w for r in rows for w in (r.lo, r.hi)}
+    if len(widths) != 1 or (d is not None and widths != {d}) or any(r.bad for r in rows):
+        raise ValueError(f"features must be finite arrays of one length{'' if d is None else f' {d}'}; found lengths {sorted(map(str, widths))}")
+    return sum(r.n for r in rows), widths.pop(), {r.batch if batch else None: r.n for r in rows}
+
+
+def summed(parts: DataFrame, n_parts: int) -> dict[str | None, np.ndarray]:
     """The vectors of all parts, summed by batch."""
 
     def together(table: pa.Table) -> pa.Table:
         total = matrix(table["stats"].combine_chunks()).sum(axis=0)
         return pa.table({"part": table["part"][:1], "batch": table["batch"][:1], "stats": pa.array([total], pa.list_(pa.float64()))})
 
-    if parts.rdd.getNumPartitions() > FAN_IN:
+    if n_parts > FAN_IN:
         parts = parts.groupBy("part", "batch").applyInArrow(together, PART_SCHEMA)
     found: dict[str | None, np.ndarray] = {}
     for r in parts.collect():
@@ -79,25 +132,43 @@ def summed(parts: DataFrame) -> dict[str | None, np.ndarray]:
     return found
 
 
-def map_stats(data: DataFrame, measure, width: int, batch: str | None) -> dict[str | None, np.ndarray]:
-    """Runs measure(key, row matrix, extra column) on all batches and sums its vectors; data has features and, where needed, a batch column and an extra one."""
+def map_stats(data: DataFrame | Packed, measure, width: int, batch: str | None, extra: str | None = None) -> dict[str | None, np.ndarray]:
+    """Runs measure(key, row matrix, extra column) on all rows, in record batches or blocks, and sums its vectors by batch key (None without batch)."""
+    packed = data if isinstance(data, Packed) else None
+
+    def matrices(rows: pa.RecordBatch) -> Iterator[tuple]:
+        if packed is not None:
+            for key, n, block in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), strict=True):
+                x = np.frombuffer(block.as_buffer(), float).reshape(n, -1)
+                yield key if batch else None, x if shift is None else x - shift, None
+        elif not batch:
+            yield None, matrix(rows.column(0)), rows.column(2) if extra else None
+        else:
+            keys = rows.column(1).to_numpy(zero_copy_only=False)
+            for key in dict.fromkeys(keys):
+                mine = rows.filter(pa.array(keys == key))
+                yield key, matrix(mine.column(0)), mine.column(2) if extra else None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         total: dict[str | None, np.ndarray] = {}
         for rows in batches:
-            if not rows.num_rows:
-                continue
-            keys = rows.column(1).to_numpy(zero_copy_only=False) if batch else None
-            for key in [None] if keys is None else list(dict.fromkeys(keys)):
-                mine = rows if keys is None else rows.filter(pa.array(keys == key))
-                total[key] = total.get(key, np.zeros(width)) + measure(key, matrix(mine.column(0)), mine.column(2) if mine.num_columns > 2 else None)
+            for key, x, more in matrices(rows) if rows.num_rows else ():
+                total[key] = total.get(key, np.zeros(width)) + measure(key, x, more)
+                if len(total) * width > MOST_SUMS:
+                    raise ValueError(f"more than {MOST_SUMS // width} batch keys, with {width} sums each")
         part = TaskContext.get().partitionId() % FAN_IN
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(total), pa.int32()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.list_(pa.float64()))], names=["part", "batch", "stats"])
 
-    return summed(data.mapInArrow(task, PART_SCHEMA))
+    if packed is not None:
+        shift, rows, n_parts = packed.shift, packed.frame.select("batch", "n", "block"), packed.parts
+        packed = Packed(None, n_parts, shift)  # tasks get no DataFrame
+    else:
+        rows = _columns(data, batch, *([extra] if extra else []))
+        shift, n_parts = None, rows.rdd.getNumPartitions()
+    return summed(rows.mapInArrow(task, PART_SCHEMA), n_parts)
 
 
 def _columns(data: DataFrame, batch: str | None, *extra: str) -> DataFrame:
@@ -105,9 +176,11 @@ def _columns(data: DataFrame, batch: str | None, *extra: str) -> DataFrame:
     return data.select("features", key.alias("batch"), *extra)
 
 
-def soft(data: DataFrame, mixture: Mixture, batch: str | None = None, mode: str = "soft", top_k: int | None = None, strategy: str = "arrow") -> list[Stats]:
+def soft(data: DataFrame | Packed, mixture: Mixture, batch: str | None = None, mode: str = "soft", top_k: int | None = None, strategy: str = "arrow") -> list[Stats]:
     """The statistics of one E-step, for each batch key of the mixture. mode "hard" counts each row for its best component only; top_k keeps a row's best components only."""
     _, k, d = mixture.shape
+    if top_k is not None and not 0 < top_k < k:
+        raise ValueError(f"top_k must lie between 0 and the {k} components")
     if strategy == "columns":
         return _soft_columns(data, mixture, batch, mode, top_k)
     terms = {None if key is None else str(key): Terms(mixture, b) for b, key in enumerate(mixture.keys)}
@@ -117,7 +190,7 @@ def soft(data: DataFrame, mixture: Mixture, batch: str | None = None, mode: str
         resp, total = responsibilities(terms[key].logits(x), mode, top_k)
         return add_up(x, resp, total, mixture.kind)
 
-    found = map_stats(_columns(data, batch), measure, width, batch)
+    found = map_stats(data, measure, width, batch)
     return [Stats.unpack(found.get(key, np.zeros(width)), mixture.kind, k, d) for key in terms]
 
 
@@ -151,17 +224,40 @@ def _soft_columns(data: DataFrame, mixture: Mixture, batch: str | None, mode: st
 
 
 def hard(data: DataFrame, k: int, kind: str = "spherical", label: str = "label", batch: str | None = None) -> DataFrame:
-    """Counts, sums and second moments by given labels: one hash aggregate with partial sums, its columns named nk, sum_x and second. The result has a row for each label that occurs."""
+    """Counts, sums and second moments by given labels, as columns nk, sum_x and second (tied has none, see total_xx); a row for each label that occurs.
+
+    One hash aggregate with partial sums; with more than WIDEST_SUMS sums, in numpy.
+    """
     d = data.select(F.size("features")).first()[0]
+    data = data.where(F.col(label).between(0, k - 1))
+    n_sums = 1 + d + {"spherical": 1, "diag": d, "tied": 0, "full": d * d}[kind]
+    if n_sums > WIDEST_SUMS:
+        return _hard_wide(data, k, d, kind, label, batch)
     x = [F.get("features", F.lit(i)) for i in range(d)]
     sums = [F.count("*").cast("double").alias("nk"), F.array(*[F.sum(a) for a in x]).alias("sum_x")]
     if kind == "spherical":
         sums.append(F.array(F.sum(sum((a * a for a in x[1:]), x[0] * x[0]))).alias("second"))
     elif kind == "diag":
         sums.append(F.array(*[F.sum(a * a) for a in x]).alias("second"))
-    else:
+    elif kind == "full":
         sums.append(F.array(*[F.sum(a * b) for a in x for b in x]).alias("second"))
-    return data.where(F.col(label).between(0, k - 1)).groupBy(*([batch] if batch else []), label).agg(*sums)
+    return data.groupBy(*([batch] if batch else []), label).agg(*sums)
+
+
+def _hard_wide(data: DataFrame, k: int, d: int, kind: str, label: str, batch: str | None) -> DataFrame:
+    def measure(_, x, labels):
+        one = np.zeros((len(x), k))
+        one[np.arange(len(x)), labels.to_numpy()] = 1.0
+        return add_up(x, one, 0.0, kind)
+
+    found = map_stats(data, measure, Stats.width(kind, k, d), batch, label)
+    rows = []
+    for key, flat in found.items():
+        s = Stats.unpack(flat, kind, k, d)
+        second = [] if s.second is None else [s.second.reshape(k, -1).tolist()]
+        rows += [(*([key] if batch else []), j, float(s.nk[j]), s.sum_x[j].tolist(), *[x[j] for x in second]) for j in range(k) if s.nk[j]]
+    kept = ([f"`{batch}` string"] if batch else []) + [f"`{label}` int", "nk double", "sum_x array<double>"] + ([] if kind == "tied" else ["second array<double>"])
+    return data.sparkSession.createDataFrame(rows, ", ".join(kept))
 
 
 def weighted(data: DataFrame, kind: str, k: int, d: int, resp: str = "resp", batch: str | None = None) -> dict[str | None, Stats]:
@@ -170,17 +266,17 @@ def weighted(data: DataFrame, kind: str, k: int, d: int, resp: str = "resp", bat
     def measure(_, x, r):
         return add_up(x, matrix(r), 0.0, kind)
 
-    found = map_stats(_columns(data, batch, resp), measure, Stats.width(kind, k, d), batch)
+    found = map_stats(data, measure, Stats.width(kind, k, d), batch, resp)
     return {key: Stats.unpack(v, kind, k, d) for key, v in found.items()}
 
 
-def moments(data: DataFrame, d: int, batch: str | None = None) -> dict[str | None, tuple[float, np.ndarray, np.ndarray]]:
+def moments(data: DataFrame | Packed, d: int, batch: str | None = None) -> dict[str | None, tuple[float, np.ndarray, np.ndarray]]:
     """Rows, mean and biased covariance for each batch key."""
 
     def measure(_, x, __):
         return np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
 
-    found = map_stats(_columns(data, batch), measure, 1 + d + d * d, batch)
+    found = map_stats(data, measure, 1 + d + d * d, batch)
     out = {}
     for key, v in found.items():
         mean = v[1 : 1 + d] / v[0]
@@ -188,7 +284,7 @@ def moments(data: DataFrame, d: int, batch: str | None = None) -> dict[str | Non
     return out
 
 
-def total_xx(data: DataFrame, d: int, batch: str | None = None) -> dict[str | None, np.ndarray]:
+def total_xx(data: DataFrame | Packed, d: int, batch: str | None = None) -> dict[str | None, np.ndarray]:
     """The sum of x xᵀ for each batch key: what tied covariances need, once."""
-    found = map_stats(_columns(data, batch), lambda _, x, __: (x.T @ x).ravel(), d * d, batch)
+    found = map_stats(data, lambda _, x, __: (x.T @ x).ravel(), d * d, batch)
     return {key: v.reshape(d, d) for key, v in found.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixweave.functions.params import Mixture
@@ -27,7 +27,6 @@ class Fixture:
 
 FIXTURES = {
     "emb64": Fixture("embeddings", ("vec_id",), 64, 10),
-    "emb8": Fixture("embeddings", ("vec_id",), 8, 4),
     "li4": Fixture("lineitem", LINE_KEYS, 4, 5),
     "li2": Fixture("lineitem", LINE_KEYS, 2, 3),
     "li4b": Fixture("lineitem", LINE_KEYS, 4, 2, "l_returnflag"),
@@ -40,7 +39,7 @@ def data(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     f = FIXTURES[name]
     rows = spark.read.parquet(f"{sf_dir}/{f.table}.parquet")
     if f.table == "embeddings":
-        features = doubles(F.slice("embedding", 1, f.d))
+        features = doubles("embedding")
     elif f.table == "events":
         features = vector("value")
     else:
@@ -51,8 +50,10 @@ def data(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def first_rows(rows: DataFrame, f: Fixture) -> tuple[list, np.ndarray]:
     """Batch keys, and the features of the k rows that come first by key in each: a top-k per batch, not a sort."""
-    keys = sorted(r[0] for r in rows.select("batch_id").distinct().collect()) if f.batch else [None]
-    means = [[r[0] for r in (rows.where(F.col("batch_id") == key) if f.batch else rows).orderBy(*f.keys).limit(f.k).select("features").collect()] for key in keys]
+    first = F.row_number().over(Window.partitionBy(*(["batch_id"] if f.batch else [F.lit(0)])).orderBy(*f.keys))
+    found = rows.withColumn("place", first).where(F.col("place") <= f.k).orderBy("place").collect()
+    keys = sorted({r.batch_id for r in found}) if f.batch else [None]
+    means = [[r.features for r in found if not f.batch or r.batch_id == key] for key in keys]
     return keys, np.array(means, float)
 
 

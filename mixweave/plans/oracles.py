@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 TYPES = ("spherical", "diag", "tied", "full")
-SMALL = {"spherical": "emb8", "diag": "emb8", "tied": "li2", "full": "li2"}
 WIDE = {"spherical": "emb64", "diag": "emb64", "tied": "li2", "full": "li2"}
 FITTED = {"spherical": "li4", "diag": "li4", "tied": "li2", "full": "li2"}
 REG, FLOOR = "1e-6", "1e-8"
@@ -11,7 +10,6 @@ LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 #: table, key columns, features, number of features and components, batch
 SOURCES = {
     "emb64": ("embeddings", "vec_id", "list_transform(embedding, lambda x: CAST(x AS DOUBLE))", 64, 10, "''"),
-    "emb8": ("embeddings", "vec_id", "list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE))", 8, 4, "''"),
     "li4": ("lineitem", LINE, "[CAST(l_quantity AS DOUBLE) / 10, CAST(l_extendedprice AS DOUBLE) / 10000, CAST(l_discount AS DOUBLE) * 10, CAST(l_tax AS DOUBLE) * 10]", 4, 5, "''"),
     "li2": ("lineitem", LINE, "[CAST(l_quantity AS DOUBLE) / 10, CAST(l_extendedprice AS DOUBLE) / 10000]", 2, 3, "''"),
     "li4b": ("lineitem", LINE, "[CAST(l_quantity AS DOUBLE) / 10, CAST(l_extendedprice AS DOUBLE) / 10000, CAST(l_discount AS DOUBLE) * 10, CAST(l_tax AS DOUBLE) * 10]", 4, 2, "l_returnflag"),
@@ -155,7 +153,7 @@ def stepped(name: str, kind: str, mode: str = "soft", top: int | None = None) ->
 
 
 def hard_stats_sql(kind: str) -> str:
-    s = stepped(SMALL[kind], kind, "hard")
+    s = stepped(WIDE[kind], kind, "hard")
     s.add("y AS (SELECT k AS label, base.* FROM r0 JOIN base ON base.rid = r0.rid WHERE place = 1)")
     cols = [f"f[{i + 1}]" for i in range(s.d)]
     if kind == "spherical":
@@ -200,7 +198,7 @@ def init_stats_sql(kind: str) -> str:
 
 
 def lloyd_sql(steps: int) -> str:
-    s = Sql("emb8", "diag")
+    s = Sql("emb64", "diag")
     for t in range(steps):
         s.add(f"dist{t} AS (SELECT x.rid, k, sum((v - m) * (v - m)) AS q FROM x JOIN m{t} m ON x.d = m.d GROUP BY x.rid, k)")
         s.add(f"near{t} AS (SELECT rid, k FROM dist{t} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY q, k) = 1)")
@@ -210,7 +208,7 @@ def lloyd_sql(steps: int) -> str:
 
 
 def criteria_sql(kind: str, what: str) -> str:
-    s = stepped(SMALL[kind], kind)
+    s = stepped(WIDE[kind], kind)
     cov = {"spherical": s.k, "diag": s.k * s.d, "tied": s.d * (s.d + 1) // 2, "full": s.k * s.d * (s.d + 1) // 2}[kind]
     p = s.k * s.d + cov + s.k - 1
     value = {"score": "sum(lp) / count(*)", "aic": f"-2 * sum(lp) + 2 * {p}", "bic": f"-2 * sum(lp) + {p} * ln(count(*))"}[what]
@@ -229,10 +227,10 @@ def rows_sql(s: Sql, columns: str, where: str = "") -> str:
 def oracle_sql() -> dict[str, str]:
     found: dict[str, str] = {}
     for kind in TYPES:
-        found[f"logits_{kind}"] = rows_sql(stepped(SMALL[kind], kind), f"CAST(k AS INT) AS k, {r6('l')} AS logit")
+        found[f"logits_{kind}"] = rows_sql(stepped(WIDE[kind], kind), f"CAST(k AS INT) AS k, {r6('l')} AS logit")
         found[f"assign_{kind}"] = rows_sql(stepped(WIDE[kind], kind), "CAST(k AS INT) AS label", "WHERE place = 1")
-        found[f"score_samples_{kind}"] = rows_sql(stepped(SMALL[kind], kind), f"{r6('lp')} AS log_prob", "WHERE place = 1")
-        found[f"predict_proba_{kind}"] = rows_sql(stepped(SMALL[kind], kind), f"CAST(k AS INT) AS k, {r6('r')} AS p")
+        found[f"score_samples_{kind}"] = rows_sql(stepped(WIDE[kind], kind), f"{r6('lp')} AS log_prob", "WHERE place = 1")
+        found[f"predict_proba_{kind}"] = rows_sql(stepped(WIDE[kind], kind), f"CAST(k AS INT) AS k, {r6('r')} AS p")
         found[f"global_moments_{kind}"] = Sql(FITTED[kind], kind).cells(0)
         found[f"init_stats_{kind}"] = init_stats_sql(kind)
         found[f"finalize_{kind}"] = finalize_sql(kind)
@@ -253,8 +251,8 @@ def oracle_sql() -> dict[str, str]:
         "assign_counts": stepped("emb64", "spherical").select("SELECT CAST(k AS INT) AS label, count(*) AS n FROM r0 WHERE place = 1 GROUP BY k"),
         "xx_total": xx.select(" UNION ALL ".join(f"SELECT 'xx' AS part, CAST({i} AS INT) AS i, CAST({j} AS INT) AS j, {r6(f'sum(f[{i + 1}] * f[{j + 1}])')} AS value FROM base" for i in (0, 1) for j in (0, 1))),
         "weighted_update": stats_sql(stepped("li4", "spherical"), False),
-        "topk_components": rows_sql(stepped("emb8", "diag"), f"CAST(place - 1 AS INT) AS place, CAST(k AS INT) AS k, {r6('l')} AS logit", "WHERE place <= 2"),
-        "topk_stats": stats_sql(stepped("emb8", "diag", top=2)),
+        "topk_components": rows_sql(stepped("emb64", "diag"), f"CAST(place - 1 AS INT) AS place, CAST(k AS INT) AS k, {r6('l')} AS logit", "WHERE place <= 2"),
+        "topk_stats": stats_sql(stepped("emb64", "diag", top=2)),
         "em_lower_bound_history": bounds_sql(3),
         "em_early_stop": bounds_sql(2),
         "em_hard_spherical": Sql("li4", "spherical").run(3, "hard").cells(3),
@@ -264,4 +262,12 @@ def oracle_sql() -> dict[str, str]:
         "lloyd_fixed_start": lloyd_sql(3),
         "standard_scaled": f"SELECT {LINE}, {r6('(l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER ()')} AS z_quantity, {r6('(l_discount - avg(l_discount) OVER ()) / stddev_pop(l_discount) OVER ()')} AS z_discount FROM lineitem",
     }
+    # facts that hold of whatever is drawn
+    found |= {
+        "random_init": "SELECT CAST(k AS INT) AS k, true AS is_row, CAST(0.2 AS DOUBLE) AS weight FROM range(5) AS r(k)",
+        "kmeanspp_init": "SELECT CAST(k AS INT) AS k, true AS is_row, CAST(1 AS BIGINT) AS same FROM range(10) AS r(k)",
+        "sampled_init": "SELECT CAST(5 AS INT) AS components, CAST(1 AS DOUBLE) AS weights, true AS sound, true AS tight, CASE WHEN count(*) > 4096 THEN 'kmeans_sampled' ELSE 'kmeans' END AS source FROM lineitem",
+        "blobs": "SELECT CAST(k AS INT) AS component, CAST(1000 AS BIGINT) AS n, true AS at_centre FROM range(3) AS r(k)",
+        "anisotropic_blobs": "SELECT CAST(k AS INT) AS component, CAST(1000 AS BIGINT) AS n, true AS at_centre FROM range(3) AS r(k)",
+    }
     return found

@@ -18,7 +18,6 @@ from mixweave.sources.features import standard_scaled
 DIGITS = 6
 ITERATIONS = 3
 TOP_K = 2
-SMALL = {"spherical": "emb8", "diag": "emb8", "tied": "li2", "full": "li2"}
 WIDE = {"spherical": "emb64", "diag": "emb64", "tied": "li2", "full": "li2"}
 FITTED = {"spherical": "li4", "diag": "li4", "tied": "li2", "full": "li2"}
 
@@ -29,12 +28,15 @@ def rounded(column) -> F.Column:
     return F.round(column, DIGITS) + 0.0
 
 
+# posexplode_outer throughout: posexplode makes Spark infer a filter on the array, which computes it twice
+
+
 def per_component(rows: DataFrame, name: str, values: str, alias: str) -> DataFrame:
-    return rows.select(*FIXTURES[name].keys, F.posexplode(values).alias("k", "v")).select(*FIXTURES[name].keys, "k", rounded("v").alias(alias))
+    return rows.select(*FIXTURES[name].keys, F.posexplode_outer(values).alias("k", "v")).select(*FIXTURES[name].keys, "k", rounded("v").alias(alias))
 
 
 def logits(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    name = SMALL[kind]
+    name = WIDE[kind]
     rows = data(spark, sf_dir, name)
     return per_component(density.with_logits(rows, user_start(rows, name, kind)), name, "logits", "logit")
 
@@ -45,18 +47,18 @@ def assign(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 def score_samples(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    rows = data(spark, sf_dir, SMALL[kind])
-    return density.score_samples(rows, user_start(rows, SMALL[kind], kind)).select(*FIXTURES[SMALL[kind]].keys, rounded("log_prob").alias("log_prob"))
+    rows = data(spark, sf_dir, WIDE[kind])
+    return density.score_samples(rows, user_start(rows, WIDE[kind], kind)).select(*FIXTURES[WIDE[kind]].keys, rounded("log_prob").alias("log_prob"))
 
 
 def predict_proba(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    rows = data(spark, sf_dir, SMALL[kind])
-    return per_component(density.predict_proba(rows, user_start(rows, SMALL[kind], kind)), SMALL[kind], "proba", "p")
+    rows = data(spark, sf_dir, WIDE[kind])
+    return per_component(density.predict_proba(rows, user_start(rows, WIDE[kind], kind)), WIDE[kind], "proba", "p")
 
 
 def criteria(spark: SparkSession, sf_dir: str, kind: str, what: str) -> DataFrame:
-    rows = data(spark, sf_dir, SMALL[kind])
-    mixture = user_start(rows, SMALL[kind], kind)
+    rows = data(spark, sf_dir, WIDE[kind])
+    mixture = user_start(rows, WIDE[kind], kind)
     sums = density.score_samples(rows, mixture).agg(F.sum("log_prob").alias("s"), F.count("log_prob").alias("n"))
     p = float(mixture.free_parameters())
     value = {"score": F.col("s") / F.col("n"), "aic": -2 * F.col("s") + 2 * p, "bic": -2 * F.col("s") + p * F.log("n")}[what]
@@ -86,10 +88,10 @@ def weighted_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hard_stats(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    name = SMALL[kind]
+    name = WIDE[kind]
     rows = data(spark, sf_dir, name)
     found = stats.hard(density.assign(rows, user_start(rows, name, kind)), FIXTURES[name].k, kind)
-    flat = found.select("label", F.posexplode(F.concat(F.array("nk"), "sum_x", "second")).alias("pos", "v"))
+    flat = found.select("label", F.posexplode_outer(F.concat(F.array("nk"), "sum_x", "second")).alias("pos", "v"))
     return flat.select("label", "pos", rounded("v").alias("value"))
 
 
@@ -118,15 +120,15 @@ def init_stats(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     name = FITTED[kind]
     f, rows = FIXTURES[name], data(spark, sf_dir, name)
     centres = first_rows(rows, f)[1][0]
-    found = initialize.nearest_stats(rows, {None: centres})[None]
+    found = initialize.nearest_stats(rows, {None: centres}, kind="full" if kind == "tied" else kind)[None]
     weights, cov = initialize.label_parameters(kind, found, centres, stats.moments(rows, f.d)[None][2], REG)
     return long_frame(spark, [None], {"weight": weights[None], "cov": cov[None]}, {"cov"} if kind == "tied" else set(), DIGITS)
 
 
 def topk_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = data(spark, sf_dir, "emb8")
-    found = density.with_logits(rows, user_start(rows, "emb8", "diag")).withColumn("top", density.top_components(F.col("logits"), TOP_K))
-    return found.select("vec_id", F.posexplode("top").alias("place", "t")).select("vec_id", "place", F.col("t.k").alias("k"), rounded("t.logit").alias("logit"))
+    rows = data(spark, sf_dir, "emb64")
+    found = density.with_logits(rows, user_start(rows, "emb64", "diag")).withColumn("top", density.top_components(F.col("logits"), TOP_K))
+    return found.select("vec_id", F.posexplode_outer("top").alias("place", "t")).select("vec_id", "place", F.col("t.k").alias("k"), rounded("t.logit").alias("logit"))
 
 
 def fitted(rows: DataFrame, name: str, kind: str, **options) -> em.FitReport:
@@ -152,22 +154,52 @@ def fit_predict(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 def lloyd_fixed_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = data(spark, sf_dir, "emb8")
-    centres = initialize.lloyd(rows, {None: first_rows(rows, FIXTURES["emb8"])[1][0]}, ITERATIONS, 0.0)[None]
+    rows = data(spark, sf_dir, "emb64")
+    centres = initialize.lloyd(rows, {None: first_rows(rows, FIXTURES["emb64"])[1][0]}, ITERATIONS, 0.0)[None]
     return long_frame(spark, [None], {"mean": centres[None]}, digits=DIGITS)
 
 
-def drawn_start(spark: SparkSession, sf_dir: str, how: str, name: str = "li4") -> DataFrame:
-    f, rows = FIXTURES[name], data(spark, sf_dir, name)
-    mixture, source = initialize.start(rows, "diag", f.k, stats.moments(rows, f.d), [None], how, 7, REG)
-    return params_frame(spark, mixture).withColumn("source", F.lit(source))
+def drawn_rows(spark: SparkSession, rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """What must hold of drawn centres: (k, is_row, distinct), whether a row of the table is the centre, and how many centres are the same."""
+    drawn = F.broadcast(spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "k int, features array<double>"))
+    met = rows.select("features").join(drawn, "features").groupBy("k").agg(F.count("*").alias("n"))
+    same = drawn.groupBy("features").agg(F.count("*").alias("same"))
+    return drawn.join(met, "k", "left").join(same, "features").select("k", F.col("n").isNotNull().alias("is_row"), "same")
+
+
+def random_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random starting means are rows of the table; weights are equal."""
+    f, rows = FIXTURES["li4"], data(spark, sf_dir, "li4")
+    mixture, _ = initialize.start(rows, "diag", f.k, stats.moments(rows, f.d), [None], "random", 7, REG)
+    weights = spark.createDataFrame([(k, float(w)) for k, w in enumerate(mixture.weights[0])], "k int, weight double")
+    return drawn_rows(spark, rows, mixture.means[0]).join(weights, "k").select("k", "is_row", rounded("weight").alias("weight"))
 
 
 def plus_plus_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = data(spark, sf_dir, "emb8")
-    k = FIXTURES["emb8"].k
+    """Centres of k-means++ are rows of the table, all different."""
+    rows, k = data(spark, sf_dir, "emb64"), FIXTURES["emb64"].k
     drawn = initialize.sample(rows, initialize.sample_size(rows.count(), k), 7)
-    return long_frame(spark, [None], {"mean": initialize.plus_plus(drawn, k, np.random.default_rng(7))[None]}, digits=DIGITS)
+    return drawn_rows(spark, rows, initialize.plus_plus(drawn, k, np.random.default_rng(7)))
+
+
+def kmeans_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of a k-means start: components, their weights' sum, finite numbers, and squared distances in all less than a quarter of those to the mean of all rows."""
+    f, rows = FIXTURES["li4"], data(spark, sf_dir, "li4")
+    moments = stats.moments(rows, f.d)
+    mixture, source = initialize.start(rows, "spherical", f.k, moments, [None], "kmeans", 7, REG)
+    within = float((mixture.covariances[0] * mixture.weights[0]).sum()) * f.d
+    facts = (f.k, float(mixture.weights.sum()), bool(np.isfinite(mixture.means).all() and (mixture.covariances > 0).all()), within < np.trace(moments[None][2]) / 4, source)
+    return spark.createDataFrame([facts], "components int, weights double, sound boolean, tight boolean, source string").withColumn("weights", rounded("weights"))
+
+
+def blob_facts(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """Rows of each component of generated blobs, and whether their mean lies at the centre."""
+    k, d = 3, 4
+    rows = make(spark, 3000, d, k, seed=5)
+    means = rows.groupBy("component").agg(F.count("*").alias("n"), F.array(*[F.avg(F.get("features", F.lit(i))) for i in range(d)]).alias("mean"))
+    centres = spark.createDataFrame([(j, c.tolist()) for j, c in enumerate(datasets.centres_of(5, k, d, 5.0))], "component int, centre array<double>")
+    away = F.array_max(F.zip_with("mean", "centre", lambda a, b: F.abs(a - b)))
+    return means.join(F.broadcast(centres), "component").select("component", "n", (away < 0.5).alias("at_centre"))
 
 
 def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +228,7 @@ def queries() -> dict[str, Query]:
         "xx_total": xx_total,
         "weighted_update": weighted_update,
         "topk_components": topk_components,
-        "topk_stats": partial(soft_stats, kind="diag", top_k=TOP_K, name="emb8"),
+        "topk_stats": partial(soft_stats, kind="diag", top_k=TOP_K, name="emb64"),
         "em_lower_bound_history": em_history,
         "em_early_stop": partial(em_history, tol=1e6, max_iter=100),
         "em_hard_spherical": partial(em_params, kind="spherical", em_mode="hard"),
@@ -205,10 +237,10 @@ def queries() -> dict[str, Query]:
         "em_events": partial(em_params, kind="diag", name="ev1"),
         "lloyd_fixed_start": lloyd_fixed_start,
         "standard_scaled": scaled,
-        "random_init": partial(drawn_start, how="random"),
-        "sampled_init": partial(drawn_start, how="kmeans"),
+        "random_init": random_start,
+        "sampled_init": kmeans_start,
         "kmeanspp_init": plus_plus_start,
-        "blobs": lambda spark, sf_dir: datasets.blobs(spark, 1000, 4, 3),
-        "anisotropic_blobs": lambda spark, sf_dir: datasets.anisotropic_blobs(spark, 1000, 4, 3),
+        "blobs": partial(blob_facts, make=datasets.blobs),
+        "anisotropic_blobs": partial(blob_facts, make=datasets.anisotropic_blobs),
     }
     return found

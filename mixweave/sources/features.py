@@ -1,4 +1,4 @@
-"""Feature columns: assembly, checks and standard scaling."""
+"""Feature columns: assembly, validity and standard scaling."""
 
 from __future__ import annotations
 
@@ -21,20 +21,6 @@ def valid(features: Column, d: int) -> Column:
     return F.coalesce((F.size(features) == d) & F.forall(features, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))), F.lit(False))
 
 
-def check(data: DataFrame, d: int | None = None, batch_col: str | None = None) -> tuple[int, int, dict]:
-    """Rows, features and rows per batch; raises ValueError for empty data, other widths, and values that are null, NaN or infinite."""
-    good = valid(F.col("features"), d) if d is not None else valid(F.col("features"), F.size("features"))
-    keys = [batch_col] if batch_col else []
-    rows = data.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.size("features")).alias("lo"), F.max(F.size("features")).alias("hi"), F.min(good.cast("int")).alias("good")).collect()
-    rows = [r for r in rows if r.n]
-    if not rows:
-        raise ValueError("no rows to fit")
-    widths = {w for r in rows for w in (r.lo, r.hi)}
-    if len(widths) != 1 or (d is not None and widths != {d}) or not all(r.good for r in rows):
-        raise ValueError(f"features must be finite arrays of one length{'' if d is None else f' {d}'}; found lengths {sorted(map(str, widths))}")
-    return sum(r.n for r in rows), widths.pop(), {r[batch_col] if batch_col else None: r.n for r in rows}
-
-
 def standard_scaled(data: DataFrame, columns: list[str]) -> DataFrame:
     """The columns less their mean, over their population deviation (a constant column becomes 0). One aggregate, two numbers per column."""
     moments = data.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("dev", F.stddev_pop))]).first()

@@ -226,6 +226,80 @@ def test_precision_jitter():
         numeric.precision(np.array([[1.0, 0], [0, -5]]))
 
 
+def test_other_widths_and_top_k_are_errors(spark):
+    model = GaussianMixture(k=2, max_iter=2).fit(frame(spark, np.random.default_rng(1).normal(size=(30, 2))))
+    wide = spark.createDataFrame([([1.0, 2.0, 3.0],)], "features array<double>")
+    for predicted in (model.predict, model.predict_proba, model.score_samples):
+        with pytest.raises(Exception, match="2 features"):
+            predicted(wide).collect()
+    none = spark.createDataFrame([(None,)], "features array<double>")
+    assert model.predict(none).first().label is None
+    for bad in (0, 2, 3):
+        with pytest.raises(ValueError):
+            stats.soft(wide, Mixture("diag", [[0.5, 0.5]], np.zeros((1, 2, 3)), np.ones((1, 2, 3))), top_k=bad)
+    with pytest.raises(ValueError):
+        density.top_components(F.col("logits"), 0)
+
+
+def test_tied_keeps_a_covariance_that_cant_be_factored():
+    s = stats.Stats(2, 0.0, np.array([2.0]), np.array([[2.0, 2.0]]), None)
+    old = Mixture("tied", [[1.0]], np.zeros((1, 1, 2)), 7 * np.eye(2)[None])
+    new = finalize.update(old, [s], 1e-6, {None: np.array([[-50.0, 0], [0, -50.0]])})
+    assert (new.covariances[0] == 7 * np.eye(2)).all() and (new.means[0] == 1).all()
+
+
+def test_hard_statistics_wide_and_plain_agree(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, label, batch = rng.normal(size=(70, 5)), rng.integers(-1, 4, 70), rng.integers(0, 2, 70)
+    df = spark.createDataFrame([([*map(float, r)], int(k), str(b)) for r, k, b in zip(x, label, batch, strict=True)], "features array<double>, label int, g string").repartition(3)
+    for kind in TYPES:
+        for by in (None, "g"):
+            plain = {(r[by] if by else None, r.label): r for r in stats.hard(df, 3, kind, batch=by).collect()}
+            with monkeypatch.context() as m:
+                m.setattr(stats, "WIDEST_SUMS", 0)
+                wide = {(r[by] if by else None, r.label): r for r in stats.hard(df, 3, kind, batch=by).collect()}
+            assert plain.keys() == wide.keys() and len(plain) == (6 if by else 3)
+            for key, r in plain.items():
+                assert r.nk == wide[key].nk
+                np.testing.assert_allclose(r.sum_x, wide[key].sum_x, atol=1e-9)
+                assert ("second" in r) == (kind != "tied")
+                if kind != "tied":
+                    np.testing.assert_allclose(r.second, wide[key].second, atol=1e-9)
+
+
+def rand_index(pairs):
+    """Adjusted Rand index of (class, label, n)."""
+    two = lambda n: n * (n - 1) / 2
+    a, b, total = {}, {}, 0
+    for c, k, n in pairs:
+        a[c], b[k], total = a.get(c, 0) + n, b.get(k, 0) + n, total + n
+    both, left, right = sum(two(n) for _, _, n in pairs), sum(map(two, a.values())), sum(map(two, b.values()))
+    mean = left * right / two(total)
+    return (both - mean) / ((left + right) / 2 - mean)
+
+
+def test_quality_gates(spark):
+    data = datasets.blobs(spark, 900, 4, 4, seed=11, spread=10.0).persist()  # far apart: a start misses none of them
+    got = GaussianMixture(k=4, random_state=3, max_iter=30).fit_predict(data)
+    assert rand_index([tuple(r) for r in got.groupBy("component", "label").count().collect()]) >= 0.95
+    stretched = datasets.anisotropic_blobs(spark, 900, 4, 3, seed=12, spread=4.0).persist()
+    score = {kind: GaussianMixture(k=3, covariance_type=kind, random_state=3, max_iter=30).fit(stretched).score(stretched) for kind in TYPES}
+    assert score["full"] > score["spherical"] and score["tied"] > score["spherical"]
+
+
+def test_starts_of_many_components_and_batches(spark):
+    x = np.random.default_rng(2).normal(size=(700, 2))
+    rows = initialize.sample(frame(spark, x), 700, 1)
+    centres = initialize.plus_plus(rows, 300, np.random.default_rng(0))
+    assert len(np.unique(centres, axis=0)) == 300
+    batch = [i % 3 for i in range(700)]
+    drawn = initialize.samples(frame(spark, x, batch), {"0": 50, "1": 5, "2": 1000}, 4, "batch_id")
+    assert {k: len(v) for k, v in drawn.items()} == {"0": 50, "1": 5, "2": 233}
+    assert all({tuple(r) for r in v} <= {tuple(x[i]) for i in range(700) if str(batch[i]) == k} for k, v in drawn.items())
+    few = em.fit(frame(spark, x[:4]), 6, max_iter=1)
+    assert few.init_source == "kmeans_random"
+
+
 def test_many_partitions_are_summed_in_groups(spark):
     x = np.random.default_rng(8).normal(size=(200, 2))
     m = Mixture("diag", [[1.0]], [[[0.0, 0.0]]], [[[1.0, 1.0]]])
