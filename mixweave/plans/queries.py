@@ -188,7 +188,7 @@ def kmeans_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     moments = stats.moments(rows, f.d)
     mixture, source = initialize.start(rows, "spherical", f.k, moments, [None], "kmeans", 7, REG)
     within = float((mixture.covariances[0] * mixture.weights[0]).sum()) * f.d
-    facts = (f.k, float(mixture.weights.sum()), bool(np.isfinite(mixture.means).all() and (mixture.covariances > 0).all()), within < np.trace(moments[None][2]) / 4, source)
+    facts = (f.k, float(mixture.weights.sum()), bool(np.isfinite(mixture.means).all() and (mixture.covariances > 0).all()), bool(within < np.trace(moments[None][2]) / 4), source)
     return spark.createDataFrame([facts], "components int, weights double, sound boolean, tight boolean, source string").withColumn("weights", rounded("weights"))
 
 
