@@ -189,4 +189,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str) ->
     bad = materialize(contamination(docs, benchmark, **columns).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
     if bad.count() <= BROADCAST_HITS:
         bad = F.broadcast(bad)
-    return docs.join(bad, F.col(columns.get("id_col", "doc_id")).cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(columns.get("id_col", "doc_id")).cast("long").alias("doc_id"))
+    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
