@@ -10,8 +10,8 @@ sixteen positions is an anchor.
    of them occur elsewhere too. A passage of many documents costs a few bytes a block. Around anchors that do, a
    second round asks the same of longer strings: those `window` - SLACK bytes that all windows have which start in one of a
    few ranges before the anchor. So short strings that are merely common end here.
-2. A block sends the contexts of its shared anchors: the bytes of all windows that an anchor stands for, each distinct
-   context once, with the least and largest id that holds it. A bucket sorts the suffixes that start in these contexts, among
+2. A block sends the contexts of its shared anchors, packed by bucket: the bytes of all windows that an anchor stands for, each
+   distinct context once, with the least and largest id that holds it. A bucket sorts the suffixes that start in these contexts, among
    those with one anchor at one distance: mergesort, in rounds that merge all runs at once, compares two suffixes by a
    binary search for their common extension over prefix polynomial hashes, so a comparison takes a logarithm of the
    window. Neighbours in the result are then compared byte by byte; should a collision have misled the sort, the
@@ -224,15 +224,41 @@ def unpacked(data: bytes) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
+def squeezed(*parts: np.ndarray) -> bytes:
+    """Arrays as one compressed message; its length before that comes first."""
+    data = b"".join(x.tobytes() for x in parts)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def loosened(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def context_message(numbers: np.ndarray, distance: np.ndarray, length: np.ndarray, least: np.ndarray, most: np.ndarray, data: np.ndarray) -> bytes:
+    """Contexts that a block has for one bucket, by ascending number."""
+    columns = (np.diff(numbers, prepend=0).astype("<i4"), distance.astype("<i4"), length.astype("<i4"), least.astype("<i8"), (most - least).astype("<i8"))
+    return squeezed(np.array([len(numbers)], "<i8"), *columns, data)
+
+
+def read_contexts(message: bytes) -> tuple[np.ndarray, ...]:
+    """(number, distance, length, least, most, bytes) of a message."""
+    data = loosened(message)
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    small = np.frombuffer(data, "<i4", 3 * n, 8).astype(np.int64)
+    least, span = np.frombuffer(data, "<i8", 2 * n, 8 + 12 * n).reshape(2, n)
+    return np.cumsum(small[:n]), small[n : 2 * n], small[2 * n :], least, least + span, np.frombuffer(data, np.uint8, offset=8 + 28 * n)
+
+
 def replied(asked: np.ndarray, ids: np.ndarray, windows: np.ndarray) -> bytes:
     """One message for a block: context numbers, windows of each, and the windows' ids as runs (neighbours mostly share one)."""
     head = np.append(True, ids[1:] != ids[:-1])
     at = np.flatnonzero(head)
     counts = np.array([len(asked), len(at)], "<i8")
-    return b"".join(x.tobytes() for x in (counts, np.diff(asked, prepend=0).astype("<i4"), windows.astype("<i4"), np.diff(np.append(at, len(ids))).astype("<i4"), ids[at].astype("<i8")))
+    return squeezed(counts, np.diff(asked, prepend=0).astype("<i4"), windows.astype("<i4"), np.diff(np.append(at, len(ids))).astype("<i4"), ids[at].astype("<i8"))
 
 
 def read_reply(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = loosened(data)
     n, runs = np.frombuffer(data, "<i8", 2)
     small = np.frombuffer(data, "<i4", 2 * n + runs, 16)
     ids = np.frombuffer(data, "<i8", runs, 16 + 4 * (2 * n + runs))
@@ -350,7 +376,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
 
     def send_contexts(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in (("bucket", pa.int64()), ("block", pa.int64()), ("number", pa.int64()), ("distance", pa.int64()), ("context", pa.binary()), ("least", pa.int64()), ("most", pa.int64()))})
+            return pa.table({"bucket": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
         block = Block(table, Told(told), window, gram)
         picked, number = block.shared()
         _, rep = np.unique(number, return_index=True)
@@ -360,16 +386,18 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
         np.maximum.at(most, number, block.id[block.doc[picked]])
         one = picked[rep]
         length = block.last[one] - block.first[one] + window
-        ends = np.append(0, np.cumsum(length))
-        context = pa.Array.from_buffers(pa.large_binary(), len(one), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(block.flat[ragged(block.first[one], length)])])
-        return pa.table({"bucket": bucket_of(block.hash[one], buckets), "block": np.full(len(one), table["block"][0].as_py()), "number": np.arange(len(one)), "distance": block.distance[one], "context": context.cast(pa.binary()), "least": least, "most": most})
+        bucket = bucket_of(block.hash[one], buckets)
+        order = np.argsort(bucket, kind="stable")
+        names, at = np.unique(bucket[order], return_index=True)
+        data = [context_message(i, block.distance[one[i]], length[i], least[i], most[i], block.flat[ragged(block.first[one[i]], length[i])]) for i in np.split(order, at[1:])] if len(names) else []
+        return pa.table({"bucket": names, "block": np.full(len(names), table["block"][0].as_py()), "data": pa.array(data, pa.binary())})
 
     def sort_suffixes(table: pa.Table) -> pa.Table:
-        at, flat = buffers(table["context"].cast(pa.large_binary()))
-        begin, length = at[:-1], np.diff(at)
-        distance = table["distance"].to_numpy()
+        sent = [read_contexts(x.as_py()) for x in table["data"]]
+        numbers, distance, length, least, most, flat = (np.concatenate(column) for column in zip(*sent, strict=True))
+        blocks = np.repeat(table["block"].to_numpy(), [len(x[0]) for x in sent])
+        begin = np.cumsum(length) - length
         anchor = PrefixHashes(flat, BASES[0]).of(begin + distance, begin + distance + gram)
-        least, most = table["least"].to_numpy(), table["most"].to_numpy()
         hashes = PrefixHashes(flat, BASES[1])
         label = mixed(hashes.of(begin, begin + length) ^ mixed(anchor + (distance.astype(np.uint64) << np.uint64(32)) + length.astype(np.uint64)))
         number = distinct_contexts(flat, begin, length, label)
@@ -398,7 +426,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
             best[element] = np.repeat(low, np.diff(np.append(heads, len(element))))
         lowest = np.minimum.reduceat(best, first_at)
         answer = np.flatnonzero(lowest[number] < most)
-        block, asked = table["block"].to_numpy()[answer], table["number"].to_numpy()[answer]
+        block, asked = blocks[answer], numbers[answer]
         order = np.lexsort((asked, block))
         block, asked, of = block[order], asked[order], number[answer][order]
         names, at = np.unique(block, return_index=True)
@@ -460,7 +488,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
     anchors_told = tell(to_blocks(copies, send_anchors, key_schema), Told.ANCHORS)
     strings_told = tell(to_blocks(joined(copies, anchors_told), send_strings, key_schema), Told.STRINGS)
     told = joined(copies, anchors_told, strings_told)
-    contexts = to_blocks(told, send_contexts, "bucket long, block long, number long, distance long, context binary, least long, most long")
+    contexts = to_blocks(told, send_contexts, "bucket long, block long, data binary")
     replies = contexts.groupBy("bucket").applyInArrow(sort_suffixes, told_schema)
     found = to_blocks(joined(told, replies), remove, FOUND_SCHEMA + (f", rest {rest_type.simpleString()}" if others else ""))
     # documents without an id take no part, so none of them goes to a block
