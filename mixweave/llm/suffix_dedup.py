@@ -27,7 +27,7 @@ than each other. A null doc_id removes nothing and loses nothing. Empty tables g
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,8 @@ from mixweave.llm.shared import materialize
 WINDOW, GRAM = 50, 20
 BLOCK_BYTES = 2 << 20  # of text that a block holds on average
 BUCKET_BYTES = 2 << 20  # of text whose anchors a bucket holds on average
-CHUNK = 4 << 20  # window starts that are hashed at once
+TILE = 1 << 16  # powers of a base that are kept: as many as a core's cache holds
+CHUNK = TILE >> 1  # window starts that are hashed at once
 BASES = tuple(np.uint64(b) for b in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63))
 SLACK = 10  # window starts that one longer string stands for
 KEY_BYTES = 6  # of an anchor's hash that a block sends to a bucket
@@ -51,22 +52,44 @@ FOUND_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept bi
 NOT_FIRST = (0x80, 0xC0)  # a byte with these upper two bits continues a UTF-8 character
 
 
+@cache
+def powers(base: int, step: int = 1) -> np.ndarray:
+    """The first TILE powers of base ** step, modulo 2^64."""
+    out = np.full(TILE, pow(base, step, 1 << 64), np.uint64)
+    out[0] = 1
+    return np.cumprod(out, out=out)
+
+
 class PrefixHashes:
     """Polynomial hashes of all prefixes of a byte array, modulo 2^64."""
 
     def __init__(self, flat: np.ndarray, base: np.uint64):
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        powers = np.full(len(flat) + 1, base, np.uint64)
-        powers[0] = 1
-        self.undo = np.full(len(flat) + 1, inverse, np.uint64)
-        self.undo[0] = 1
-        np.cumprod(powers, out=powers)
-        np.cumprod(self.undo, out=self.undo)
+        inverse = pow(int(base), -1, 1 << 64)
+        self.low, self.high = powers(inverse), powers(inverse, TILE)
         self.sums = np.zeros(len(flat) + 1, np.uint64)
-        np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=self.sums[1:])
+        for lo in range(0, len(flat), TILE):
+            part = flat[lo : lo + TILE].astype(np.uint64)
+            part += np.uint64(1)
+            part *= powers(int(base))[: len(part)]
+            if lo:
+                part *= np.uint64(pow(int(base), lo, 1 << 64))
+            part[:1] += self.sums[lo : lo + 1]
+            np.cumsum(part, out=self.sums[lo + 1 : lo + len(part) + 1])
+
+    def undo(self, start: np.ndarray) -> np.ndarray:
+        """What takes the power of its place from a sum that begins at start."""
+        if len(self.sums) <= TILE:
+            return self.low[start]
+        return self.low[start & (TILE - 1)] * self.high[start >> (TILE.bit_length() - 1)]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.undo[start]
+        return (self.sums[end] - self.sums[start]) * self.undo(start)
+
+    def every(self, length: int) -> np.ndarray:
+        """The hashes of the strings of this length at all places, of at most TILE bytes."""
+        out = self.sums[length:] - self.sums[:-length]
+        out *= self.low[: len(out)]
+        return out
 
 
 def anchors(flat: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -79,9 +102,8 @@ def anchors(flat: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tup
     for lo in range(0, max(len(flat) - window + 1, 0), CHUNK):
         hi = min(lo + CHUNK, len(flat) - window + 1)
         hashes = PrefixHashes(flat[lo : hi + window - 1], BASES[0])
-        at = np.arange(hi - lo + span - 1)
-        gram_hash = mixed(hashes.of(at, at + gram))
-        ranked = (gram_hash & ~PLACE) | at.astype(np.uint64)  # of equal grams, the first
+        gram_hash = mixed(hashes.every(gram))
+        ranked = (gram_hash & ~PLACE) | np.arange(len(gram_hash), dtype=np.uint64)  # of equal grams, the first
         low, width = ranked, 1
         while 2 * width <= span:
             low, width = np.minimum(low[:-width], low[width:]), 2 * width
@@ -123,8 +145,8 @@ def buffers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def in_several(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each entry, whether its key occurs with more than one document."""
-    order = np.lexsort((docs, keys))
-    k, d = keys[order], docs[order]
+    order = np.argsort(keys)
+    k, d = keys[order], docs[order]  # documents of a key that aren't all one differ somewhere side by side
     if not len(k):
         return np.zeros(0, bool)
     group = np.cumsum(np.append(True, k[1:] != k[:-1])) - 1
@@ -275,9 +297,10 @@ def suffix_order(flat: np.ndarray, start: np.ndarray, group: np.ndarray, window:
     def beyond(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The sign of comparing suffixes x and y over the window."""
         low, high = np.zeros(len(x), np.int64), np.full(len(x), window)
+        sum_x, sum_y, undo_x, undo_y = hashes.sums[x], hashes.sums[y], hashes.undo(x), hashes.undo(y)
         for _ in range(window.bit_length()):
             mid = (low + high + 1) >> 1
-            same = hashes.of(x, x + mid) == hashes.of(y, y + mid)
+            same = (hashes.sums[x + mid] - sum_x) * undo_x == (hashes.sums[y + mid] - sum_y) * undo_y
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         last = np.minimum(low, window - 1)
         return np.where(low == window, 0, np.sign(flat[x + last].astype(np.int16) - flat[y + last].astype(np.int16)))
@@ -312,10 +335,10 @@ def classes(flat: np.ndarray, start: np.ndarray, group: np.ndarray, window: int)
         ordered = suffix_order(flat, start, group, window, PrefixHashes(flat, base))
         same_group = group[1:] == group[:-1]
         equal, sound = np.zeros(len(same_group), bool), True
-        for lo in range(0, len(same_group), 1 << 18):
-            part = slice(lo, lo + (1 << 18))
-            a = flat[ordered[:-1][part, None] + np.arange(window)]
-            b = flat[ordered[1:][part, None] + np.arange(window)]
+        strings = np.lib.stride_tricks.sliding_window_view(flat, window) if len(same_group) else None
+        for lo in range(0, len(same_group), CHUNK):
+            part = slice(lo, lo + CHUNK)
+            a, b = strings[ordered[:-1][part]], strings[ordered[1:][part]]
             differ = a != b
             equal[part] = ~differ.any(axis=1) & same_group[part]
             at = differ.argmax(axis=1)
