@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixweave.llm import decontam, language_id, license_scan, near_dedup, oracles, packing, quality_rules, suffix_dedup, token_counts, url_filters, warc
+from mixweave.llm import decontam, language_id, license_scan, near_dedup, oracles, packing, periodic_runs, quality_rules, suffix_dedup, token_counts, url_filters, warc
 from mixweave.llm.license_texts import TEMPLATES
 from mixweave.llm.shared import read_table, scratch
 
@@ -93,8 +93,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(read_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    found = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_packing, op2_token_counts, op3_near_dedup, op4_warc, op5_suffix_dedup, op6_url_filters, op7_language_id, op8_license_scan, op9_quality_rules, op10_decontamination)
+    made = (op1_packing, op2_token_counts, op3_near_dedup, op4_warc, op5_suffix_dedup, op6_url_filters, op7_language_id, op8_license_scan, op9_quality_rules, op10_decontamination, op11_periodic_runs)
     return {q.__name__: q for q in made}
 
 
