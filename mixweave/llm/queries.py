@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixweave.llm import decontam, language_id, license_scan, near_dedup, oracles, packing, periodic_runs, quality_rules, suffix_dedup, token_counts, url_filters, warc
+from mixweave.llm import decontam, divergence, language_id, license_scan, near_dedup, oracles, packing, periodic_runs, quality_rules, suffix_dedup, token_counts, topk_search, url_filters, warc
 from mixweave.llm.license_texts import TEMPLATES
 from mixweave.llm.shared import read_table, scratch
 
@@ -108,10 +108,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), topk_search.whole(F.col("embedding")).alias("vector"))
+    return topk_search.search(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_packing, op2_token_counts, op3_near_dedup, op4_warc, op5_suffix_dedup, op6_url_filters, op7_language_id, op8_license_scan, op9_quality_rules, op10_decontamination, op11_periodic_runs)
+    made = (op1_packing, op2_token_counts, op3_near_dedup, op4_warc, op5_suffix_dedup, op6_url_filters, op7_language_id, op8_license_scan, op9_quality_rules, op10_decontamination, op11_periodic_runs, op12_exact_topk, op13_source_divergence)
     return {q.__name__: q for q in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": oracles.OP4, "op6_url_filters": oracles.op6(URL_EVENTS, LISTED_HOSTS, FETCH_START, FETCH_DAYS), "op9_quality_rules": oracles.OP9}
+    return {"op4_warc": oracles.OP4, "op6_url_filters": oracles.op6(URL_EVENTS, LISTED_HOSTS, FETCH_START, FETCH_DAYS), "op9_quality_rules": oracles.OP9, "op12_exact_topk": oracles.OP12, "op13_source_divergence": oracles.OP13}
