@@ -6,16 +6,15 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TYPES = ("spherical", "diag", "tied", "full")
 MIN_WEIGHT = 1e-8
-MAX_FULL = 2_000_000  # components times squared features: what the driver is willing to hold
 LOG_2PI = math.log(2.0 * math.pi)
 
 MODEL_SCHEMA = "batch_id string, k int, weight double, mean array<double>, cov array<double>"
-LONG_SCHEMA = "batch_id string, part string, k int, i int, j int, value double"
 
 
 def covariance_type(name: str) -> str:
@@ -25,6 +24,11 @@ def covariance_type(name: str) -> str:
     return name
 
 
+def free_parameters(kind: str, k: int, d: int) -> int:
+    """How many numbers of one mixture are free."""
+    return k * d + {"spherical": k, "diag": k * d, "tied": d * (d + 1) // 2, "full": k * d * (d + 1) // 2}[kind] + k - 1
+
+
 @dataclass
 class Mixture:
     """Parameters of B independent mixtures: weights (B, K), means (B, K, D), and covariances of shape (B, K), (B, K, D), (B, D, D) or (B, K, D, D).
@@ -47,8 +51,6 @@ class Mixture:
         want = {"spherical": (b, k), "diag": (b, k, d), "tied": (b, d, d), "full": (b, k, d, d)}[self.kind]
         if self.weights.shape != (b, k) or self.covariances.shape != want or len(self.keys) != b:
             raise ValueError(f"weights must have shape {(b, k)} and covariances {want}, for {b} keys")
-        if self.kind == "full" and k * d * d > MAX_FULL:
-            raise ValueError(f"K x D x D is {k * d * d}, over {MAX_FULL}")
 
     @property
     def shape(self) -> tuple[int, int, int]:
@@ -56,8 +58,7 @@ class Mixture:
 
     def free_parameters(self) -> int:
         b, k, d = self.shape
-        cov = {"spherical": k, "diag": k * d, "tied": d * (d + 1) // 2, "full": k * d * (d + 1) // 2}[self.kind]
-        return b * (k * d + cov + k - 1)
+        return b * free_parameters(self.kind, k, d)
 
     def component_covariances(self) -> np.ndarray:
         """Covariances by component, the shared one of tied repeated: (B, K, ...)."""
@@ -88,11 +89,15 @@ class Mixture:
 
 
 def long_frame(spark: SparkSession, keys: list, parts: dict[str, np.ndarray], shared: set[str] = frozenset(), digits: int | None = None) -> DataFrame:
-    rows = []
+    """A row (batch_id, part, k, i, j, value) for each number of arrays by batch; parts in shared have no component, places that an array lacks are -1."""
+    columns: list[list] = [[], [], [], [], [], []]
     for part, values in parts.items():
-        for at in np.ndindex(*values.shape):
-            b, *rest = at
-            k, i, j = ([-1, *rest] if part in shared else [*rest]) + [-1] * (3 - len(rest) - (part in shared))
-            rows.append((None if keys[b] is None else str(keys[b]), part, k, i, j, float(values[at])))
-    frame = spark.createDataFrame(rows, LONG_SCHEMA)
+        b, *rest = (at.ravel() for at in np.indices(values.shape))
+        none = np.full(values.size, -1)
+        k, i, j = ([none, *rest] if part in shared else rest) + [none] * (3 - len(rest) - (part in shared))
+        for column, v in zip(columns, (np.array([None if key is None else str(key) for key in keys], object)[b], np.full(values.size, part, object), k, i, j, np.ravel(values)), strict=True):
+            column.append(v)
+    types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+    table = pa.table([pa.array(np.concatenate(v), t) for v, t in zip(columns, types, strict=True)], names=["batch_id", "part", "k", "i", "j", "value"])
+    frame = spark.createDataFrame(table)
     return frame if digits is None else frame.withColumn("value", F.round("value", digits) + 0.0)

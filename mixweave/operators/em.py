@@ -24,9 +24,14 @@ from mixweave.operators import density, finalize, initialize
 from mixweave.operators import stats as st
 
 MODES = ("soft", "hard")
+DRIVER_SUMS = 1 << 24  # numbers for all batch keys together; beyond it, operators.keyed fits them on the executors
 log = logging.getLogger("mixweave")
 
 
+class TooManyKeys(ValueError):
+    """More batch keys than the driver holds parameters for."""
+
+
 @dataclass
 class FitReport:
     """What a fit did."""
@@ -85,10 +90,15 @@ def fit(
     by = "batch" if batch else None
     packed = st.pack(rows, by)
     try:
-        n, d, sizes = st.checked(packed, d, by)
-        keys = sorted(sizes) if batch else [None]
+        d = st.features_of(packed, d)
+        n_keys = packed.frame.select("batch").distinct().count() if batch else 1
+        if n_keys * st.Stats.width(kind, k, d) > DRIVER_SUMS and batch:
+            raise TooManyKeys(f"{n_keys} batch keys with {st.Stats.width(kind, k, d)} sums each are more than the driver takes; use keyed.fit")
         chosen = "arrow" if strategy == "auto" else density.choose(strategy, 0)
-        moments = st.moments(packed, d, by)
+        moments = st.moments(packed, d, by, kind, n_keys)
+        if None in moments and batch:
+            raise ValueError(f"{batch} must not be null")
+        n, keys = int(sum(m[0] for m in moments.values())), sorted(moments) if batch else [None]
         shift = sum(moments[key][0] * moments[key][1] for key in moments) / n
         centred = packed.moved(shift)
         if chosen == "columns":

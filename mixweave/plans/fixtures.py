@@ -31,6 +31,7 @@ FIXTURES = {
     "li2": Fixture("lineitem", LINE_KEYS, 2, 3),
     "li4b": Fixture("lineitem", LINE_KEYS, 4, 2, "l_returnflag"),
     "ev1": Fixture("events", ("event_id",), 1, 3),
+    "ev1u": Fixture("events", ("event_id",), 1, 2, "user_id"),
 }
 
 
@@ -61,5 +62,5 @@ def user_start(rows: DataFrame, name: str, kind: str) -> Mixture:
     """First rows as means, equal weights, global covariance."""
     f = FIXTURES[name]
     keys, means = first_rows(rows, f)
-    moments = stats.moments(rows, f.d, "batch_id" if f.batch else None)
+    moments = stats.moments(rows, f.d, "batch_id" if f.batch else None, kind)
     return initialize.given(kind, means, [moments[key] for key in keys], REG, keys)

@@ -14,6 +14,7 @@ SOURCES = {
     "li2": ("lineitem", LINE, "[CAST(l_quantity AS DOUBLE) / 10, CAST(l_extendedprice AS DOUBLE) / 10000]", 2, 3, "''"),
     "li4b": ("lineitem", LINE, "[CAST(l_quantity AS DOUBLE) / 10, CAST(l_extendedprice AS DOUBLE) / 10000, CAST(l_discount AS DOUBLE) * 10, CAST(l_tax AS DOUBLE) * 10]", 4, 2, "l_returnflag"),
     "ev1": ("events", "event_id", "[CAST(value AS DOUBLE)]", 1, 3, "''"),
+    "ev1u": ("events", "event_id", "[CAST(value AS DOUBLE)]", 1, 2, "CAST(user_id AS VARCHAR)"),
 }
 
 
@@ -224,6 +225,30 @@ def rows_sql(s: Sql, columns: str, where: str = "") -> str:
     return s.select(f"SELECT {', '.join('base.' + k.strip() for k in s.keys.split(','))}, {columns} FROM r0 JOIN base ON base.rid = r0.rid {where}")
 
 
+def many_sql(body: str) -> str:
+    """Logits l of each vector under 8192 components (see queries.many_components), and body on them."""
+    return f"""
+WITH base AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f, row_number() OVER (ORDER BY vec_id) - 1 AS place, least(count(*) OVER (), 8192) AS n FROM embeddings),
+comp AS MATERIALIZED (SELECT k, list_transform(range(0, 64), lambda d: f[(d + k // n) % 64 + 1]) AS m, (1.0 + k % 7) / sum(1.0 + k % 7) OVER () AS w, CAST(0.01 AS DOUBLE) + CAST(k % 5 AS DOUBLE) / 500 AS s FROM range(8192) AS r(k) JOIN base ON place = k % n),
+l AS MATERIALIZED (SELECT vec_id, f, k, ln(w) - 0.5 * (list_distance(f, m) * list_distance(f, m) / s + 64 * ln(s) + 64 * ln(2 * pi())) AS l FROM base, comp),
+best AS MATERIALIZED (SELECT vec_id, f, k, l, row_number() OVER (PARTITION BY vec_id ORDER BY l DESC, k) AS place FROM l QUALIFY place <= 3)
+{body}"""
+
+
+MANY_STATS = """,
+r AS (SELECT f, k, lp, exp(l - lp) AS r, place FROM (SELECT *, max(l) OVER q + ln(sum(exp(l - top)) OVER q) AS lp FROM (SELECT *, max(l) OVER (PARTITION BY vec_id) AS top FROM best) WINDOW q AS (PARTITION BY vec_id))),
+e AS (SELECT k, unnest(range(0, 64)) AS d, r, unnest(f) AS v FROM r),
+cells AS (SELECT 'nk' AS part, k, -1 AS i, sum(r) AS v FROM r GROUP BY k UNION ALL SELECT 'sum_x', k, d, sum(r * v) FROM e GROUP BY k, d UNION ALL SELECT 'second', k, -1, sum(r * v * v) FROM e GROUP BY k
+    UNION ALL SELECT 'log_likelihood', -1, -1, sum(lp) FROM r WHERE place = 1)
+SELECT part, CAST(k AS INT) AS k, CAST(i AS INT) AS i, CAST(-1 AS INT) AS j, round(v, 6) + 0.0 AS value FROM cells WHERE round(v, 6) <> 0"""
+
+
+def keyed_score_sql() -> str:
+    s = Sql("ev1u", "diag").run(3)
+    s.e_step(3)
+    return s.select(f"SELECT event_id, CAST(k AS INT) AS label, {r6('lp')} AS log_prob FROM r3 JOIN base ON base.rid = r3.rid WHERE place = 1")
+
+
 def oracle_sql() -> dict[str, str]:
     found: dict[str, str] = {}
     for kind in TYPES:
@@ -259,6 +284,14 @@ def oracle_sql() -> dict[str, str]:
         "em_hard_diag": Sql("li4", "diag").run(3, "hard").cells(3),
         "em_batched_spherical": Sql("li4b", "spherical").run(3).cells(3),
         "em_events": Sql("ev1", "diag").run(3).cells(3),
+        "em_keyed_spherical": Sql("ev1u", "spherical").run(3).cells(3),
+        "em_keyed_diag": Sql("ev1u", "diag").run(3).cells(3),
+        "score_keyed": keyed_score_sql(),
+        "assign_many": many_sql(", t AS (SELECT vec_id, max(l) AS top FROM l GROUP BY vec_id), p AS (SELECT vec_id, any_value(top) + ln(sum(exp(l - top))) AS lp FROM l JOIN t USING (vec_id) GROUP BY vec_id)"
+                                f" SELECT vec_id, CAST(k AS INT) AS label, {r6('lp')} AS log_prob FROM best JOIN p USING (vec_id) WHERE place = 1"),
+        "topk_many": many_sql(f"SELECT vec_id, CAST(place - 1 AS INT) AS place, CAST(k AS INT) AS k, {r6('l')} AS logit FROM best"),
+        "topk_stats_many": many_sql(MANY_STATS),
+        "second_moments": f"SELECT label, CAST(i AS INT) AS i, CAST(j AS INT) AS j, {r6('sum(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE))')} AS value FROM embeddings, range(64) AS a(i), range(64) AS c(j) WHERE i <= j GROUP BY label, i, j",
         "lloyd_fixed_start": lloyd_sql(3),
         "standard_scaled": f"SELECT {LINE}, {r6('(l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER ()')} AS z_quantity, {r6('(l_discount - avg(l_discount) OVER ()) / stddev_pop(l_discount) OVER ()')} AS z_discount FROM lineitem",
     }
@@ -266,7 +299,8 @@ def oracle_sql() -> dict[str, str]:
     found |= {
         "random_init": "SELECT CAST(k AS INT) AS k, true AS is_row, CAST(0.2 AS DOUBLE) AS weight FROM range(5) AS r(k)",
         "kmeanspp_init": "SELECT CAST(k AS INT) AS k, true AS is_row, CAST(1 AS BIGINT) AS same FROM range(10) AS r(k)",
-        "sampled_init": "SELECT CAST(5 AS INT) AS components, CAST(1 AS DOUBLE) AS weights, true AS sound, true AS tight, CASE WHEN count(*) > 4096 THEN 'kmeans_sampled' ELSE 'kmeans' END AS source FROM lineitem",
+        "sampled_init": "SELECT CAST(5 AS INT) AS components, CAST(1 AS DOUBLE) AS weights, true AS sound, true AS tight, CASE WHEN count(*) > 4096 THEN 'kmeans_parallel' ELSE 'kmeans' END AS source FROM lineitem",
+        "kmeans_parallel_init": "SELECT CAST(k AS INT) AS k, true AS is_row, CAST(1 AS BIGINT) AS same FROM range(20) AS r(k)",
         "blobs": "SELECT CAST(k AS INT) AS component, CAST(1000 AS BIGINT) AS n, true AS at_centre FROM range(3) AS r(k)",
         "anisotropic_blobs": "SELECT CAST(k AS INT) AS component, CAST(1000 AS BIGINT) AS n, true AS at_centre FROM range(3) AS r(k)",
     }

@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixweave.functions.params import TYPES, long_frame
-from mixweave.operators import density, em, finalize, initialize, stats
+from mixweave.functions.params import TYPES, Mixture, long_frame
+from mixweave.operators import density, em, finalize, initialize, keyed, stats
 from mixweave.plans.fixtures import FIXTURES, REG, data, first_rows, user_start
 from mixweave.sources import datasets
 from mixweave.sources.features import standard_scaled
@@ -127,7 +127,7 @@ def init_stats(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 def topk_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = data(spark, sf_dir, "emb64")
-    found = density.with_logits(rows, user_start(rows, "emb64", "diag")).withColumn("top", density.top_components(F.col("logits"), TOP_K))
+    found = density.best_components(rows, user_start(rows, "emb64", "diag"), TOP_K)
     return found.select("vec_id", F.posexplode_outer("top").alias("place", "t")).select("vec_id", "place", F.col("t.k").alias("k"), rounded("t.logit").alias("logit"))
 
 
@@ -142,6 +142,75 @@ def em_params(spark: SparkSession, sf_dir: str, kind: str, name: str = "", **opt
     return params_frame(spark, fitted(data(spark, sf_dir, name), name, kind, **options).mixture)
 
 
+def user_fit(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, keyed.KeyedFit]:
+    """The events and a mixture for each user, fitted on the executors from the user's first events."""
+    f, rows = FIXTURES["ev1u"], data(spark, sf_dir, "ev1u")
+    means = keyed.first_means(rows, "batch_id", f.k, list(f.keys))
+    return rows, keyed.fit(rows, f.k, kind, "batch_id", ITERATIONS, 0.0, reg_covar=REG, init_means=means)
+
+
+def em_keyed_users(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    model = user_fit(spark, sf_dir, kind)[1].model
+    number = lambda part, value, i: F.struct(F.lit(part).alias("part"), value.alias("value"), i.cast("int").alias("i"))
+    mean = F.transform("mean", lambda v, i: number("mean", v, i))
+    cov = F.transform("cov", lambda v, i: number("cov", v, F.lit(-1) if kind == "spherical" else i))
+    cells = F.concat(F.array(number("weight", F.col("weight"), F.lit(-1))), mean, cov)
+    return model.select("batch_id", "k", F.explode(cells).alias("c")).select("batch_id", "c.part", "k", "c.i", F.lit(-1).alias("j"), rounded("c.value").alias("value"))
+
+
+def score_keyed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's label and log-density under the mixture of its user."""
+    rows, fitted = user_fit(spark, sf_dir, "diag")
+    return keyed.predict(rows, fitted, "batch_id").select("event_id", "label", rounded("log_prob").alias("log_prob"))
+
+
+MANY = 8192
+
+
+def many_components(rows: DataFrame) -> Mixture:
+    """8192 spherical components around the table's first vectors by id and, where these are fewer, the same turned by one place, two places and so on."""
+    base = np.array([r.features for r in rows.orderBy("vec_id").limit(MANY).select("features").collect()])
+    k = np.arange(MANY)
+    turned = (np.arange(base.shape[1]) + (k // len(base))[:, None]) % base.shape[1]
+    weights = 1.0 + k % 7
+    return Mixture("spherical", (weights / weights.sum())[None], np.take_along_axis(base[k % len(base)], turned, axis=1)[None], (0.01 + k % 5 / 500)[None])
+
+
+def assign_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and log-densities under 8192 components, tile after tile."""
+    rows = data(spark, sf_dir, "emb64")
+    mixture = many_components(rows)
+    return density.score_samples(density.assign(rows, mixture), mixture).select("vec_id", "label", rounded("log_prob").alias("log_prob"))
+
+
+def topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = data(spark, sf_dir, "emb64")
+    found = density.best_components(rows, many_components(rows), 3)
+    return found.select("vec_id", F.posexplode_outer("top").alias("place", "t")).select("vec_id", "place", F.col("t.k").alias("k"), rounded("t.logit").alias("logit"))
+
+
+def topk_stats_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the 3 best of 8192 components; the components that are among them."""
+    rows = data(spark, sf_dir, "emb64")
+    return stats_frame(spark, stats.soft(rows, many_components(rows), top_k=3)[0]).where("value <> 0")
+
+
+def second_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of products of features by label, as tiles of 16 x 16 features."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("embedding").cast("array<double>").alias("features"), "label")
+    found = stats.moment_cells(stats.second_moments(rows, "label", tile=16), 16)
+    return found.select("label", "i", "j", rounded("value").alias("value"))
+
+
+def parallel_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres of k-means|| are rows of the table, all different."""
+    rows, k = data(spark, sf_dir, "li4"), 20
+    packed = stats.pack(rows)
+    centres = initialize.parallel_centres(packed, k, 7)[None]
+    packed.frame.unpersist()
+    return drawn_rows(spark, rows, centres)
+
+
 def em_history(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     report = fitted(data(spark, sf_dir, "li4"), "li4", "spherical", **options)
     return spark.createDataFrame([(i + 1, v) for i, v in enumerate(report.lower_bound_history)], "iteration int, lower_bound double").withColumn("lower_bound", rounded("lower_bound"))
@@ -185,8 +254,10 @@ def plus_plus_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold of a k-means start: components, their weights' sum, finite numbers, and squared distances in all less than a quarter of those to the mean of all rows."""
     f, rows = FIXTURES["li4"], data(spark, sf_dir, "li4")
-    moments = stats.moments(rows, f.d)
-    mixture, source = initialize.start(rows, "spherical", f.k, moments, [None], "kmeans", 7, REG)
+    packed = stats.pack(rows)
+    moments = stats.moments(packed, f.d)
+    mixture, source = initialize.start(rows, "spherical", f.k, moments, [None], "kmeans", 7, REG, packed=packed)
+    packed.frame.unpersist()
     within = float((mixture.covariances[0] * mixture.weights[0]).sum()) * f.d
     facts = (f.k, float(mixture.weights.sum()), bool(np.isfinite(mixture.means).all() and (mixture.covariances > 0).all()), bool(within < np.trace(moments[None][2]) / 4), source)
     return spark.createDataFrame([facts], "components int, weights double, sound boolean, tight boolean, source string").withColumn("weights", rounded("weights"))
@@ -235,11 +306,19 @@ def queries() -> dict[str, Query]:
         "em_hard_diag": partial(em_params, kind="diag", em_mode="hard"),
         "em_batched_spherical": partial(em_params, kind="spherical", name="li4b"),
         "em_events": partial(em_params, kind="diag", name="ev1"),
+        "em_keyed_spherical": partial(em_keyed_users, kind="spherical"),
+        "em_keyed_diag": partial(em_keyed_users, kind="diag"),
+        "score_keyed": score_keyed_users,
         "lloyd_fixed_start": lloyd_fixed_start,
         "standard_scaled": scaled,
         "random_init": random_start,
         "sampled_init": kmeans_start,
         "kmeanspp_init": plus_plus_start,
+        "kmeans_parallel_init": parallel_start,
+        "assign_many": assign_many,
+        "topk_many": topk_many,
+        "topk_stats_many": topk_stats_many,
+        "second_moments": second_moments,
         "blobs": partial(blob_facts, make=datasets.blobs),
         "anisotropic_blobs": partial(blob_facts, make=datasets.anisotropic_blobs),
     }
