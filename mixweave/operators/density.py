@@ -74,10 +74,10 @@ def logits(mixture: Mixture, features: Column | str = "features", batch: Column
                 found = F.when(batch.cast("string") == str(key), _written_out(features, t)).otherwise(found)
         return F.when(valid(features, d), found)
 
-    return _by_arrow(mixture, features, batch, "array<double>", lambda t, x: _lists(t.logits(x)))
+    return _by_arrow(mixture, features, batch, "array<double>", lambda t, x: lists(t.logits(x)))
 
 
-def _lists(values: np.ndarray, inner: pa.Array | None = None) -> pa.ListArray:
+def lists(values: np.ndarray, inner: pa.Array | None = None) -> pa.ListArray:
     """The rows of a matrix as lists (of the values of inner, if given)."""
     ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()) if inner is None else inner)
@@ -154,7 +154,7 @@ def _wide(data: DataFrame, mixture: Mixture, batch: str | None, column: str, fin
                 for j in np.unique(b[known]):
                     out[b[known] == j] = finish(terms[j], x[b[known] == j])
                 back = np.where(known, np.cumsum(known) - 1, -1)
-                lists = _lists(out).take(pa.array(back, mask=~known))
+                lists = lists(out).take(pa.array(back, mask=~known))
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], lists], names=[*part.schema.names[:at], column])
 
     return rows.mapInArrow(task, T.StructType([*data.schema.fields, T.StructField(column, T.ArrayType(T.DoubleType()))]))
@@ -190,7 +190,7 @@ def best_components(data: DataFrame, mixture: Mixture, top_k: int, batch: str |
         at, kept = numeric.top_components(terms.tiles(x), top_k)
         order = np.argsort(-kept, axis=1, kind="stable")
         at, kept = np.take_along_axis(at, order, axis=1), np.take_along_axis(kept, order, axis=1)
-        return _lists(kept, pa.StructArray.from_arrays([pa.array(at.ravel(), pa.int32()), pa.array(kept.ravel())], ["k", "logit"]))
+        return lists(kept, pa.StructArray.from_arrays([pa.array(at.ravel(), pa.int32()), pa.array(kept.ravel())], ["k", "logit"]))
 
     return _reduced(data, mixture, batch, strategy, column, "array<struct<k: int, logit: double>>", finish, lambda logit: top_components(logit, top_k))
 
@@ -205,7 +205,7 @@ def predict_proba(data: DataFrame, mixture: Mixture, batch: str | None = None, s
 
         if mixture.shape[1] > numeric.TILE:
             return _wide(data, mixture, batch, "proba", shares)
-        return data.withColumn("proba", _by_arrow(mixture, F.col("features"), F.col(batch) if batch else None, "array<double>", lambda t, x: _lists(shares(t, x))))
+        return data.withColumn("proba", _by_arrow(mixture, F.col("features"), F.col(batch) if batch else None, "array<double>", lambda t, x: lists(shares(t, x))))
     return with_logits(data, mixture, batch, strategy, "_logits").withColumn("proba", proba(F.col("_logits"))).drop("_logits")
 
 

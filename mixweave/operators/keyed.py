@@ -32,6 +32,7 @@ from mixweave.sources.tables import written
 
 SALT_ROWS, MOST_HOT = 1 << 17, 4096
 START_ROWS = 1024
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 PARAMS = "batch string, n long, salts int, log_likelihood double, params binary"
 
 
@@ -66,20 +67,35 @@ class KeyedFit:
     def model(self) -> DataFrame:
         """One row for each key and component (MODEL_SCHEMA), like Mixture.to_frame."""
         kind, k, d = self.kind, self.k, self.d
+        some = max(1, BATCH_BYTES // (8 * k * d * (d if kind in ("tied", "full") else 1)))
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in batches:
-                for key, data in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                    m, shift = unpack_numbers(data.as_buffer(), kind, k, d)
-                    cov = m.component_covariances()[0].reshape(k, -1)
-                    numbers = [(m.means[0] + shift).tolist(), cov.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * k, pa.string()), pa.array(range(k), pa.int32()), pa.array(m.weights[0]), *[pa.array(v, pa.list_(pa.float64())) for v in numbers]], names=["batch_id", "k", "weight", "mean", "cov"])
+                for lo in range(0, rows.num_rows, some):
+                    part = rows.slice(lo, some)
+                    found = [unpack_numbers(data.as_buffer(), kind, k, d) for data in part.column(1)]
+                    means, cov = np.concatenate([m.means[0] + shift for m, shift in found]), np.concatenate([m.component_covariances()[0].reshape(k, -1) for m, _ in found])
+                    keys = [key for key in part.column(0).to_pylist() for _ in range(k)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.tile(np.arange(k), len(found)), pa.int32()), pa.array(np.concatenate([m.weights[0] for m, _ in found])), density.lists(means), density.lists(cov)], names=["batch_id", "k", "weight", "mean", "cov"])
 
         return self.params.select("batch", "params").mapInArrow(task, MODEL_SCHEMA)
 
 
-def _record(values: list, schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(values, schema, strict=True)], names=[n for n, _ in schema])
+def _records(rows: Iterator[tuple], schema: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of up to BATCH_ROWS rows and about BATCH_BYTES; the last value of a row is its bytes."""
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(zip(*held, strict=True), schema, strict=True)], names=[n for n, _ in schema])
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if len(held) == BATCH_ROWS or size > BATCH_BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 def packed_by_key(rows: DataFrame, sizes: DataFrame, n_rows: int) -> DataFrame:
@@ -90,12 +106,12 @@ def packed_by_key(rows: DataFrame, sizes: DataFrame, n_rows: int) -> DataFrame:
     dealt = rows.join(F.broadcast(hot), "batch", "left").select("batch", salt, "features")
     fields = [("batch", pa.string()), ("salt", pa.int32()), ("n", pa.int64()), ("block", pa.binary())]
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held, at = [], None
 
-        def block() -> pa.RecordBatch:
+        def block() -> tuple:
             x = np.concatenate(held)
-            return _record([*at, len(x), x.tobytes()], fields)
+            return (*at, len(x), x.tobytes())
 
         for b in batches:
             key = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
@@ -115,6 +131,9 @@ def packed_by_key(rows: DataFrame, sizes: DataFrame, n_rows: int) -> DataFrame:
         if held:
             yield block()
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _records(blocks_of(batches), fields)
+
     size = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = dealt.repartition(size, "batch", "salt").sortWithinPartitions("batch", "salt").mapInArrow(task, "batch string, salt int, n long, block binary")
     return blocks.repartition(size, "batch", "salt").persist(StorageLevel.MEMORY_AND_DISK)
@@ -125,17 +144,20 @@ def sums(blocks: DataFrame, width: int, measure: Callable, salted: DataFrame | N
     rows = blocks.select("batch", "n", "block", F.lit(None).cast("binary").alias("params")) if salted is None else blocks.join(salted.hint("shuffle_hash"), ["batch", "salt"]).select("batch", "n", "block", "params")
     fields = [("batch", pa.string()), ("params", pa.binary()), ("stats", pa.binary())]
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held: dict[str, tuple] = {}
         for b in batches:
             for key, n, block, params in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 if key not in held:
                     if (len(held) + 1) * width > st.HELD:
-                        yield from (_record([name, p, v.tobytes()], fields) for name, (p, v) in held.items())
+                        yield from ((name, p, v.tobytes()) for name, (p, v) in held.items())
                         held.clear()
                     held[key] = (params.as_py(), np.zeros(width))
                 measure(held[key][1], held[key][0], np.frombuffer(block.as_buffer()).reshape(n, -1))
-        yield from (_record([name, p, v.tobytes()], fields) for name, (p, v) in held.items())
+        yield from ((name, p, v.tobytes()) for name, (p, v) in held.items())
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _records(added(batches), fields)
 
     return rows.mapInArrow(task, "batch string, params binary, stats binary")
 
