@@ -40,8 +40,8 @@ f AS (SELECT *, base_failed OR 100 * n_symbols > 25 * word_chars OR 100 * n_dup_
 h AS (SELECT source, count(*) AS n, sum(CASE WHEN rule_failed THEN 1 ELSE 0 END) AS bad FROM f GROUP BY source),
 p AS (SELECT avg(bad / n) AS mean, var_pop(bad / n) - avg(bad / n) * (1 - avg(bad / n)) * avg(1.0 / n) AS between_hosts FROM h),
 s AS (SELECT mean, CASE WHEN between_hosts > 0 THEN least(greatest(mean * (1 - mean) / between_hosts - 1, 0), 1000) ELSE 1000 END AS weight FROM p),
-r AS (SELECT source, (bad + mean * weight) / (n + weight) AS rate FROM h, s),
-v AS (SELECT *, CASE WHEN rate > 0.5 THEN 'rejected' WHEN rate <= 0.02 THEN 'trusted' ELSE 'normal' END AS host_verdict FROM r)
+r AS (SELECT source, (bad + mean * weight) / (n + weight) AS rate, mean - 0.1 * sqrt(mean * (1 - mean) / (weight + 1)) AS trusted_below FROM h, s),
+v AS (SELECT *, CASE WHEN rate > 0.5 THEN 'rejected' WHEN rate <= 0.02 OR rate < trusted_below THEN 'trusted' ELSE 'normal' END AS host_verdict FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, rule_failed, round(rate, 6) AS host_rate, host_verdict,
        NOT base_failed AND host_verdict <> 'rejected' AND (NOT rule_failed OR host_verdict = 'trusted') AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source

@@ -31,6 +31,7 @@ MAX_SYMBOL_SHARE = 25  # per cent of the characters of words
 MAX_DUP_LINES = 30  # per cent of the lines with a word
 MIN_MEAN_WORD, MAX_MEAN_WORD = 3, 10  # characters
 MAX_HOST_RATE, TRUSTED_HOST_RATE = 0.5, 0.02
+TRUST_SPREAD = 0.1  # of the prior's standard deviation
 MAX_PRIOR = 1000.0
 SYMBOLS = "#*$%&|<>"  # fixed values
 BROADCAST_HOSTS = 100_000
@@ -78,7 +79,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
-    """One row per host: documents, failures, and the failure rate shrunk by the prior that all hosts give."""
+    """One row per host: documents, failures, the failure rate shrunk by the prior that all hosts give, and the rate below which that prior has a host trusted."""
     hosts = materialize(measured.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("rule_failed").cast("long")).alias("n_failed")), "rates")
     rate = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"), F.avg(1 / F.col("n_docs")).alias("inverse"))
@@ -87,19 +88,21 @@ def host_rates(measured: DataFrame) -> DataFrame:
     between = F.col("var") - spread * F.col("inverse")
     weight = F.when(between > 0, F.least(F.greatest(spread / between - 1, F.lit(0.0)), F.lit(MAX_PRIOR))).otherwise(F.lit(MAX_PRIOR))
     mean, weight = prior.select("mean", weight).first()  # two numbers: an aggregate without a key
-    return hosts.select("host", "n_docs", "n_failed", ((F.col("n_failed") + F.lit(mean) * F.lit(weight)) / (F.col("n_docs") + F.lit(weight))).alias("host_rate"))
+    shrunk = (F.col("n_failed") + F.lit(mean) * F.lit(weight)) / (F.col("n_docs") + F.lit(weight))
+    trusted = F.lit(mean) - TRUST_SPREAD * F.sqrt(F.lit(mean) * (1 - F.lit(mean)) / (F.lit(weight) + 1))
+    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), trusted.alias("trusted_below"))
 
 
 def verdicts(measured: DataFrame, max_host_rate: float, trusted_host_rate: float) -> DataFrame:
     """The rows of a materialised table of measures with host_rate, host_verdict and kept."""
-    rates = materialize(host_rates(measured).select("host", "host_rate"), "hosts")
+    rates = materialize(host_rates(measured).select("host", "host_rate", (F.col("host_rate") < F.col("trusted_below")).alias("better")), "hosts")
     if rates.count() <= BROADCAST_HOSTS:
         rates = F.broadcast(rates)
-    joined = measured.alias("m").join(rates.alias("r"), F.expr("m.host <=> r.host"), "left").select("m.*", "r.host_rate")
-    verdict = F.when(F.col("host_rate") > max_host_rate, "rejected").when(F.col("host_rate") <= trusted_host_rate, "trusted").otherwise("normal")
+    joined = measured.alias("m").join(rates.alias("r"), F.expr("m.host <=> r.host"), "left").select("m.*", "r.host_rate", "r.better")
+    verdict = F.when(F.col("host_rate") > max_host_rate, "rejected").when((F.col("host_rate") <= trusted_host_rate) | F.col("better"), "trusted").otherwise("normal")
     joined = joined.withColumn("host_verdict", verdict)
     excused = ~F.col("rule_failed") | (F.col("host_verdict") == "trusted")
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_verdict") != "rejected") & excused).drop("host")
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_verdict") != "rejected") & excused).drop("host", "better")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE, trusted_host_rate: float = TRUSTED_HOST_RATE) -> DataFrame:
