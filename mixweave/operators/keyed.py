@@ -328,8 +328,8 @@ def fit(
     return KeyedFit(params, kind, k, d, n, n_keys, history)
 
 
-def predict(data: DataFrame, fitted: KeyedFit, batch: str, what: tuple[str, ...] = ("label", "log_prob")) -> DataFrame:
-    """data with label (int), log_prob (double) or proba (array<double>), by the mixture of each row's key, which is joined to it. A row whose key the model lacks raises an error, a bad vector has nulls."""
+def predict(data: DataFrame, fitted: KeyedFit, batch: str, what: tuple[str, ...] = ("label", "log_prob"), missing: bool = False) -> DataFrame:
+    """data with label (int), log_prob (double) or proba (array<double>), by the mixture of each row's key, which is joined to it. A bad vector has nulls; a row whose key the model lacks raises an error, or with missing has nulls too."""
     kind, k, d, at = fitted.kind, fitted.k, fitted.d, len(data.columns)
     types = {"label": (T.IntegerType(), pa.int32()), "log_prob": (T.DoubleType(), pa.float64()), "proba": (T.ArrayType(T.DoubleType()), pa.list_(pa.float64()))}
     if unknown := [w for w in what if w not in types]:
@@ -355,7 +355,9 @@ def predict(data: DataFrame, fitted: KeyedFit, batch: str, what: tuple[str, ...]
             for lo in range(0, whole.num_rows, max(1, density.MOST_VALUES // k)):
                 part = whole.slice(lo, max(1, density.MOST_VALUES // k))
                 params, ok = part.column(at + 2), part.column(at + 1).is_valid().to_numpy(zero_copy_only=False)
-                if params.null_count:
+                if missing:
+                    ok = ok & params.is_valid().to_numpy(zero_copy_only=False)
+                elif params.null_count:
                     raise ValueError(f"the model lacks a batch key of the data, {part.column(at).filter(params.is_null())[0].as_py()!r}")
                 places: dict[str, list[int]] = {}
                 for i, key in enumerate(part.column(at).to_pylist()):

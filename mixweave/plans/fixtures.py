@@ -32,6 +32,7 @@ FIXTURES = {
     "li4b": Fixture("lineitem", LINE_KEYS, 4, 2, "l_returnflag"),
     "ev1": Fixture("events", ("event_id",), 1, 3),
     "ev1u": Fixture("events", ("event_id",), 1, 2, "user_id"),
+    "ord1y": Fixture("orders", ("o_orderkey",), 1, 2, "o_orderdate"),
 }
 
 
@@ -43,6 +44,9 @@ def data(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         features = doubles("embedding")
     elif f.table == "events":
         features = vector("value")
+    elif f.table == "orders":  # batches are the years of the orders
+        features = vector(F.col("o_totalprice") / 100000)
+        return rows.select(*f.keys, F.col("o_orderdate").alias("at"), F.year("o_orderdate").alias("batch_id"), features.alias("features"))
     else:
         scaled = [F.col("l_quantity") / 10, F.col("l_extendedprice") / 10000, F.col("l_discount") * 10, F.col("l_tax") * 10]
         features = vector(*scaled[: f.d])

@@ -14,6 +14,7 @@ SOURCES = {
     "li2": ("lineitem", LINE, "[CAST(l_quantity AS DOUBLE) / 10, CAST(l_extendedprice AS DOUBLE) / 10000]", 2, 3, "''"),
     "li4b": ("lineitem", LINE, "[CAST(l_quantity AS DOUBLE) / 10, CAST(l_extendedprice AS DOUBLE) / 10000, CAST(l_discount AS DOUBLE) * 10, CAST(l_tax AS DOUBLE) * 10]", 4, 2, "l_returnflag"),
     "ev1": ("events", "event_id", "[CAST(value AS DOUBLE)]", 1, 3, "''"),
+    "ord1y": ("orders", "o_orderkey", "[CAST(o_totalprice AS DOUBLE) / 100000]", 1, 2, "CAST(year(o_orderdate) AS VARCHAR)"),
     "ev1u": ("events", "event_id", "[CAST(value AS DOUBLE)]", 1, 2, "CAST(user_id AS VARCHAR)"),
 }
 
@@ -249,6 +250,72 @@ def keyed_score_sql() -> str:
     return s.select(f"SELECT event_id, CAST(k AS INT) AS label, {r6('lp')} AS log_prob FROM r3 JOIN base ON base.rid = r3.rid WHERE place = 1")
 
 
+def density_sql(x: str, m: str, s: str, w: str) -> str:
+    return f"ln({w}) - 0.5 * (({x} - {m}) * ({x} - {m}) / {s} + ln({s}) + ln(2 * pi()))"
+
+
+def dated_sql() -> str:
+    s = Sql("ord1y", "diag").run(3)
+    s.add("models AS (SELECT m.b, m.k, m.m, c.s, w.w FROM m3 m JOIN c3 c ON c.b = m.b AND c.k = m.k JOIN w3 w ON w.b = m.b AND w.k = m.k)")
+    s.add("versions AS (SELECT DISTINCT b, make_timestamp(CAST(b AS INT) + 1, 1, 1, 0, 0, 0.0) AS since FROM models)")
+    s.add("met AS (SELECT o.o_orderkey, CAST(o.o_totalprice AS DOUBLE) / 100000 AS v, b FROM orders o ASOF LEFT JOIN versions ON o.o_orderdate >= since)")
+    s.add(f"scored AS (SELECT o_orderkey, met.b, k, {density_sql('v', 'm', 's', 'w')} AS l FROM met LEFT JOIN models ON models.b = met.b)")
+    s.add("tops AS (SELECT o_orderkey, max(l) AS top FROM scored GROUP BY o_orderkey)")
+    return s.select(f"SELECT o_orderkey, CAST(any_value(b) AS INT) AS model_year, CAST(arg_min(k, struct_pack(a := -l, b := k)) AS INT) AS label, {r6('any_value(top) + ln(sum(exp(l - top)))')} AS log_prob FROM scored JOIN tops USING (o_orderkey) GROUP BY o_orderkey")
+
+
+def levels_sql(sets: str) -> str:
+    s = stepped("li4", "diag")
+    s.add("wide AS (SELECT rid, any_value(lp) AS lp, " + ", ".join(f"max(r) FILTER (k = {i}) AS r{i}" for i in range(s.k)) + " FROM r0 GROUP BY rid)")
+    s.add(f"flags AS (SELECT row_number() OVER (ORDER BY {LINE}) AS rid, l_returnflag, l_linestatus FROM lineitem)")
+    shares = ", ".join(f"{r6(f'sum(r{i}) / count(*)')} AS share_{i}" for i in range(s.k))
+    p = 2 * s.k * s.d + s.k - 1
+    return s.select(f"SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag, l_linestatus) AS INT) AS level, count(*) AS n, {r6('sum(lp)')} AS log_likelihood, {r6(f'-2 * sum(lp) + {2 * p}')} AS aic, {r6(f'-2 * sum(lp) + {p} * ln(count(*))')} AS bic, {shares} FROM wide JOIN flags USING (rid) GROUP BY {sets} (l_returnflag, l_linestatus)")
+
+
+def runs_sql() -> str:
+    s = stepped("ev1", "diag")
+    s.add("seen AS (SELECT event_id, user_id, ts, k AS label, lp FROM r0 JOIN base USING (rid) JOIN events USING (event_id) WHERE place = 1)")
+    s.add("flagged AS (SELECT *, CASE WHEN label = lag(label) OVER q THEN 0 ELSE 1 END AS starts FROM seen WINDOW q AS (PARTITION BY user_id ORDER BY ts, event_id))")
+    s.add("numbered AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM flagged)")
+    s.add("runs AS (SELECT user_id, run, any_value(label) AS label, arg_min(event_id, (ts, event_id)) AS first, arg_max(event_id, (ts, event_id)) AS last, count(*) AS n, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros, avg(lp) AS mean FROM numbered GROUP BY user_id, run)")
+    return s.select(f"SELECT user_id, CAST(run AS BIGINT) AS run, CAST(label AS INT) AS label, first, last, n, micros, {r6('mean')} AS mean_score, {r6('mean - lag(mean) OVER (PARTITION BY user_id ORDER BY run)')} AS change FROM runs")
+
+
+#: The replayed events: value, week, and the start parameters of three components.
+REPLAY = """x AS MATERIALIZED (SELECT event_id, ts, event_type, CAST(value AS DOUBLE) / 100 AS v, CAST(floor(epoch(ts) / 604800) AS BIGINT) AS week FROM events),
+p0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY event_id) - 1 AS k, v AS m, CAST(1 AS DOUBLE) AS s, CAST(1 AS DOUBLE) / 3 AS w FROM x ORDER BY event_id LIMIT 3)"""
+
+
+def windows_sql() -> str:
+    return f"""WITH {REPLAY},
+l AS (SELECT event_id, ts, event_type, k, {density_sql('v', 'm', 's', 'w')} AS l FROM x, p0),
+t AS (SELECT event_id, max(l) AS top, arg_min(k, struct_pack(a := -l, b := k)) AS label FROM l GROUP BY event_id),
+e AS (SELECT event_id, any_value(ts) AS ts, any_value(event_type) AS event_type, any_value(label) AS label, any_value(top) + ln(sum(exp(l - top))) AS lp FROM l JOIN t USING (event_id) GROUP BY event_id)
+SELECT event_type, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, count(*) AS n, {r6('sum(lp)')} AS log_likelihood, {r6('avg(lp)')} AS mean_score,
+       count(*) FILTER (label = 0) AS n_0, count(*) FILTER (label = 1) AS n_1, count(*) FILTER (label = 2) AS n_2
+FROM e GROUP BY event_type, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM x) - INTERVAL 1 DAY"""
+
+
+def stepwise_sql(steps: int = 5) -> str:
+    """One block for each week; weeks are numbered by their order, and one without events leaves all as it is."""
+    ctes = [REPLAY, "weeks AS MATERIALIZED (SELECT week, row_number() OVER (ORDER BY week) - 1 AS step FROM (SELECT DISTINCT week FROM x))"]
+    for t in range(steps):
+        ctes += [
+            f"l{t} AS MATERIALIZED (SELECT event_id, v, k, {density_sql('v', 'm', 's', 'w')} AS l FROM x JOIN weeks USING (week), p{t} WHERE step = {t})",
+            f"r{t} AS MATERIALIZED (SELECT v, k, exp(l - max(l) OVER (PARTITION BY event_id)) AS u, event_id FROM l{t})",
+            f"q{t} AS MATERIALIZED (SELECT v, k, u / sum(u) OVER (PARTITION BY event_id) AS r FROM r{t})",
+            f"s{t} AS MATERIALIZED (SELECT k, sum(r) / (SELECT count(DISTINCT event_id) FROM l{t}) AS n, sum(r * v) / (SELECT count(DISTINCT event_id) FROM l{t}) AS a, sum(r * v * v) / (SELECT count(DISTINCT event_id) FROM l{t}) AS b FROM q{t} GROUP BY k)",
+        ]
+        moved = f"s{t}" if t == 0 else f"(SELECT p.k, coalesce(0.5 * o.n + 0.5 * s.n, o.n) AS n, coalesce(0.5 * o.a + 0.5 * s.a, o.a) AS a, coalesce(0.5 * o.b + 0.5 * s.b, o.b) AS b FROM p{t} p JOIN o{t} o USING (k) LEFT JOIN s{t} s USING (k))"
+        ctes += [
+            f"o{t + 1} AS MATERIALIZED (SELECT * FROM {moved})",
+            f"p{t + 1} AS MATERIALIZED (SELECT k, a / n AS m, greatest(b / n - (a / n) * (a / n), {REG}) AS s, greatest(n, {FLOOR}) / sum(greatest(n, {FLOOR})) OVER () AS w FROM o{t + 1})",
+        ]
+    row = "SELECT '{}' AS part, CAST(k AS INT) AS k, CAST({} AS INT) AS i, CAST(-1 AS INT) AS j, " + r6("{}") + f" AS value FROM p{steps}"
+    return "WITH " + ",\n".join(ctes) + "\n" + " UNION ALL ".join([row.format("weight", -1, "w"), row.format("mean", 0, "m"), row.format("cov", 0, "s")])
+
+
 def oracle_sql() -> dict[str, str]:
     found: dict[str, str] = {}
     for kind in TYPES:
@@ -292,6 +359,12 @@ def oracle_sql() -> dict[str, str]:
         "topk_many": many_sql(f"SELECT vec_id, CAST(place - 1 AS INT) AS place, CAST(k AS INT) AS k, {r6('l')} AS logit FROM best"),
         "topk_stats_many": many_sql(MANY_STATS),
         "second_moments": f"SELECT label, CAST(i AS INT) AS i, CAST(j AS INT) AS j, {r6('sum(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE))')} AS value FROM embeddings, range(64) AS a(i), range(64) AS c(j) WHERE i <= j GROUP BY label, i, j",
+        "score_dated": dated_sql(),
+        "fit_cube": levels_sql("CUBE"),
+        "fit_rollup": levels_sql("ROLLUP"),
+        "label_runs": runs_sql(),
+        "stream_windows": windows_sql(),
+        "stream_stepwise": stepwise_sql(),
         "lloyd_fixed_start": lloyd_sql(3),
         "standard_scaled": f"SELECT {LINE}, {r6('(l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER ()')} AS z_quantity, {r6('(l_discount - avg(l_discount) OVER ()) / stddev_pop(l_discount) OVER ()')} AS z_discount FROM lineitem",
     }

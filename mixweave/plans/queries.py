@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -10,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixweave.functions.params import TYPES, Mixture, long_frame
-from mixweave.operators import density, em, finalize, initialize, keyed, stats
+from mixweave.operators import asof, density, em, finalize, initialize, keyed, levels, sequences, stats
 from mixweave.plans.fixtures import FIXTURES, REG, data, first_rows, user_start
 from mixweave.sources import datasets
-from mixweave.sources.features import standard_scaled
+from mixweave.sources.features import standard_scaled, vector
+from mixweave.sources.tables import shared_folder, written
+from mixweave.streaming import stepwise, windows
 
 DIGITS = 6
 ITERATIONS = 3
@@ -211,6 +214,80 @@ def parallel_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn_rows(spark, rows, centres)
 
 
+def score_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order under the mixture that was fitted to the last full year before it."""
+    f, rows = FIXTURES["ord1y"], data(spark, sf_dir, "ord1y")
+    fitted = keyed.fit(rows, f.k, "diag", "batch_id", ITERATIONS, 0.0, reg_covar=REG, init_means=keyed.first_means(rows, "batch_id", f.k, list(f.keys)))
+    versions = rows.select(F.col("batch_id").alias("batch")).distinct().withColumn("since", F.make_timestamp(F.col("batch") + 1, *[F.lit(v) for v in (1, 1, 0, 0, 0)]))
+    found = asof.score_dated(rows.select("o_orderkey", "at", "features"), fitted, versions, "at")
+    return found.select("o_orderkey", F.col("version").cast("int").alias("model_year"), "label", rounded("log_prob").alias("log_prob"))
+
+
+def fit_levels(spark: SparkSession, sf_dir: str, rollup: bool = False) -> DataFrame:
+    """Count, log-likelihood, BIC and shares of one mixture for each group of return flag and line status, alone, together and in all."""
+    f, rows = FIXTURES["li4"], data(spark, sf_dir, "li4")
+    mixture = user_start(rows, "li4", "diag")
+    flags = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_linestatus", vector(F.col("l_quantity") / 10, F.col("l_extendedprice") / 10000, F.col("l_discount") * 10, F.col("l_tax") * 10).alias("features"))
+    found = levels.fit_by_level(flags, mixture, ["l_returnflag", "l_linestatus"], rollup)
+    shares = [rounded(F.get("shares", F.lit(i))).alias(f"share_{i}") for i in range(f.k)]
+    return found.select("l_returnflag", "l_linestatus", "level", "n", rounded("log_likelihood").alias("log_likelihood"), rounded("aic").alias("aic"), rounded("bic").alias("bic"), *shares)
+
+
+def label_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one component in each user's events by time, and how the mean log-density changes from run to run."""
+    rows = data(spark, sf_dir, "ev1")
+    mixture = user_start(rows, "ev1", "diag")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", vector("value").alias("features"))
+    found = sequences.label_runs(density.score_samples(density.assign(events, mixture), mixture), "user_id", "ts", "event_id")
+    return found.select("user_id", "run", "label", "first", "last", "n", "micros", rounded("mean_score").alias("mean_score"), rounded("change").alias("change"))
+
+
+WEEK = 7 * 86_400
+
+
+def weeks_of_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]:
+    """The events with their features and week, written apart by week, and the weeks in order."""
+    instant = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp")  # the table's times have no zone; they count as UTC
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", instant.alias("ts"), "event_type", F.array(F.col("value").cast("double") / 100).alias("features"))
+    events = written(events.withColumn("week", F.floor(F.unix_seconds("ts") / WEEK)), "weeks")
+    return events, [r.week for r in events.select("week").distinct().orderBy("week").collect()]
+
+
+def first_events(events: DataFrame, k: int = 3) -> Mixture:
+    """Start parameters: the values of the first events by id, unit variances."""
+    means = np.array([r.features for r in events.orderBy("event_id").limit(k).select("features").collect()])
+    return Mixture("diag", np.full((1, k), 1.0 / k), means[None], np.ones((1, k, 1)))
+
+
+def arriving(spark: SparkSession, events: DataFrame, weeks: list[int], follow) -> None:
+    """Replays the events: week after week lands in a folder, and follow(stream) takes in what is new there."""
+    folder = f"{shared_folder(spark)}/mixweave/arriving-{uuid.uuid4().hex}"
+    for week in weeks:
+        events.where(F.col("week") == week).drop("week").write.mode("append").parquet(folder)
+        follow(spark.readStream.schema(events.drop("week").schema).parquet(folder)).awaitTermination()
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replay of the events, scored by event-time windows of a day; those that are final one day after their end."""
+    events, weeks = weeks_of_events(spark, sf_dir)
+    mixture, out = first_events(events), f"{shared_folder(spark)}/mixweave/windows-{uuid.uuid4().hex}"
+    arriving(spark, events, weeks, lambda stream: windows.write_windows(stream, mixture, "ts", "1 day", "1 day", out, f"{out}-checkpoint", by=("event_type",)))
+    found = spark.read.parquet(out)
+    counts = [F.get("label_counts", F.lit(i)).alias(f"n_{i}") for i in range(3)]
+    return found.select("event_type", F.unix_seconds("window_start").alias("window_start"), "n", rounded("log_likelihood").alias("log_likelihood"), rounded("mean_score").alias("mean_score"), *counts)
+
+
+def stream_stepwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stepwise EM over a replay of the events, a week at a time: the parameters after the last."""
+    events, weeks = weeks_of_events(spark, sf_dir)
+    path = f"{shared_folder(spark)}/mixweave/stepwise-{uuid.uuid4().hex}"
+    start = first_events(events)
+    arriving(spark, events, weeks, lambda stream: stepwise.StepwiseEM(start, path, 0.5, REG).follow(stream, f"{path}-checkpoint"))
+    last = stepwise.StepwiseEM(start, path, 0.5, REG)
+    last.restore(spark)
+    return params_frame(spark, last.mixture).drop("batch_id")
+
+
 def em_history(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     report = fitted(data(spark, sf_dir, "li4"), "li4", "spherical", **options)
     return spark.createDataFrame([(i + 1, v) for i, v in enumerate(report.lower_bound_history)], "iteration int, lower_bound double").withColumn("lower_bound", rounded("lower_bound"))
@@ -319,6 +396,12 @@ def queries() -> dict[str, Query]:
         "topk_many": topk_many,
         "topk_stats_many": topk_stats_many,
         "second_moments": second_moments,
+        "score_dated": score_dated,
+        "fit_cube": fit_levels,
+        "fit_rollup": partial(fit_levels, rollup=True),
+        "label_runs": label_runs,
+        "stream_windows": stream_windows,
+        "stream_stepwise": stream_stepwise,
         "blobs": partial(blob_facts, make=datasets.blobs),
         "anisotropic_blobs": partial(blob_facts, make=datasets.anisotropic_blobs),
     }
