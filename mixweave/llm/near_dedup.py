@@ -5,8 +5,8 @@ as a Poisson process that is a function of hashes alone, so all documents see th
 if its weight lies below the weight of its element there. Each dart belongs to one of k coordinates, and a signature holds the
 hit of least rank for each coordinate: two signatures agree in a coordinate with the weighted Jaccard similarity as
 the probability. Only darts of small rank are made, about k ln k for each document however long it is; a document
-that leaves a coordinate empty throws further. With weighting="set" all weights are one, and the similarity is
-that of shingle sets; "count" weighs a shingle by its occurrences.
+that leaves a coordinate empty throws further. With weighting="count" a shingle weighs as often as it occurs, and the similarity is that of
+the weighted sets; "set" makes all weights one.
 
 Copies of a text have one representative (copies are signed too, as that costs less than moving all texts to find out which
 are; what they signed is dropped at once). Equal bands of ROWS coordinates put representatives into
@@ -42,6 +42,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 BROADCAST_CLASHES = 1_000_000
+PAIR_ROWS = 512  # of one leader that are compared in a row
 ROUNDS = 2  # further rounds of candidates between components of a bucket
 SLICE_BYTES = 4 << 20
 PART_ROWS, PART_BYTES = 1024, 4 << 20  # about the members of a block in the exact comparison
@@ -114,7 +115,7 @@ def throw(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, limit: np.nd
     found = []
     start, width, cell = 0.0, 1.0, 1
     while len(doc):
-        d, e, w, rank = doc, mixed(element + np.uint64(cell) * GOLDEN), weight, np.zeros(len(doc))
+        d, e, w, rank = doc, mixed(element + np.uint64(cell * int(GOLDEN) % 2**64)), weight, np.zeros(len(doc))
         while len(d):
             e = mixed(e + GOLDEN)
             rank = rank - np.log(uniform(e)) / width
@@ -175,24 +176,36 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weighting: str, threshold: float) -> DataFrame:
-    """Those pairs (a, b) whose whole texts are similar enough."""
-    rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    """Those pairs (a, b) whose whole texts are similar enough; pairs is a table.
+
+    The text of a leader b travels once for PAIR_ROWS of its pairs and stands before them, so it is neither repeated in each pair nor
+    is a hot leader's family one task's work.
+    """
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("parts"))
+    read = texts.select("doc_id", "text")
+    heads = parts.join(read.withColumnRenamed("doc_id", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "text")
+    busy = parts.where("parts > 1")  # at most one in PAIR_ROWS pairs
+    part = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    mine = pairs.join(busy, "b", "left").select("b", part, "a").join(read.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "text")
+    rows = heads.unionByName(mine).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
 
     def elements(text: str) -> tuple[np.ndarray, np.ndarray]:
         found, n = np.unique(shingles(pa.array([text], pa.large_string()))[1], return_counts=True)
         return found, n if weighting == "count" else np.ones(len(found), np.int64)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, mine = None, None
-        for batch in text_slices(batches, 2, SLICE_BYTES):
+        leader = None
+        for batch in text_slices(batches, 3, SLICE_BYTES):
             good = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                if (text := b.as_py()) != leader:
-                    leader, mine = text, elements(text)
-                good.append(similarity(elements(a.as_py()), mine) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for a, text in zip(batch.column(2), batch.column(3), strict=True):
+                if a.is_valid:
+                    good.append(similarity(elements(text.as_py()), leader) >= threshold)
+                else:
+                    leader = elements(text.as_py())
+                    good.append(False)
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+    return rows.mapInArrow(compare, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -348,12 +361,12 @@ def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, we
     return found.unionByName(copies.where("doc_id is null").select("doc_id", "digest", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept")))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighting: str = "set", bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighting: str = "count", bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class) and kept (whether it is the document that stays)."""
     return classified(docs, id_col, text_col, threshold, weighting, bands, rows, rounds).drop("digest")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighting: str = "set", bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighting: str = "count", bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """The documents with all their columns, one of each class; documents with a null id are all kept."""
     kept = classified(docs, id_col, text_col, threshold, weighting, bands, rows, rounds).where("kept and doc_id is not null").select("doc_id", "digest").distinct()
     own = docs.where(F.col(id_col).isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -128,7 +129,46 @@ def test_weighting_by_count(spark):
     once, twice = prose(1, 60), prose(1, 60) + " " + prose(2, 60)
     rows = [(1, once), (2, once + " " + once), (3, twice)]
     assert [r.class_id for r in near_dedup.classes(frame(spark, rows), weighting="count").orderBy("doc_id").collect()] == [1, 2, 3]
-    assert near_dedup.classes(frame(spark, rows)).where("class_id = 1").count() == 2
+    assert near_dedup.classes(frame(spark, rows), weighting="set").where("class_id = 1").count() == 2
+
+
+@pytest.mark.parametrize("pair_rows", [1, 7])
+def test_a_leader_stands_before_each_part_of_its_pairs(spark, monkeypatch, pair_rows):
+    monkeypatch.setattr(near_dedup, "PAIR_ROWS", pair_rows)
+    base, other = prose(7, 200), prose(8, 200)
+    texts = {1: base, 2: other, **{i: edited(base, i, 2 if i % 3 else 60) for i in range(10, 40)}, **{i: edited(other, i, 2) for i in range(50, 60)}}
+    pairs = [(i, 1 if i < 50 else 2) for i in texts if i > 2] + [(1, 2)]
+    got = near_dedup.verified(spark.createDataFrame(pairs, "a long, b long").repartition(3), spark.createDataFrame([*texts.items()], "doc_id long, text string"), "set", 0.8)
+    assert Counter(map(tuple, got.collect())) == Counter((a, b) for a, b in pairs if near(texts[a], texts[b]) >= 0.8)
+
+
+def test_classes_of_a_whole_table_match_all_pairs(spark):
+    """Weighted similarity of all pairs of documents of the smallest table, and their components."""
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r.doc_id: (r.text or "").split() for r in docs.select("doc_id", "text").collect()}
+    bags = {d: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter() for d, w in texts.items()}
+    holders, both = {}, Counter()
+    for d, bag in bags.items():
+        for shingle, n in bag.items():
+            for other, m in holders.setdefault(shingle, []):
+                both[other, d] += min(n, m)
+            holders[shingle].append((d, n))
+    links = {pair for pair, n in both.items() if n / (sum(bags[pair[0]].values()) + sum(bags[pair[1]].values()) - n) >= 0.8}
+    label = {d: d for d in texts}
+    for _ in range(len(texts)):
+        moved = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            moved |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+        if not moved:
+            break
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    found = sum(got[a] == got[b] for a, b in links)
+    assert links and found >= 0.9 * len(links) and sum(got[d] != c for d, c in label.items()) <= 0.1 * len(label)
 
 
 def brute_removed(rows, window=50):
