@@ -48,12 +48,13 @@ FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
 
-def op6(events: tuple[tuple[str, ...], ...], listed: int, start: str, days: int) -> str:
+def op6(events: tuple[tuple[str, ...], ...], listed_from: str, listed_days: int, start: str, days: int) -> str:
     rows = ", ".join("(" + ", ".join(f"'{x}'" for x in e) + ")" for e in events)
     return f"""
-WITH e AS (SELECT list_name, kind, key, action, CAST(day AS TIMESTAMP) AS ts FROM (VALUES {rows}) AS v(list_name, kind, key, action, day)
-    UNION ALL SELECT 'generated', 'domain', 'listed-' || i || '.example.net', CASE WHEN j % 2 = 0 THEN 'add' ELSE 'remove' END, TIMESTAMP '2022-01-01' + to_days(CAST((i * 7 + j * 61) % 1000 AS INT))
-    FROM range({listed}) AS h(i), range(5) AS n(j) WHERE j <= i % 5),
+WITH hosts AS (SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS h FROM (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS key FROM pages) WHERE key <> ''),
+e AS (SELECT list_name, kind, key, action, CAST(day AS TIMESTAMP) AS ts FROM (VALUES {rows}) AS v(list_name, kind, key, action, day)
+    UNION ALL SELECT 'hosts', 'domain', key, CASE WHEN j % 2 = 0 THEN 'add' ELSE 'remove' END, TIMESTAMP '{listed_from}' + to_days(CAST((h + j * 97) % {listed_days} AS INT))
+    FROM hosts, range(5) AS n(j) WHERE h % 3 = 0 AND j <= h // 3 % 5),
 c AS (SELECT page_id, url, TIMESTAMP '{start}' + to_days(CAST(page_id % {days} AS INT)) AS t,
         lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS path FROM pages),
 s AS (SELECT *, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), lambda x: x <> '') AS steps FROM c),

@@ -27,8 +27,8 @@ URL_EVENTS = (
     ("review", "prefix", "blog.tionsh.example.com/es", "add", "2024-06-01"),
     ("review", "prefix", "www.spam-farm.example.com/en", "add", "2024-03-01"),
 )
-#: Beside them, a generated list of this many hosts, host i with i mod 5 + 1 events, added and removed in turn.
-LISTED_HOSTS = 20_000
+#: Beside them, a list made from the pages' own hosts: of every third host by hash, up to five events in the 450 days after this one, add and remove in turn.
+LISTED_FROM, LISTED_DAYS = "2023-10-01", 450
 #: Pages carry no fetch time: page p counts as fetched p mod FETCH_DAYS days after FETCH_START.
 FETCH_START, FETCH_DAYS = "2024-01-01", 366
 
@@ -62,19 +62,22 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def url_events(spark: SparkSession) -> DataFrame:
-    """The log of URL_EVENTS and of the generated list, as rows list_name, kind, key, action, at."""
+def url_events(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """The log of URL_EVENTS and of the list made from the hosts of pages, as rows list_name, kind, key, action, at."""
     rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("list_name", "kind", "key", "action", "day"), e, strict=True)]) for e in URL_EVENTS]
     named = spark.range(1).select(F.inline(F.array(*rows))).withColumn("at", F.to_timestamp("day")).drop("day")
-    hosts = spark.range(LISTED_HOSTS).select("id", F.explode(F.sequence(F.lit(0), (F.col("id") % 5).cast("int"))).alias("j"))
-    day = F.timestamp_add("DAY", ((F.col("id") * 7 + F.col("j") * 61) % 1000).cast("int"), F.to_timestamp(F.lit("2022-01-01")))
-    made = hosts.select(F.lit("generated").alias("list_name"), F.lit("domain").alias("kind"), F.concat(F.lit("listed-"), "id", F.lit(".example.net")).alias("key"), F.when(F.col("j") % 2 == 0, "add").otherwise("remove").alias("action"), day.alias("at"))
+    hosts = pages.select(url_filters.host_of(F.col("url")).alias("key")).where("key <> ''").distinct()
+    hosts = hosts.withColumn("h", F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 6), 16, 10).cast("long")).where("h % 3 = 0")
+    events = hosts.select("key", "h", F.explode(F.sequence(F.lit(0), F.expr("cast(h div 3 % 5 as int)"))).alias("j"))
+    day = F.timestamp_add("DAY", ((F.col("h") + F.col("j") * 97) % LISTED_DAYS).cast("int"), F.to_timestamp(F.lit(LISTED_FROM)))
+    made = events.select(F.lit("hosts").alias("list_name"), F.lit("domain").alias("kind"), "key", F.when(F.col("j") % 2 == 0, "add").otherwise("remove").alias("action"), day.alias("at"))
     return named.unionByName(made)
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = read_table(spark, sf_dir, "pages").select("page_id", "url", F.timestamp_add("DAY", F.pmod("page_id", F.lit(FETCH_DAYS)).cast("int"), F.to_timestamp(F.lit(FETCH_START))).alias("fetch_time"))
-    return url_filters.evaluate(captures, url_events(spark)).select("page_id", "blocked", "n_entries", "lists")
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetch_time", F.timestamp_add("DAY", F.pmod("page_id", F.lit(FETCH_DAYS)).cast("int"), F.to_timestamp(F.lit(FETCH_START))))
+    return url_filters.evaluate(captures, url_events(spark, pages)).select("page_id", "blocked", "n_entries", "lists")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,4 +126,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": oracles.OP4, "op6_url_filters": oracles.op6(URL_EVENTS, LISTED_HOSTS, FETCH_START, FETCH_DAYS), "op9_quality_rules": oracles.OP9, "op12_exact_topk": oracles.OP12, "op13_source_divergence": oracles.OP13}
+    return {"op4_warc": oracles.OP4, "op6_url_filters": oracles.op6(URL_EVENTS, LISTED_FROM, LISTED_DAYS, FETCH_START, FETCH_DAYS), "op9_quality_rules": oracles.OP9, "op12_exact_topk": oracles.OP12, "op13_source_divergence": oracles.OP13}
