@@ -16,7 +16,7 @@ def duck():
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
     con = duckdb.connect()
-    for name in ("embeddings", "lineitem", "events"):
+    for name in ("embeddings", "lineitem", "events", "orders"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
