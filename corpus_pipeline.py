@@ -4,6 +4,11 @@ Each stage is one operator of mixweave.llm on all rows that the stage before it
 by the next. Quality rules drop failing documents; near-dedup leaves one document of each class; suffix-array dedup cuts
 passages that a document with a smaller id has already (a document stays, even if nothing is left of it);
 decontamination drops documents that contain a benchmark item; packing fills sequences.
+
+Defined cases. A null or blank text has no words and fails the quality rules, so it goes at once; a text that suffix dedup empties stays a document, of one
+end token. A null doc_id takes no part in near-dedup and suffix dedup: its row is kept as it is. Repeated rows are one class, of which one stays; of texts
+that share an id, each is a document of its own. Ties go to the smaller doc_id. A very long text is taken whole. Extra columns, also with names that a stage uses itself,
+pass through all stages but the last, which returns pieces. An empty documents table gives no pieces, an empty benchmark drops nothing.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ one: theirs are also hashed as they lie with one token more or less between two
 are a block too, which is what makes one hit sure in items of up to nine. Phrases that many items share are kept out of
 the join: t = ⌈(q - r + ⌈0.6 r⌉) / 3⌉ blocks are hit at least, so up to (t - 1) // 2 blocks with a hash that occurs more than RARE
 times among the items need no hashes, and the hits that these might have are taken off. Any RUN_TOKENS equal tokens in a
-row hold the nine tokens from some block's start on, and one hit of RUN_MASK is enough.
+row hold the nine tokens from some block's start on, and one hit of RUN_MASK is enough. Where tokens were substituted and one or two
+more put in or lost, an item right at the threshold may have too few hits; its test holds the recall there to 95 in 100.
 
 Hashes of items are counted first and broadcast only within BROADCAST_KEYS rows of three numbers; beyond that, documents'
 hashes are joined by a shuffle, whose large partitions adaptive execution splits. Hits are three numbers each, and are
