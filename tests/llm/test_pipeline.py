@@ -36,7 +36,8 @@ def brute_quality_stage(rows):
     for r in rows:
         own = shrunk[r[3] if len(r) > 3 else "s"]
         base, failed = brute_quality(r[1])[-2:]
-        if not base and own <= 0.5 and (not failed or own <= 0.02):
+        trusted = own <= 0.02 or own < mean - 0.1 * (spread / (weight + 1)) ** 0.5
+        if not base and own <= 0.5 and (not failed or trusted):
             kept.append((r[0], r[1]))
     return kept
 
@@ -90,8 +91,8 @@ def test_pipeline_against_plain_stages(spark, tmp_path, clash):
         assert now.columns == before.columns, name
         assert Counter((r.doc_id, r.text) for r in now.select("doc_id", "text").collect()) == Counter(want), name
         assert now.where("text is not null and n_chars <> length(text)").count() == 0
-    # 41 has a changed copy of the item too, but lost what 40 has before it
-    assert {21, 22, 23, 40, 42, 50}.isdisjoint(d for d, _ in want) and {20, 30, 31, 41, 60, None} <= {d for d, _ in want}
+    # 41 has a changed copy of the item too, but lost what 40 has before it; 42 fails a doubtful rule, but its source does better than the other
+    assert {21, 22, 23, 40, 50}.isdisjoint(d for d, _ in want) and {20, 30, 31, 41, 42, 60, None} <= {d for d, _ in want}
     library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     ids = [(d, np.array(library.encode(t, add_special_tokens=False).ids + [1], "<u4")) for d, t in want]
     pieces = Counter((d, at, zlib.crc32(x[at : at + 2048].tobytes())) for d, x in ids for at in range(0, len(x), 2048))
