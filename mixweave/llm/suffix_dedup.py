@@ -14,10 +14,14 @@ sixteen positions is an anchor.
    distinct context once, with the least and largest id that holds it. A bucket sorts the suffixes that start in these contexts, among
    those with one anchor at one distance: mergesort, in rounds that merge all runs at once, compares two suffixes by a
    binary search for their common extension over prefix polynomial hashes, so a comparison takes a logarithm of the
-   window. Neighbours in the result are then compared byte by byte; should a collision have misled the sort, the
+   window. Large groups (an anchor at the edge of a passage that very many documents hold) are split in this order before, by eight
+   bytes at a time. Neighbours in the result are then compared byte by byte; should a collision have misled the sort, the
    bucket is sorted again with another base. Suffixes that share a whole window form a class, and the least id of the class decides.
 3. Blocks mark the bytes of windows whose class has a smaller id and return what is left.
 
+A message goes from each block to each bucket, so blocks and buckets grow with the input before their numbers do (sizes): 10 GB of text
+make 0.8 million messages a round, not the 24 million of blocks and buckets of 2 MB.
+
 Nothing is sampled: every window has an anchor, and a hash collision among anchors only costs a needless context.
 
 Defined cases. Null text: an empty one. Texts shorter than a window keep all. Rows with equal ids don't count as smaller
@@ -39,8 +43,11 @@ from mixweave.llm.near_dedup import GOLDEN, mixed, ragged
 from mixweave.llm.shared import materialize
 
 WINDOW, GRAM = 50, 20
-BLOCK_BYTES = 2 << 20  # of text that a block holds on average
-BUCKET_BYTES = 2 << 20  # of text whose anchors a bucket holds on average
+BLOCK_BYTES, MOST_BLOCK_BYTES = 2 << 20, 4 << 20  # of text that a block holds on average: the latter once there are FEW_BLOCKS
+BUCKET_BYTES, MOST_BUCKET_BYTES = 2 << 20, 32 << 20  # of text whose anchors a bucket holds on average: the latter once there are FEW_BUCKETS
+FEW_BLOCKS, FEW_BUCKETS = 1024, 128
+PIECE_BYTES = 1 << 20  # of contexts that a bucket sorts at once: whole anchors, and little enough for a core's cache
+LARGE = 64  # suffixes of a group from which on it is first split by eight bytes at a time
 TILE = 1 << 16  # powers of a base that are kept: as many as a core's cache holds
 CHUNK = TILE >> 1  # window starts that are hashed at once
 BASES = tuple(np.uint64(b) for b in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63))
@@ -143,6 +150,15 @@ def buffers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
 
 
+def sizes(total: int) -> tuple[int, int]:
+    """The numbers of blocks and buckets for so many bytes of text."""
+
+    def number(least: int, most: int, few: int) -> int:
+        return max(1, min(math.ceil(total / least), few), math.ceil(total / most))
+
+    return number(BLOCK_BYTES, MOST_BLOCK_BYTES, FEW_BLOCKS), number(BUCKET_BYTES, MOST_BUCKET_BYTES, FEW_BUCKETS)
+
+
 def in_several(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each entry, whether its key occurs with more than one document."""
     order = np.argsort(keys)
@@ -170,8 +186,8 @@ class Told:
         return self.rows.filter(pa.array(self.number == kind)) if self.rows.num_rows else self.rows
 
     def keys(self, kind: int) -> np.ndarray:
-        parts = [unpacked(x.as_py()) for x in self.of(kind)["data"]] if self.rows.num_rows else []
-        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+        own = self.of(kind)
+        return np.unique(unpacked(buffers(own["data"].cast(pa.large_binary()))[1])) if own.num_rows else np.zeros(0, np.uint64)
 
     def copies(self) -> set[tuple[int, int]]:
         own = self.of(self.COPIES)
@@ -179,7 +195,7 @@ class Told:
 
     def replies(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of the contexts that got a reply, how many windows each has, and the least id of every window's class."""
-        parts = [read_reply(x.as_py()) for x in self.of(self.REPLIES)["data"]] if self.rows.num_rows else []
+        parts = [read_reply(x.as_buffer()) for x in self.of(self.REPLIES)["data"]] if self.rows.num_rows else []
         return tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
 
 
@@ -236,13 +252,16 @@ def short(hashes: np.ndarray) -> np.ndarray:
     return hashes & np.uint64((1 << (8 * KEY_BYTES)) - 1)
 
 
-def packed(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+def packed(keys: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """One message for the keys between each two bounds."""
+    data = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64) * KEY_BYTES), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def unpacked(data: bytes) -> np.ndarray:
+def unpacked(data: np.ndarray) -> np.ndarray:
+    """The keys of the bytes of any number of messages."""
     wide = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
-    wide[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    wide[:, :KEY_BYTES] = data.reshape(-1, KEY_BYTES)
     return wide.view("<u8").reshape(-1)
 
 
@@ -252,7 +271,7 @@ def squeezed(*parts: np.ndarray) -> bytes:
     return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def loosened(data: bytes) -> bytes:
+def loosened(data: pa.Buffer) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
@@ -262,7 +281,7 @@ def context_message(numbers: np.ndarray, distance: np.ndarray, length: np.ndarra
     return squeezed(np.array([len(numbers)], "<i8"), *columns, data)
 
 
-def read_contexts(message: bytes) -> tuple[np.ndarray, ...]:
+def read_contexts(message: pa.Buffer) -> tuple[np.ndarray, ...]:
     """(number, distance, length, least, most, bytes) of a message."""
     data = loosened(message)
     n = int(np.frombuffer(data, "<i8", 1)[0])
@@ -279,7 +298,7 @@ def replied(asked: np.ndarray, ids: np.ndarray, windows: np.ndarray) -> bytes:
     return squeezed(counts, np.diff(asked, prepend=0).astype("<i4"), windows.astype("<i4"), np.diff(np.append(at, len(ids))).astype("<i4"), ids[at].astype("<i8"))
 
 
-def read_reply(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_reply(data: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = loosened(data)
     n, runs = np.frombuffer(data, "<i8", 2)
     small = np.frombuffer(data, "<i4", 2 * n + runs, 16)
@@ -291,6 +310,34 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(hashes ^ GOLDEN) % np.uint64(buckets)).astype(np.int64)
 
 
+def gram_hashes(flat: np.ndarray, start: np.ndarray, gram: int) -> np.ndarray:
+    """The hashes of the strings of gram bytes at these places, as PrefixHashes has them."""
+    out = np.zeros(len(start), np.uint64)
+    for i, power in enumerate(powers(int(BASES[0]))[:gram]):
+        out += (flat[start + i].astype(np.uint64) + np.uint64(1)) * power
+    return out
+
+
+def split_large(flat: np.ndarray, start: np.ndarray, group: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, group, whether its group is of equal windows) after groups of more than LARGE suffixes are put in order and split by eight bytes at a time, until they are small or the window ends."""
+    start, same = start.copy(), np.zeros(len(start), bool)
+    for at in range(0, window, 8):
+        large = np.flatnonzero(np.bincount(group)[group] > LARGE) if len(group) else group
+        if not len(large):
+            return start, group, same
+        word = np.zeros((len(large), 8), np.uint8)
+        for i in range(min(8, window - at)):
+            word[:, i] = flat[start[large] + at + i]
+        word = word.view(">u8").reshape(-1).astype(np.uint64)
+        order = np.lexsort((word, group[large]))  # groups are whole and in order, so each keeps its places
+        start[large], word = start[large][order], word[order]
+        new = np.append(True, group[1:] != group[:-1])
+        new[large[1:][word[1:] != word[:-1]]] = True
+        group = np.cumsum(new) - 1
+    same[np.bincount(group)[group] > LARGE] = True
+    return start, group, same
+
+
 def suffix_order(flat: np.ndarray, start: np.ndarray, group: np.ndarray, window: int, hashes: PrefixHashes) -> np.ndarray:
     """Sorts suffix starts, which are grouped already, by their first window bytes within each group: bottom-up mergesort, all runs of a level at once."""
 
@@ -305,8 +352,9 @@ def suffix_order(flat: np.ndarray, start: np.ndarray, group: np.ndarray, window:
         last = np.minimum(low, window - 1)
         return np.where(low == window, 0, np.sign(flat[x + last].astype(np.int16) - flat[y + last].astype(np.int16)))
 
-    start = start.copy()
-    head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    every, group, same = split_large(flat, start, group, window)
+    start, group = every[~same], group[~same]
+    head = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else group
     size = np.diff(np.append(head, len(group)))
     base, total = np.repeat(head, size), np.repeat(size, size)
     inner = np.arange(len(start)) - base
@@ -326,7 +374,8 @@ def suffix_order(flat: np.ndarray, start: np.ndarray, group: np.ndarray, window:
         left_edge = np.minimum(other, base[who] + (inner[who] // run) * run)
         start[left_edge + inner[who] % run + low] = mine
         run *= 2
-    return start
+    every[~same] = start
+    return every
 
 
 def classes(flat: np.ndarray, start: np.ndarray, group: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -361,7 +410,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
     rest_type = rows.schema["rest"].dataType if others else None
     digests = materialize(rows.select("doc_id", "print", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("digest")), "digests")
     total = int(digests.agg(F.sum("size")).first()[0] or 0)
-    n_blocks, buckets = max(1, math.ceil(total / BLOCK_BYTES)), max(1, math.ceil(total / BUCKET_BYTES))
+    n_blocks, buckets = sizes(total)
     block_of = F.pmod(F.xxhash64("doc_id", "print"), F.lit(n_blocks)).alias("block")
     dealt = rows.where("doc_id is not null").select(block_of, "*")
     firsts = digests.where("doc_id is not null and size > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
@@ -375,8 +424,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
         bucket = bucket_of(keys, buckets)
         order = np.argsort(bucket, kind="stable")
         names, at = np.unique(bucket[order], return_index=True)
-        parts = np.split(short(keys)[order], at[1:]) if len(names) else []
-        return pa.table({"bucket": pa.array(names, pa.int64()), "block": pa.array([block] * len(names), pa.int64()), "keys": pa.array([packed(p) for p in parts], pa.binary())})
+        return pa.table({"bucket": pa.array(names, pa.int64()), "block": pa.array([block] * len(names), pa.int64()), "keys": packed(keys[order], np.append(at, len(keys)))})
 
     def send_anchors(table: pa.Table, told: pa.Table) -> pa.Table:
         return packed_keys(table["block"][0].as_py(), Block(table, Told(told), window, gram).hash) if table.num_rows else packed_keys(0, np.zeros(0, np.uint64))
@@ -388,14 +436,15 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
         return packed_keys(table["block"][0].as_py(), block.strings(block.common())[1])
 
     def tell_shared(table: pa.Table, kind: int) -> pa.Table:
-        parts = [unpacked(x.as_py()) for x in table["keys"]]
-        keys = np.concatenate(parts)
-        ordered = np.sort(keys)
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        here = np.isin(keys, twice)
-        cuts = np.cumsum([len(p) for p in parts])[:-1]
-        told = [packed(p[u]) for p, u in zip(parts, np.split(here, cuts), strict=True)]
-        return pa.table({"block": table["block"], "number": pa.array([kind] * len(told), pa.int64()), "data": pa.array(told, pa.binary())}).filter(pa.array([bool(t) for t in told]))
+        at, data = buffers(table["keys"].cast(pa.large_binary()))
+        keys = unpacked(data)
+        order = np.argsort(keys)
+        again = np.diff(keys[order]) == 0
+        here = np.zeros(len(keys), bool)
+        here[order] = np.append(again, False) | np.append(False, again)
+        bounds = np.append(0, np.cumsum(here))[at // KEY_BYTES]
+        told = pa.table({"block": table["block"].combine_chunks(), "number": pa.array(np.full(table.num_rows, kind)), "data": packed(keys[here], bounds)})
+        return told.filter(pa.array(np.diff(bounds) > 0))
 
     def send_contexts(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -415,12 +464,9 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
         data = [context_message(i, block.distance[one[i]], length[i], least[i], most[i], block.flat[ragged(block.first[one[i]], length[i])]) for i in np.split(order, at[1:])] if len(names) else []
         return pa.table({"bucket": names, "block": np.full(len(names), table["block"][0].as_py()), "data": pa.array(data, pa.binary())})
 
-    def sort_suffixes(table: pa.Table) -> pa.Table:
-        sent = [read_contexts(x.as_py()) for x in table["data"]]
-        numbers, distance, length, least, most, flat = (np.concatenate(column) for column in zip(*sent, strict=True))
-        blocks = np.repeat(table["block"].to_numpy(), [len(x[0]) for x in sent])
+    def sort_piece(anchor: np.ndarray, distance: np.ndarray, length: np.ndarray, least: np.ndarray, most: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(contexts that get a reply, windows of each, the least id of every window's class) among all contexts of some anchors."""
         begin = np.cumsum(length) - length
-        anchor = PrefixHashes(flat, BASES[0]).of(begin + distance, begin + distance + gram)
         hashes = PrefixHashes(flat, BASES[1])
         label = mixed(hashes.of(begin, begin + length) ^ mixed(anchor + (distance.astype(np.uint64) << np.uint64(32)) + length.astype(np.uint64)))
         number = distinct_contexts(flat, begin, length, label)
@@ -438,8 +484,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
         group = np.cumsum(np.append(True, (a[1:] != a[:-1]) | (w[1:] != w[:-1]))) - 1
         owner = np.full(len(flat), -1, np.int64)
         owner[start] = np.arange(len(start))
-        sizes = np.bincount(group)[group]
-        many = sizes > 1
+        many = np.bincount(group)[group] > 1
         best = holder[context]
         ordered, new = classes(flat, start[order][many], group[many], window)
         if len(ordered):
@@ -449,11 +494,29 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
             best[element] = np.repeat(low, np.diff(np.append(heads, len(element))))
         lowest = np.minimum.reduceat(best, first_at)
         answer = np.flatnonzero(lowest[number] < most)
-        block, asked = blocks[answer], numbers[answer]
-        order = np.lexsort((asked, block))
-        block, asked, of = block[order], asked[order], number[answer][order]
-        names, at = np.unique(block, return_index=True)
-        data = [replied(asked[lo:hi], best[ragged(first_at[of[lo:hi]], windows[of[lo:hi]])], windows[of[lo:hi]]) for lo, hi in zip(at, np.append(at[1:], len(block)), strict=True)]
+        of = number[answer]
+        return answer, windows[of], best[ragged(first_at[of], windows[of])]
+
+    def sort_suffixes(table: pa.Table) -> pa.Table:
+        sent = [read_contexts(x.as_buffer()) for x in table["data"]]
+        numbers, distance, length, least, most, flat = (np.concatenate(column) for column in zip(*sent, strict=True))
+        blocks = np.repeat(table["block"].to_numpy(), [len(x[0]) for x in sent])
+        del sent
+        begin = np.cumsum(length) - length
+        anchor = gram_hashes(flat, begin + distance, gram)
+        order = np.argsort(anchor, kind="stable")
+        fresh = np.flatnonzero(np.append(True, np.diff(anchor[order]) != 0))
+        piece = (np.cumsum(length[order]) - length[order])[fresh] // PIECE_BYTES
+        found = []
+        for who in np.split(order, fresh[1:][np.diff(piece) != 0]):
+            answer, windows, ids = sort_piece(anchor[who], distance[who], length[who], least[who], most[who], flat[ragged(begin[who], length[who])])
+            found.append((who[answer], windows, ids))
+        answer, windows, ids = (np.concatenate(column) for column in zip(*found, strict=True))
+        at = np.cumsum(windows) - windows
+        order = np.lexsort((numbers[answer], blocks[answer]))
+        asked, windows, at = numbers[answer][order], windows[order], at[order]
+        names, heads = np.unique(blocks[answer][order], return_index=True)
+        data = [replied(asked[lo:hi], ids[ragged(at[lo:hi], windows[lo:hi])], windows[lo:hi]) for lo, hi in zip(heads, np.append(heads[1:], len(asked)), strict=True)]
         return pa.table({"block": pa.array(names, pa.int64()), "number": pa.array([Told.REPLIES] * len(names), pa.int64()), "data": pa.array(data, pa.binary())})
 
     def remove(table: pa.Table, told: pa.Table) -> pa.Table:

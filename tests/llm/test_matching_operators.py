@@ -236,6 +236,37 @@ def test_suffixes_sort_like_strings():
     assert new.sum() == len({(g, flat[s : s + 50].tobytes()) for g, s in zip(group, ordered, strict=True)})
 
 
+def test_suffixes_of_a_large_group_sort_without_many_comparisons():
+    """One passage in very many texts: equal windows, and windows that differ before the passage or after it."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(97, 123, 50)
+    texts = [np.concatenate([rng.integers(97, 123, 4), passage, rng.integers(97, 123, 4)]) for _ in range(6000)]
+    flat = np.concatenate(texts).astype(np.uint8)
+    start = np.concatenate([np.arange(6000) * 58 + away for away in (0, 4, 8)])
+    group = np.repeat(np.arange(3), 6000)
+
+    class Counted(suffix_dedup.PrefixHashes):
+        read = 0
+
+        def undo(self, start):
+            self.read += len(start)
+            return super().undo(start)
+
+    hashes = Counted(flat, suffix_dedup.BASES[0])
+    ordered = suffix_dedup.suffix_order(flat, start, group, 50, hashes)
+    windows = [bytes(flat[s : s + 50]) for s in ordered]
+    assert [w for g in range(3) for w in sorted(windows[g * 6000 : (g + 1) * 6000])] == windows
+    assert sorted(ordered) == sorted(start)
+    assert hashes.read < 20 * len(start)  # mergesort alone: over 300
+
+
+def test_suffix_dedup_sends_messages_in_proportion_to_the_text():
+    for gigabytes in (1, 10):
+        blocks, buckets = suffix_dedup.sizes(gigabytes << 30)
+        assert blocks * buckets < 90_000 * gigabytes  # 2.6 million a GB at 10 GB, with blocks and buckets of 2 MB
+        assert (gigabytes << 30) / blocks <= 4 << 20 and (gigabytes << 30) / buckets <= 32 << 20
+
+
 def test_decontamination(spark):
     items = [(i, prose(700 + i, 18 + i)) for i in range(20)] + [(30, "tiny item"), (31, None), (32, prose(800, 7)), (33, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
