@@ -226,12 +226,13 @@ def parallel_centres(blocks: st.Packed, k: int, seed: int, batch: str | None = N
     return {key: best_plus_plus(c, k, np.random.default_rng([seed, i]), counts[key].nk[: len(c)]) for i, (key, c) in enumerate(centres.items())}
 
 
-def nearest_stats(data: DataFrame | st.Packed, centres: dict, batch: str | None = None, kind: str = "full") -> dict:
-    """For each batch: the statistics (second moments by kind) of the rows nearest to each centre."""
+def nearest_stats(data: DataFrame | st.Packed, centres: dict, batch: str | None = None, kind: str = "full", around: bool = False) -> dict:
+    """For each batch: the statistics (second moments by kind) of the rows nearest to each centre; with around those of the rows' differences from it, which lose no digits."""
     k, d = next(iter(centres.values())).shape
 
     def measure(total, key, x, _):
-        st.add_labelled(total, x, nearest(x, centres[key]), k, kind)
+        at = nearest(x, centres[key])
+        st.add_labelled(total, x - centres[key][at] if around else x, at, k, kind)
 
     found = st.map_stats(data, measure, st.Stats.width(kind, k, d), batch, n_keys=len(centres))
     return {key: st.Stats.unpack(v, kind, k, d) for key, v in found.items()}

@@ -19,6 +19,7 @@ from mixweave.sources.tables import shared_folder, written
 from mixweave.streaming import stepwise, windows
 
 DIGITS = 6
+EXACT = 12  # digits that sums of squared differences have right
 ITERATIONS = 3
 TOP_K = 2
 WIDE = {"spherical": "emb64", "diag": "emb64", "tied": "li2", "full": "li2"}
@@ -123,9 +124,10 @@ def init_stats(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     name = FITTED[kind]
     f, rows = FIXTURES[name], data(spark, sf_dir, name)
     centres = first_rows(rows, f)[1][0]
-    found = initialize.nearest_stats(rows, {None: centres}, kind="full" if kind == "tied" else kind)[None]
-    weights, cov = initialize.label_parameters(kind, found, centres, stats.moments(rows, f.d)[None][2], REG)
-    return long_frame(spark, [None], {"weight": weights[None], "cov": cov[None]}, {"cov"} if kind == "tied" else set(), DIGITS)
+    found = initialize.nearest_stats(rows, {None: centres}, kind="full" if kind == "tied" else kind, around=True)[None]
+    weights, cov = initialize.label_parameters(kind, found, np.zeros_like(centres), stats.moments(rows, f.d)[None][2], REG)
+    # the features are decimals, so a spread may lie halfway between two of 6 digits: the last bits of a sum must not decide
+    return long_frame(spark, [None], {"weight": weights[None], "cov": np.round(cov, EXACT)[None]}, {"cov"} if kind == "tied" else set(), DIGITS)
 
 
 def topk_components(spark: SparkSession, sf_dir: str) -> DataFrame:

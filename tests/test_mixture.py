@@ -10,6 +10,7 @@ from mixweave.estimator import GaussianMixture
 from mixweave.functions import numeric
 from mixweave.functions.params import TYPES, Mixture
 from mixweave.operators import density, em, finalize, initialize, stats
+from mixweave.plans import queries
 from mixweave.sources import datasets, features, models
 from mixweave.streaming import scoring
 
@@ -306,3 +307,18 @@ def test_many_partitions_are_summed_in_groups(spark):
     got = stats.soft(frame(spark, x, parts=50), m)[0]
     assert got.n == 200
     np.testing.assert_allclose(got.sum_x[0], x.sum(axis=0))
+
+
+def test_start_spreads_lose_no_digits(spark):
+    """Spreads around the nearest centre, far from 0 and at a decimal tie."""
+    data = spark.createDataFrame([([1e6 + 0.001 * (i % 4)],) for i in range(4000)], "features array<double>")
+    centres = np.array([[1e6]])
+    found = initialize.nearest_stats(data, {None: centres}, kind="full", around=True)[None]
+    _, cov = initialize.label_parameters("tied", found, np.zeros((1, 1)), np.eye(1), 0.0)
+    np.testing.assert_allclose(cov, [[3.5e-6]], rtol=1e-6)
+
+
+def test_start_spread_at_a_decimal_tie(spark):
+    """At sf0.01 one spread is 0.9021295 exactly: halves are rounded up, however the sums are split."""
+    found = queries.queries()["init_stats_tied"](spark, "/root/testdata/sf0.01")
+    assert found.where("part = 'cov' and i = 0 and j = 0").first().value == 0.90213
