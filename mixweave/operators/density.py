@@ -154,8 +154,8 @@ def _wide(data: DataFrame, mixture: Mixture, batch: str | None, column: str, fin
                 for j in np.unique(b[known]):
                     out[b[known] == j] = finish(terms[j], x[b[known] == j])
                 back = np.where(known, np.cumsum(known) - 1, -1)
-                lists = lists(out).take(pa.array(back, mask=~known))
-                yield pa.RecordBatch.from_arrays([*part.columns[:at], lists], names=[*part.schema.names[:at], column])
+                made = lists(out).take(pa.array(back, mask=~known))
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], made], names=[*part.schema.names[:at], column])
 
     return rows.mapInArrow(task, T.StructType([*data.schema.fields, T.StructField(column, T.ArrayType(T.DoubleType()))]))
 
